@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lontar.llm.arrow import batch, map_batches
 from lontar.llm.boosting import Boosted
 from lontar.llm.quality import kinds_of, train_kinds
-from lontar.llm.segments import SEGMENT_WORDS, Segment, segment_batch, sharpness
+from lontar.llm.segments import Segment, long_languages, main_language, segment_batch, sharpness, softmax
 from lontar.llm.spectrum import SpectrumModel
 from lontar.plans.runtime import spread
 
@@ -73,14 +73,6 @@ class LanguageModel:
         return segment_batch(texts, self._scores, self.factor)
 
 
-def main_language(segments: list[Segment], languages: int) -> int:
-    """The language with the most words."""
-    words = np.zeros(languages)
-    for s in segments:
-        words[s.language] += s.words
-    return int(words.argmax())
-
-
 def document_segments(documents: DataFrame, samples: DataFrame) -> DataFrame:
     """One row per single-language segment: ``doc_id``, ``segment``, ``language``, ``first_word``, ``words``, ``confidence``.
 
@@ -117,12 +109,12 @@ def document_languages(documents: DataFrame, samples: DataFrame) -> DataFrame:
                 language.append(None), sure.append(None), share.append(None), long.append([])
                 continue
             top = main_language(x, len(model.languages))
-            mine, words = [s for s in x if s.language == top], sum(s.words for s in x)
-            n = sum(s.words for s in mine)
+            words = sum(s.words for s in x)
+            chance = softmax(np.stack([s.mean for s in x]) * model.factor)[:, top]
             language.append(model.languages[top])
-            sure.append(round(sum(s.confidence * s.words for s in mine) / n, 6))
-            share.append(round(n / words, 6))
-            long.append(sorted({model.languages[s.language] for s in x if s.words >= SEGMENT_WORDS}))
+            sure.append(round(float(sum(c * s.words for c, s in zip(chance, x))) / words, 6))
+            share.append(round(sum(s.words for s in x if s.language == top) / words, 6))
+            long.append([model.languages[k] for k in long_languages(x, top)])
         return batch(doc_id=b.column(0), language=pa.array(language, pa.string()), confidence=pa.array(sure, pa.float64()), share=pa.array(share, pa.float64()), languages=pa.array(long, pa.list_(pa.string())))
 
     return map_batches(spread(rows), work, f"doc_id {rows.schema[0].dataType.simpleString()}, language string, confidence double, share double, languages array<string>")
@@ -142,11 +134,11 @@ def wrong_labels(documents: DataFrame, samples: DataFrame, labels: DataFrame) ->
         texts, marks = b.column(1).to_pylist(), b.column(2).to_pylist()
         found: list[tuple[int, list[int]]] = []
         for i, x in enumerate(model.segments(texts)):
-            if sum(s.words for s in x) < LEAST_WORDS:
+            if sum(s.words for s in x) < LEAST_WORDS or len(texts[i].split()) < LEAST_WORDS:
                 continue
-            long = sorted({s.language for s in x if s.words >= SEGMENT_WORDS})
-            wrong = canonical(marks[i]) != model.languages[main_language(x, len(model.languages))]
-            if long and (wrong or len(long) > 1):
+            top = main_language(x, len(model.languages))
+            long = long_languages(x, top)
+            if long and (canonical(marks[i]) != model.languages[top] or len(long) > 1):
                 found.append((i, long))
         if found and kinds is not None:
             kind, _ = kinds_of([texts[i] for i, _ in found], kinds)

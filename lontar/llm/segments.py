@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from lontar.llm.normal import plain
 from lontar.llm.spectrum import WORD, SpectrumModel, WordScores
 
 _UNIT = re.compile(r"[.!?…]+[\"'”’)]*\s|[\n\r  ]")
@@ -16,6 +17,8 @@ UNIT_WORDS = 12
 SWITCH = 4.0
 #: Consecutive words that make a segment of its own.
 SEGMENT_WORDS = 20
+#: Mean advantage over the main language from which a run is another language (its own scores about 1, the others about -1).
+MARGIN = 1.0
 
 
 @dataclass
@@ -24,13 +27,14 @@ class Segment:
     first_word: int
     words: int
     confidence: float
+    mean: np.ndarray
 
 
 def units(text: str) -> tuple[list[str], list[int]]:
     """All words of a text in order, and the number of words of each unit (sentence, line, or part of a long one)."""
     words: list[str] = []
     sizes: list[int] = []
-    for part in _UNIT.split(text.lower()):
+    for part in _UNIT.split(plain(text)):
         found = WORD.findall(part)
         n = len(found)
         if not n:
@@ -119,5 +123,31 @@ def segment_batch(texts: list[str | None], scores: WordScores, factor: float) ->
         count = np.add.reduceat(sizes, begins)
         sure = softmax(total / count[:, None] * factor)
         first = np.concatenate([[0], count.cumsum()[:-1]])
-        out.append([Segment(int(path[b]), int(f), int(c), float(s[path[b]])) for b, f, c, s in zip(begins, first, count, sure)])
+        mean = total / count[:, None]
+        out.append([Segment(int(path[b]), int(f), int(c), float(s[path[b]]), v) for b, f, c, s, v in zip(begins, first, count, sure, mean)])
     return out
+
+
+def main_language(segments: list[Segment], languages: int) -> int:
+    """The language with the highest sum of word scores over the whole text."""
+    return int(sum(s.mean * s.words for s in segments).argmax()) if segments else -1
+
+
+def long_languages(segments: list[Segment], main: int) -> list[int]:
+    """Languages of at least ``SEGMENT_WORDS`` consecutive words.
+
+    A run counts for another language than the main one only where its words score
+    ``MARGIN`` higher for it on average; a weaker run is odd text of the main language
+    and joins its neighbours.
+    """
+    found, run = set(), 0
+    for s in segments:
+        if s.language != main and s.mean[s.language] - s.mean[main] >= MARGIN:
+            if s.words >= SEGMENT_WORDS:
+                found.add(s.language)
+            run = 0
+        else:
+            run += s.words
+            if run >= SEGMENT_WORDS:
+                found.add(main)
+    return sorted(found)
