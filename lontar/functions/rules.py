@@ -38,16 +38,19 @@ def whole_word(alternatives: str) -> str:
     return rf"(?i)(^|[^{T.WORDLIKE}])({alternatives})($|[^{T.WORDLIKE}])"
 
 
-def gopher_reason(text: Column, min_words: Column, max_words: Column, tokens: Column | None = None) -> Column:
-    """The first heuristic that a text fails, or null: words, mean_word_length, letters, ellipses, bullets, top_word, repeats."""
-    n = T.word_count(text)
-    tokens = T.words(text) if tokens is None else tokens
-    mean = T.mean_word_length(text)
+def gopher_reason(text: Column, tokens: Column, min_words: Column, max_words: Column) -> Column:
+    """The first heuristic that a text fails, or null: words, mean_word_length, letters, ellipses, bullets, top_word, repeats.
+
+    ``tokens`` should be a column made in an earlier projection, as it is used often.
+    The costly measures come last and are evaluated only where the cheap ones pass.
+    """
+    n = F.size(tokens)
+    mean = F.length(F.array_join(tokens, "")) / F.nullif(n, F.lit(0))
     return (
         F.when((n < min_words) | (n > max_words), "words")
         .when((mean < 3) | (mean > 10), "mean_word_length")
         .when(T.letter_share(text) < F.lit(0.6), "letters")
-        .when(T.ellipsis_lines(text) / T.newline_count(text) > F.lit(0.3), "ellipses")
+        .when(text.contains("...") & (T.ellipsis_lines(text) / T.newline_count(text) > F.lit(0.3)), "ellipses")
         .when(T.bullet_lines(text) / T.newline_count(text) > F.lit(0.9), "bullets")
         .when((n >= 20) & (T.top_count(tokens) / n > F.lit(0.3)), "top_word")
         .when(T.repeats(text, 10), "repeats")

@@ -47,12 +47,13 @@ def words(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(rf"[^{BLANK}]+"))
+    return F.size(words(text))
 
 
 def mean_word_length(text: Column) -> Column:
     """Characters that are no blanks, per word; null without words."""
-    return F.length(F.regexp_replace(text, rf"[{BLANK}]", "")) / F.nullif(word_count(text), F.lit(0))
+    w = words(text)
+    return F.length(F.array_join(w, "")) / F.nullif(F.size(w), F.lit(0))
 
 
 def letter_share(text: Column) -> Column:
@@ -67,7 +68,7 @@ def lines(text: Column) -> Column:
 
 def newline_count(text: Column) -> Column:
     """Line feeds plus one, the denominator of the line shares."""
-    return F.regexp_count(text, F.lit(r"\n")) + 1
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
 
 def ellipsis_lines(text: Column) -> Column:
@@ -128,6 +129,13 @@ def ngrams(tokens: Column, n: int, whole_if_short: bool = False) -> Column:
     return F.when(F.size(tokens) >= n, runs).otherwise(F.when(F.size(tokens) > 0, short).otherwise(F.array().cast("array<string>")))
 
 
+def piece_count(text: Column) -> Column:
+    """ASCII alphanumeric runs and other single characters, a plain stand-in for a tokenizer."""
+    others = F.length(F.regexp_replace(text, "[A-Za-z0-9]+", ""))
+    runs = F.length(F.regexp_replace(F.regexp_replace(text, "[A-Za-z0-9]+", "a"), "[^a]", ""))
+    return others + runs
+
+
 #: Beginnings of templated instructions, stripped before fuzzy keys are made.
 TEMPLATES = (
     "Jelaskan|Uraikan|Ceritakan|Deskripsikan|Berikan penjelasan tentang|Tolong jelaskan|Bisakah kamu menjelaskan|"

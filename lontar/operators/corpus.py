@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lontar.functions import rules as R
 from lontar.functions import text as T
 from lontar.operators.order import first_wins
+from lontar.plans.runtime import cut
 
 NGRAM = 13
 MIN_WORDS, MAX_WORDS, LID_THRESHOLD = 50, 100_000, 0.65
@@ -40,33 +41,35 @@ def sourced(documents: DataFrame, specs: DataFrame) -> DataFrame:
 
 
 def filtered(rows: DataFrame) -> DataFrame:
-    """Adds the scrubbed text, its exact key, its estimated tokens and the first ``reason`` to drop it: length, gopher or null.
+    """Adds the scrubbed text, its words, exact key and estimated tokens, and the first ``reason`` to drop it: length, gopher or null.
 
-    The text is scrubbed in a projection of its own, before the expressions that read it many times.
+    Text and words are made in projections of their own, before the expressions that
+    read them many times.
     """
-    scrubbed = rows.withColumn("text", T.scrub(F.col("text")))
-    gopher = R.gopher_reason(F.col("text"), F.col("min_words"), F.col("max_words"))
-    marked = scrubbed.withColumn("gopher", F.when(F.length("text") > 0, gopher))
+    split = rows.withColumn("text", T.scrub(F.col("text"))).withColumn("words", T.words(F.col("text")))
+    gopher = R.gopher_reason(F.col("text"), F.col("words"), F.col("min_words"), F.col("max_words"))
+    marked = split.withColumn("gopher", F.when(F.length("text") > 0, gopher))
     reason = F.when(F.length("text") == 0, "length").when(F.col("gopher").isNotNull(), "gopher")
-    return marked.withColumn("reason", reason).withColumn("key", F.sha2("text", 256)).withColumn("tokens", T.estimated_tokens(F.col("text")))
+    tokens = F.greatest(F.lit(1), F.floor(F.size("words") * F.lit(0.75)).cast("int"))
+    return marked.withColumn("reason", reason).withColumn("key", F.sha2("text", 256)).withColumn("tokens", tokens)
 
 
-def gram_rows(rows: DataFrame, text: Column, *keep: str, n: int = NGRAM) -> DataFrame:
+def gram_rows(rows: DataFrame, words: Column, *keep: str, n: int = NGRAM) -> DataFrame:
     """``keep`` and ``gram``: the 64-bit hashes of the word n-grams of each text; none for shorter texts.
 
     The words are a column of their own below the explode, so they are split once per text
     and not once per position.
     """
-    words = rows.select(*keep, T.words(text).alias("__w")).where(F.size("__w") >= n)
-    placed = words.select(*keep, "__w", F.explode(F.sequence(F.lit(1), F.size("__w") - (n - 1))).alias("__i"))
+    split = rows.select(*keep, words.alias("__w")).where(F.size("__w") >= n)
+    placed = split.select(*keep, "__w", F.explode(F.sequence(F.lit(1), F.size("__w") - (n - 1))).alias("__i"))
     return placed.select(*keep, F.xxhash64(F.slice("__w", F.col("__i"), n)).alias("gram"))
 
 
 def test_grams(items: DataFrame, n: int = NGRAM) -> DataFrame:
-    return gram_rows(items, T.text_or_empty(F.col("text")), n=n).distinct()
+    return gram_rows(items, T.words(T.text_or_empty(F.col("text"))), n=n).distinct()
 
 
-def contaminated(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", n: int = NGRAM) -> DataFrame:
+def contaminated(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", n: int = NGRAM, words: Column | None = None) -> DataFrame:
     """Ids of the documents that share a word n-gram with a test item.
 
     Document grams meet the distinct test grams in a semi join on their hash: broadcast
@@ -75,7 +78,7 @@ def contaminated(documents: DataFrame, items: DataFrame, id_col: str = "doc_id",
     grams = test_grams(items, n)
     if grams.count() * 16 <= BROADCAST_GRAMS:
         grams = F.broadcast(grams)
-    own = gram_rows(documents, F.col("text"), id_col, n=n)
+    own = gram_rows(documents, T.words(F.col("text")) if words is None else words, id_col, n=n)
     return own.join(grams, "gram", "left_semi").select(id_col).distinct()
 
 
@@ -84,13 +87,14 @@ def staged(documents: DataFrame, registry_table: DataFrame, items: DataFrame) ->
 
     Exact copies are counted across sources, the first by source and id wins, and its
     key is taken before decontamination, so copies of contaminated texts count as copies.
+    The filters run once: their verdicts, without the texts, are written to the checkpoint folder.
     """
-    rows = filtered(sourced(documents, registry(registry_table)))
-    passed = rows.where("reason is null")
-    winners = first_wins(passed, ["key"], ["source", "doc_id"]).select(F.col("doc_id").alias("__first"))
-    leaked = contaminated(passed, items).select(F.col("doc_id").alias("__leak"))
-    marked = rows.join(winners, rows["doc_id"] == F.col("__first"), "left").join(leaked, rows["doc_id"] == F.col("__leak"), "left")
-    reason = F.coalesce("reason", F.when(F.col("__first").isNull(), "exact").when(F.col("__leak").isNotNull(), "decontam"))
+    rows = sourced(documents, registry(registry_table))
+    small = cut(filtered(rows).select("doc_id", "source", "bucket", "tokens", "key", "reason"))
+    leaked = contaminated(rows, items, words=T.words(T.scrub(F.col("text")))).select(F.col("doc_id").alias("__leak"))
+    winners = first_wins(small.where("reason is null"), ["key"], ["source", "doc_id"]).select(F.col("doc_id").alias("__win"))
+    marked = small.join(winners, small["doc_id"] == F.col("__win"), "left").join(leaked, small["doc_id"] == F.col("__leak"), "left")
+    reason = F.coalesce("reason", F.when(F.col("__win").isNull(), "exact").when(F.col("__leak").isNotNull(), "decontam"))
     return marked.select("doc_id", "source", "bucket", "tokens", reason.alias("reason"))
 
 

@@ -45,11 +45,12 @@ def masked_labels(ids: Column, marker: list[int]) -> Column:
     The search leaves out the last place at which a marker would end the sequence.
     """
     m = len(marker)
-    last = F.size(ids) - m
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    hits = F.filter(starts, lambda i: F.slice(ids, i, m) == F.array(*map(F.lit, marker)))
-    until = F.coalesce(F.get(hits, F.lit(0)) + (m - 1), F.lit(0))
-    return F.transform(ids, lambda x, i: F.when(i < until, F.lit(IGNORED)).otherwise(x))
+    text = F.concat(F.lit(" "), F.array_join(ids.cast("array<string>"), " "), F.lit(" "))
+    at = F.instr(text, " " + " ".join(map(str, marker)) + " ")
+    before = F.substring(text, F.lit(1), at - 1)
+    place = F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))
+    until = F.when((at > 0) & (place < F.size(ids) - m), place + m).otherwise(F.lit(0))
+    return F.concat(F.array_repeat(F.lit(IGNORED), until), F.slice(ids, until + 1, F.size(ids)))
 
 
 def pack(rows: DataFrame, order: str, ids: str, length: int, bos: int, eos: int) -> DataFrame:

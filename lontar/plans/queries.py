@@ -429,7 +429,7 @@ chosen("f_g_mean_wl", "documents", "doc_id", lambda: T.mean_word_length(col_text
 chosen("f_g_alpha", "documents", "doc_id", lambda: T.letter_share(col_text()) >= F.lit(0.6), f"{S.letters(TX)} >= 0.6::DOUBLE")
 chosen("f_g_ellipsis", "documents", "doc_id", lambda: T.ellipsis_lines(col_text()) / T.newline_count(col_text()) <= F.lit(0.3), f"{S.ellipses(TX)} <= 0.3::DOUBLE")
 chosen("f_g_bullet", "documents", "doc_id", lambda: T.bullet_lines(col_text()) / T.newline_count(col_text()) <= F.lit(0.9), f"{S.bullets(TX)} <= 0.9::DOUBLE")
-chosen("f_g_topword", "documents", "doc_id", lambda: (T.word_count(col_text()) >= 20) & (T.top_count(T.words(col_text())) / T.word_count(col_text()) > F.lit(0.3)), f"{S.n_words(TX)} >= 20 AND {S.top(S.words(TX))}::DOUBLE / {S.n_words(TX)} > 0.3::DOUBLE")
+chosen("f_g_topword", "documents", "doc_id", lambda: F.when(T.word_count(col_text()) >= 20, T.top_count(T.words(col_text())) / T.word_count(col_text()) > F.lit(0.3)), f"{S.n_words(TX)} >= 20 AND {S.top(S.words(TX))}::DOUBLE / {S.n_words(TX)} > 0.3::DOUBLE")
 chosen("f_g_repeat10", "documents", "doc_id", lambda: T.repeats(col_text(), 10), S.repeats(TX, 10))
 LEXICONS = {"id": R.STOPWORDS, "en": "the of and to in is that for was with as on are be this".split(), "jv": "ing lan sing kanggo ora iku wis karo saka".split(), "su": "nu jeung di ka pikeun teu ieu éta geus ku".split()}
 LID_W = S.words(f"lower(substr({TX}, 1, 2000))")
@@ -549,14 +549,14 @@ FERT = f"SELECT coalesce(lang, '(none)') AS lang, sum({PIECES.format(TX)}) AS to
 
 @query("a_fert_lang", FERT)
 def a_fert_lang(s, d):
-    rows = docs(s, d).select(F.coalesce("lang", F.lit("(none)")).alias("lang"), F.regexp_count("text", F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]")).alias("n_tokens"), T.word_count(F.col("text")).alias("n_words"))
+    rows = docs(s, d).select(F.coalesce("lang", F.lit("(none)")).alias("lang"), T.piece_count(F.col("text")).alias("n_tokens"), T.word_count(F.col("text")).alias("n_words"))
     return E.fertility(rows, ["lang"]).withColumn("fertility", F.round("fertility", 9))
 
 
 @query("s_fertility", f"SELECT doc_id, round(CASE WHEN {S.n_words(TX)} > 0 THEN {PIECES.format(TX)}::DOUBLE / {S.n_words(TX)} ELSE 0 END, 9) AS fertility FROM documents")
 def s_fertility(s, d):
     n = T.word_count(F.col("text"))
-    return docs(s, d).select("doc_id", F.round(F.when(n > 0, F.regexp_count("text", F.lit("[A-Za-z0-9]+|[^A-Za-z0-9]")) / n).otherwise(F.lit(0.0)), 9).alias("fertility"))
+    return docs(s, d).select("doc_id", F.round(F.when(n > 0, T.piece_count(F.col("text")) / n).otherwise(F.lit(0.0)), 9).alias("fertility"))
 
 
 @query("s_perplexity", "SELECT event_type, round(exp(sum(value / 100 * (event_id % 50)) / nullif(sum(event_id % 50), 0)), 6) AS perplexity FROM events GROUP BY event_type")
