@@ -90,9 +90,7 @@ def greedy(buckets: DataFrame, most_rounds: int = 200) -> DataFrame:
     """
     flat = cut(buckets.select("id", F.posexplode("buckets").alias("band", "bucket"), "grp"))
     key = ["grp", "band", "bucket"]
-    shared = flat.join(flat.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), key)
-    open_rows = cut(shared)
-    alone = buckets.select("id").join(open_rows.select("id").distinct(), "id", "left_anti").select("id", F.lit(True).alias("kept"), F.col("id").alias("class_id"))
+    shared = open_rows = cut(flat.join(flat.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), key))
     decided = None
     for _ in range(most_rounds):
         if open_rows.isEmpty():
@@ -101,10 +99,18 @@ def greedy(buckets: DataFrame, most_rounds: int = 200) -> DataFrame:
         seen = open_rows.join(first, key).groupBy("id").agg(F.max("first").alias("latest"), F.min("first").alias("earliest"))
         kept = seen.where("latest = id and earliest = id").select("id")
         lead = first.join(kept.withColumnRenamed("id", "first"), "first", "left_semi")
-        dropped = open_rows.join(lead, key).where("first < id").groupBy("id").agg(F.min("first").alias("class_id"))
-        step = cut(kept.select("id", F.lit(True).alias("kept"), F.col("id").alias("class_id")).unionByName(dropped.select("id", F.lit(False).alias("kept"), "class_id")))
+        dropped = open_rows.join(lead, key).where("first < id").select("id").distinct()
+        step = cut(kept.select("id", F.lit(True).alias("kept")).unionByName(dropped.select("id", F.lit(False).alias("kept"))))
         decided = step if decided is None else decided.unionByName(step)
         open_rows = cut(open_rows.join(step.select("id"), "id", "left_anti"))
     else:
         raise RuntimeError("greedy insertion did not end; raise most_rounds")
-    return alone if decided is None else alone.unionByName(decided)
+    own = F.col("id").alias("class_id")
+    if decided is None:
+        return buckets.select("id", F.lit(True).alias("kept"), own)
+    alone = buckets.select("id").join(decided.select("id"), "id", "left_anti").select("id", F.lit(True).alias("kept"), own)
+    # no two kept rows share a bucket, so each bucket has one kept row at most
+    leads = shared.join(decided.where("kept").select("id"), "id", "left_semi").select(*key, F.col("id").alias("lead"))
+    lost = shared.join(decided.where("not kept").select("id"), "id", "left_semi").join(leads, key).where("lead < id")
+    classes = lost.groupBy("id").agg(F.min("lead").alias("class_id")).select("id", F.lit(False).alias("kept"), "class_id")
+    return alone.unionByName(decided.where("kept").select("id", "kept", own)).unionByName(classes)
