@@ -38,15 +38,18 @@ def apportion(shares: list[float], caps: list[int], seats: int) -> list[int]:
     the seats; the last seats go one by one to the highest quotients, of equal ones to
     the first.
     """
-    seats = min(seats, sum(c for s, c in zip(shares, caps) if s > 0))
+    most = [c if s > 0 else 0 for s, c in zip(shares, caps)]
+    if seats >= sum(most):
+        return most
     if seats <= 0:
         return [0] * len(shares)
 
     def at(divisor: float) -> list[int]:
         return [min(c, int(s / divisor + 0.5)) if s > 0 else 0 for s, c in zip(shares, caps)]
 
-    low, high = 1e-300, 4 * sum(shares) + 1.0
-    for _ in range(2_000):
+    # at the low end every source with a share has more than ``seats`` or its cap
+    low, high = min(s for s in shares if s > 0) / (2.0 * seats + 2), 4 * sum(shares) + 1.0
+    for _ in range(200):
         middle = (low * high) ** 0.5
         if sum(at(middle)) > seats:
             low = middle

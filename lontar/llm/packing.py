@@ -17,8 +17,8 @@ OPENING = 64
 
 
 def lengths(capacity: int) -> list[int]:
-    """The permitted container lengths: the capacity and its halves down to an eighth."""
-    return sorted({max(1, capacity >> k) for k in range(4)})
+    """The permitted container lengths: the eighths of the capacity."""
+    return sorted({max(1, capacity * k // 8) for k in range(1, 9)})
 
 
 def best_fit(sizes: list[int], permitted: list[int]) -> tuple[list[int], list[int], list[int]]:
