@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lontar.functions import text as T
@@ -110,14 +110,20 @@ def quality_autopilot(instruction: Column, output: Column) -> Column:
     return F.when(unsafe, F.lit(0.0)).otherwise(F.least(s, F.lit(1.0)))
 
 
-def quality_auditor(instruction: Column, output: Column) -> Column:
-    """The stricter score: hard zeros, penalties for length, repetition and templates, clamped to 0..1."""
-    inst, out = T.strip(instruction), T.strip(output)
-    n, hits, sentences = F.length(out), lexicon_hits(out, MORE_COMMON_WORDS), _sentences(out)
-    count = F.size(sentences)
-    unique = F.when(count > 1, F.size(F.array_distinct(sentences)) / count)
-    tokens = T.words(F.lower(out))
-    top = (F.size(tokens) > 10) & (T.top_count(tokens) / F.size(tokens) * 100 > 30)
+def with_auditor_score(df: DataFrame, instruction: Column, output: Column, name: str = "score") -> DataFrame:
+    """Adds the stricter score: hard zeros, penalties for length, repetition and templates, clamped to 0..1.
+
+    Stripped texts, words and sentences are made in projections of their own, so each is
+    made once per row and not once per term.
+    """
+    inst, out, tokens, sentences = (F.col(f"__{c}") for c in "iows")
+    texts = df.withColumn("__i", T.strip(instruction)).withColumn("__o", T.strip(output))
+    parts = texts.withColumn("__w", T.words(F.lower(out))).withColumn("__s", _sentences(out))
+    lexicon = F.array(*map(F.lit, MORE_COMMON_WORDS))
+    measured = parts.withColumn("__h", F.size(F.array_intersect(tokens, lexicon))).withColumn("__u", F.size(F.array_distinct(sentences))).withColumn("__t", F.when(F.size(tokens) > 10, T.top_count(tokens)))
+    n, hits, count = F.length(out), F.col("__h"), F.size(sentences)
+    unique = F.when(count > 1, F.col("__u") / count)
+    top = (F.size(tokens) > 10) & (F.col("__t") / F.size(tokens) * 100 > 30)
     template = reduce(lambda a, b: a | b, (inst.startswith(t) for t in TEMPLATE_STARTS))
     s = _sum(
         (n > 3000, -0.1), (n > 50, 0.1), (n > 100, 0.1), (n > 200, 0.05), (F.length(inst) > 15, 0.1), (inst.contains("?") | inst.contains("!"), 0.05),
@@ -125,7 +131,8 @@ def quality_auditor(instruction: Column, output: Column) -> Column:
         (out.contains("."), 0.03), (out.contains(","), 0.02), (top, -0.2), (template & (n < 100), -0.15),
     )
     zero = (n < 30) | (F.length(inst) < 8) | bad_words(F.concat(inst, F.lit(" "), out))
-    return F.when(zero, F.lit(0.0)).otherwise(F.greatest(F.least(s, F.lit(1.0)), F.lit(0.0)))
+    score = F.when(zero, F.lit(0.0)).otherwise(F.greatest(F.least(s, F.lit(1.0)), F.lit(0.0)))
+    return measured.withColumn(name, score).drop("__i", "__o", "__w", "__s", "__h", "__u", "__t")
 
 
 def hint_score(simple: Column) -> Column:
@@ -160,10 +167,12 @@ def reject_reason(instruction: Column, response: Column, source: Column, simple_
     )
 
 
-def preference_clean(prompt: Column, chosen: Column, rejected: Column) -> Column:
-    """Whether a preference pair is long enough on all sides, differs, and has a chosen answer of quality."""
+def preference_clean(df: DataFrame) -> DataFrame:
+    """Preference pairs long enough on all sides, with different answers, the chosen one not much shorter and of quality."""
+    prompt, chosen, rejected = F.col("prompt"), F.col("chosen"), F.col("rejected")
     sizes = (F.length(prompt) >= 5) & (F.length(chosen) >= 20) & (F.length(rejected) >= 5)
-    return sizes & (chosen != rejected) & (F.length(chosen) >= F.length(rejected) * F.lit(0.5)) & (quality_auditor(prompt, chosen) >= F.lit(MIN_QUALITY_PREFERENCE))
+    fit = df.where(sizes & (chosen != rejected) & (F.length(chosen) >= F.length(rejected) * F.lit(0.5)))
+    return with_auditor_score(fit, prompt, chosen, "__score").where(F.col("__score") >= F.lit(MIN_QUALITY_PREFERENCE)).drop("__score")
 
 
 def grade(answer: Column, must: Column, must_not: Column, min_length: Column) -> Column:

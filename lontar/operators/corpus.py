@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lontar.functions import rules as R
 from lontar.functions import text as T
+from lontar.functions.grams import gram_hashes
 from lontar.operators.order import first_wins
-from lontar.plans.runtime import cut
+from lontar.plans.runtime import cut, ship, spread
 
 NGRAM = 13
 MIN_WORDS, MAX_WORDS, LID_THRESHOLD = 50, 100_000, 0.65
@@ -36,7 +37,7 @@ def registry(table: DataFrame) -> DataFrame:
 def sourced(documents: DataFrame, specs: DataFrame) -> DataFrame:
     """Documents of registered sources with their specification; the registry is a small dimension."""
     text = T.text_or_empty(F.col("text"))
-    rows = documents.select("doc_id", text.alias("text"), source_key(F.col("source")).alias("source"))
+    rows = spread(documents.select("doc_id", text.alias("text"), source_key(F.col("source")).alias("source")))
     return rows.join(F.broadcast(specs), "source")
 
 
@@ -54,31 +55,21 @@ def filtered(rows: DataFrame) -> DataFrame:
     return marked.withColumn("reason", reason).withColumn("key", F.sha2("text", 256)).withColumn("tokens", tokens)
 
 
-def gram_rows(rows: DataFrame, words: Column, *keep: str, n: int = NGRAM) -> DataFrame:
-    """``keep`` and ``gram``: the 64-bit hashes of the word n-grams of each text; none for shorter texts.
-
-    The words are a column of their own below the explode, so they are split once per text
-    and not once per position.
-    """
-    split = rows.select(*keep, words.alias("__w")).where(F.size("__w") >= n)
-    placed = split.select(*keep, "__w", F.explode(F.sequence(F.lit(1), F.size("__w") - (n - 1))).alias("__i"))
-    return placed.select(*keep, F.xxhash64(F.slice("__w", F.col("__i"), n)).alias("gram"))
-
-
 def test_grams(items: DataFrame, n: int = NGRAM) -> DataFrame:
-    return gram_rows(items, T.words(T.text_or_empty(F.col("text"))), n=n).distinct()
+    return items.select(F.explode(gram_hashes(n)("text")).alias("gram")).distinct()
 
 
-def contaminated(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", n: int = NGRAM, words: Column | None = None) -> DataFrame:
-    """Ids of the documents that share a word n-gram with a test item.
+def contaminated(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", n: int = NGRAM, text: Column | None = None) -> DataFrame:
+    """Ids of the documents that share a word n-gram with a test item (by 64-bit hashes of the n-grams).
 
-    Document grams meet the distinct test grams in a semi join on their hash: broadcast
+    Document grams meet the distinct test grams in a semi join on the hash: broadcast
     when the grams, counted first, are within ``BROADCAST_GRAMS`` bytes, shuffled otherwise.
     """
-    grams = test_grams(items, n)
+    ship(documents.sparkSession)
+    grams = cut(test_grams(items, n))
     if grams.count() * 16 <= BROADCAST_GRAMS:
         grams = F.broadcast(grams)
-    own = gram_rows(documents, T.words(F.col("text")) if words is None else words, id_col, n=n)
+    own = documents.select(id_col, F.explode(gram_hashes(n)(F.col("text") if text is None else text)).alias("gram"))
     return own.join(grams, "gram", "left_semi").select(id_col).distinct()
 
 
@@ -91,7 +82,7 @@ def staged(documents: DataFrame, registry_table: DataFrame, items: DataFrame) ->
     """
     rows = sourced(documents, registry(registry_table))
     small = cut(filtered(rows).select("doc_id", "source", "bucket", "tokens", "key", "reason"))
-    leaked = contaminated(rows, items, words=T.words(T.scrub(F.col("text")))).select(F.col("doc_id").alias("__leak"))
+    leaked = contaminated(rows, items, text=T.scrub(F.col("text"))).select(F.col("doc_id").alias("__leak"))
     winners = first_wins(small.where("reason is null"), ["key"], ["source", "doc_id"]).select(F.col("doc_id").alias("__win"))
     marked = small.join(winners, small["doc_id"] == F.col("__win"), "left").join(leaked, small["doc_id"] == F.col("__leak"), "left")
     reason = F.coalesce("reason", F.when(F.col("__win").isNull(), "exact").when(F.col("__leak").isNotNull(), "decontam"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lontar.functions import text as T
+from lontar.functions.grams import rolling
 from lontar.operators.order import first_wins
 from lontar.plans.runtime import cut, ship, spread
 
@@ -25,9 +27,10 @@ def by_two_keys(df: DataFrame, exact_key: Column, fuzzy_key: Column, order: str)
     """``order``, ``kept``, ``reason``: exact copies go first, then copies by the coarser key among the rest.
 
     A row is an ``exact`` copy when an earlier one has its exact key, otherwise a ``fuzzy``
-    one when an earlier row that is no exact copy has its coarser key.
+    one when an earlier row that is no exact copy has its coarser key.  The keys are made
+    once and written, without the texts, to the checkpoint folder.
     """
-    keyed = df.select(order, exact_key.alias("e"), fuzzy_key.alias("f"))
+    keyed = cut(df.select(order, exact_key.alias("e"), fuzzy_key.alias("f")))
     firsts = first_wins(keyed, ["e"], [order]).select(F.col(order).alias("__e"))
     marked = keyed.join(firsts, keyed[order] == F.col("__e"), "left").withColumn("first", F.col("__e").isNotNull())
     kept = first_wins(marked.where("first"), ["f"], [order]).select(F.col(order).alias("__f"))
@@ -51,28 +54,19 @@ def signatures(df: DataFrame, id_col: str, text: Column, group: Column | None =
     b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
 
     def work(batches):
-        import xxhash
-
         for batch in batches:
             buckets = []
             for text in batch.column(2).to_pylist():
                 w = text.split()
-                n = SHINGLE_WORDS
-                if len(w) >= n:
-                    grams = {" ".join(w[i : i + n]) for i in range(len(w) - n + 1)}
-                else:
-                    grams = {" ".join(w)} if w and short_whole else set()
-                hashes = np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), np.uint64, len(grams))
+                hashes = rolling(w, SHINGLE_WORDS if len(w) >= SHINGLE_WORDS or not short_whole else max(1, len(w)))
                 least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
                 for k in range(0, len(hashes), 4096):
-                    part = hashes[k : k + 4096]
                     with np.errstate(over="ignore"):
-                        mixed = part[:, None] * a + b
+                        mixed = hashes[k : k + 4096, None] * a + b
                         mixed ^= mixed >> np.uint64(29)
                         mixed *= np.uint64(0xBF58476D1CE4E5B9)
                     least = np.minimum(least, mixed.min(0))
-                raw = least.reshape(bands, rows)
-                buckets.append([xxhash.xxh64_intdigest(r.tobytes(), seed=k) & (1 << 63) - 1 for k, r in enumerate(raw)])
+                buckets.append([xxhash.xxh64_intdigest(r.tobytes(), seed=k) & (1 << 63) - 1 for k, r in enumerate(least.reshape(bands, rows))])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(buckets, pa.list_(pa.int64()))], names=["id", "grp", "buckets"])
 
     return spread(chosen).mapInArrow(work, f"id {kind}, grp string, buckets array<bigint>")

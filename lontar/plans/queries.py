@@ -17,6 +17,7 @@ from lontar.operators import evaluation as E
 from lontar.operators import order as O
 from lontar.operators import packing as P
 from lontar.plans import sql as S
+from lontar.plans.runtime import spread
 from lontar.sources import readers, sinks
 from lontar.sources.tables import table
 from lontar.streaming import corpus as ST
@@ -42,12 +43,17 @@ def col_text(c: str = "text") -> Column:
 
 def docs(s: SparkSession, d: str) -> DataFrame:
     """Documents with the empty text for null."""
-    return table(s, d, "documents").select("doc_id", col_text().alias("text"), "source", "lang")
+    return spread(table(s, d, "documents").select("doc_id", col_text().alias("text"), "source", "lang"))
 
 
 def pairs(s: SparkSession, d: str) -> DataFrame:
     """Instruction pairs with the empty text for null."""
-    return table(s, d, "sft_pool").select("pair_id", col_text("instruction").alias("instruction"), col_text("output").alias("output"), "source", "category")
+    return spread(table(s, d, "sft_pool").select("pair_id", col_text("instruction").alias("instruction"), col_text("output").alias("output"), "source", "category"))
+
+
+def audited(s: SparkSession, d: str) -> DataFrame:
+    """Instruction pairs with the stricter score."""
+    return R.with_auditor_score(pairs(s, d), F.col("instruction"), F.col("output"))
 
 
 def specs(s: SparkSession, d: str) -> DataFrame:
@@ -63,7 +69,7 @@ def scalar(name: str, tab: str, key: str, made: Callable[[], Column], sql: str,
 
     @query(name, f"SELECT {key}, {sql} AS {out} FROM {tab}")
     def run(s: SparkSession, d: str) -> DataFrame:
-        return table(s, d, tab).select(key, made().alias(out))
+        return spread(table(s, d, tab)).select(key, made().alias(out))
 
 
 def chosen(name: str, tab: str, key: str, made: Callable[[], Column], sql: str) -> None:
@@ -71,7 +77,7 @@ def chosen(name: str, tab: str, key: str, made: Callable[[], Column], sql: str)
 
     @query(name, f"SELECT {key} FROM {tab} WHERE {sql}")
     def run(s: SparkSession, d: str) -> DataFrame:
-        return table(s, d, tab).where(made()).select(key)
+        return spread(table(s, d, tab)).where(made()).select(key)
 
 
 TX = "coalesce(text, '')"
@@ -510,8 +516,8 @@ def auditor_score(i: str, o: str) -> str:
 
 @query("f_dpo_clean", f"WITH p AS (SELECT pair_id, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen, coalesce(rejected, '') AS rejected FROM dpo_pool) SELECT pair_id FROM p WHERE length(prompt) >= 5 AND length(chosen) >= 20 AND length(rejected) >= 5 AND chosen <> rejected AND length(chosen) >= length(rejected) * 0.5::DOUBLE AND {auditor_score('prompt', 'chosen')} >= 0.3::DOUBLE")
 def f_dpo_clean(s, d):
-    rows = table(s, d, "dpo_pool").select("pair_id", *(col_text(c).alias(c) for c in ("prompt", "chosen", "rejected")))
-    return rows.where(R.preference_clean(F.col("prompt"), F.col("chosen"), F.col("rejected"))).select("pair_id")
+    rows = spread(table(s, d, "dpo_pool").select("pair_id", *(col_text(c).alias(c) for c in ("prompt", "chosen", "rejected"))))
+    return R.preference_clean(rows).select("pair_id")
 
 
 chosen("f_sft_train", "sft_pool", "pair_id", lambda: (F.col("instruction") != "") & (F.length("output") > 20), "instruction <> '' AND length(output) > 20")
@@ -521,7 +527,11 @@ chosen("f_seed_len", "sft_pool", "pair_id", lambda: F.length(T.normalize(col_tex
 # ---------------------------------------------------------------- scores
 
 scalar("s_quality_autopilot", "sft_pool", "pair_id", lambda: R.quality_autopilot(col_text("instruction"), col_text("output")), auto_score(IN, OUT), "score")
-scalar("s_quality_auditor", "sft_pool", "pair_id", lambda: R.quality_auditor(col_text("instruction"), col_text("output")), auditor_score(IN, OUT), "score")
+@query("s_quality_auditor", f"SELECT pair_id, {auditor_score(IN, OUT)} AS score FROM sft_pool")
+def s_quality_auditor(s, d):
+    return audited(s, d).select("pair_id", "score")
+
+
 scalar("s_quality_unified", "sft_pool", "pair_id", lambda: R.quality_unified(col_text("instruction"), col_text("output"), T.simplify(T.normalize(col_text("output")))), UNIFIED, "score")
 
 ANSWERS = f"""ans AS (SELECT pair_id, coalesce(category, '(none)') AS category, 1.0::DOUBLE + length(coalesce(category, '(none)')) % 3 AS weight, {OUT} AS answer, list_filter({S.words(f'lower({IN})')}, lambda x: length(x) > 5) AS must, ['maaf', 'sorry', 'null'] AS must_not, 20 AS min_length FROM sft_pool)"""
@@ -675,13 +685,13 @@ def a_category_counts(s, d):
 
 @query("a_score_hist", f"WITH h AS (SELECT floor(({auditor_score(IN, OUT)}) * 10) / 10 AS bucket, count(*) AS n FROM sft_pool GROUP BY ALL) SELECT bucket, n, floor(n::DOUBLE / max(n) OVER () * 30)::INT AS bar FROM h")
 def a_score_hist(s, d):
-    q = pairs(s, d).select((F.floor(R.quality_auditor(F.col("instruction"), F.col("output")) * 10) / 10).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    q = audited(s, d).select((F.floor(F.col("score") * 10) / 10).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     return q.select("bucket", "n", F.floor(F.col("n") / F.max("n").over(Window.partitionBy(F.lit(0))) * 30).cast("int").alias("bar"))
 
 
 @query("a_audit_summary", f"WITH {PAIRS}, g AS (SELECT *, {auditor_score('instruction', 'output')} >= 0.45::DOUBLE AS good FROM p) SELECT count(*) AS before, count(*) FILTER (good) AS after, round(100 - 100.0::DOUBLE * count(*) FILTER (good) / count(*), 6) AS reduction, round(avg(length(instruction)) FILTER (good), 6) AS mean_instruction, round(avg(length(output)) FILTER (good), 6) AS mean_output FROM g")
 def a_audit_summary(s, d):
-    g = pairs(s, d).withColumn("good", R.quality_auditor(F.col("instruction"), F.col("output")) >= F.lit(R.MIN_QUALITY_AUDITOR))
+    g = audited(s, d).withColumn("good", F.col("score") >= F.lit(R.MIN_QUALITY_AUDITOR))
     good = lambda c: F.round(F.avg(F.when(F.col("good"), F.length(c))), 6)
     return g.agg(F.count("*").alias("before"), F.count_if("good").alias("after"), F.round(100 - F.lit(100.0) * F.count_if("good") / F.count("*"), 6).alias("reduction"), good("instruction").alias("mean_instruction"), good("output").alias("mean_output"))
 
