@@ -114,7 +114,7 @@ def document_languages(documents: DataFrame, samples: DataFrame) -> DataFrame:
             language.append(model.languages[top])
             sure.append(round(float(sum(c * s.words for c, s in zip(chance, x))) / words, 6))
             share.append(round(sum(s.words for s in x if s.language == top) / words, 6))
-            long.append([model.languages[k] for k in long_languages(x, top)])
+            long.append([model.languages[k] for k in long_languages(x)])
         return batch(doc_id=b.column(0), language=pa.array(language, pa.string()), confidence=pa.array(sure, pa.float64()), share=pa.array(share, pa.float64()), languages=pa.array(long, pa.list_(pa.string())))
 
     return map_batches(spread(rows), work, f"doc_id {rows.schema[0].dataType.simpleString()}, language string, confidence double, share double, languages array<string>")
@@ -137,7 +137,7 @@ def wrong_labels(documents: DataFrame, samples: DataFrame, labels: DataFrame) ->
             if sum(s.words for s in x) < LEAST_WORDS or len(texts[i].split()) < LEAST_WORDS:
                 continue
             top = main_language(x, len(model.languages))
-            long = long_languages(x, top)
+            long = long_languages(x)
             if long and (canonical(marks[i]) != model.languages[top] or len(long) > 1):
                 found.append((i, long))
         if found and kinds is not None:

@@ -90,7 +90,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def segment_batch(texts: list[str | None], scores: WordScores, factor: float) -> list[list[Segment]]:
-    """For each text its runs of one language, in order; texts without words have none."""
+    """For each text its runs of one language, in order; texts without words have none.
+
+    A run is of another language than the main one only where its words score ``MARGIN``
+    higher for it on average; a weaker run is odd text of the main language and joins its
+    neighbours.
+    """
     all_words: list[str] = []
     all_sizes: list[int] = []
     per: list[tuple[int, int]] = []
@@ -117,14 +122,19 @@ def segment_batch(texts: list[str | None], scores: WordScores, factor: float) ->
         path = labels
         if n_units > 1 and (labels != labels[0]).any():
             path = best_path(mine, SWITCH)
-        edge = np.flatnonzero(np.diff(path)) + 1
-        begins = np.concatenate([[0], edge])
-        total = np.add.reduceat(mine, begins, axis=0)
-        count = np.add.reduceat(sizes, begins)
-        sure = softmax(total / count[:, None] * factor)
-        first = np.concatenate([[0], count.cumsum()[:-1]])
+        begins = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1])
+        total, count, language = np.add.reduceat(mine, begins, axis=0), np.add.reduceat(sizes, begins), path[begins]
+        if len(begins) > 1:
+            main = int(total.sum(0).argmax())
+            mean = total / count[:, None]
+            ahead = mean[np.arange(len(language)), language] - mean[:, main]
+            language = np.where(ahead < MARGIN, main, language)
+            begins = np.concatenate([[0], np.flatnonzero(np.diff(language)) + 1])
+            total, count, language = np.add.reduceat(total, begins, axis=0), np.add.reduceat(count, begins), language[begins]
         mean = total / count[:, None]
-        out.append([Segment(int(path[b]), int(f), int(c), float(s[path[b]]), v) for b, f, c, s, v in zip(begins, first, count, sure, mean)])
+        sure = softmax(mean * factor)
+        first = np.concatenate([[0], count.cumsum()[:-1]])
+        out.append([Segment(int(k), int(f), int(c), float(s[k]), v) for k, f, c, s, v in zip(language, first, count, sure, mean)])
     return out
 
 
@@ -133,21 +143,6 @@ def main_language(segments: list[Segment], languages: int) -> int:
     return int(sum(s.mean * s.words for s in segments).argmax()) if segments else -1
 
 
-def long_languages(segments: list[Segment], main: int) -> list[int]:
-    """Languages of at least ``SEGMENT_WORDS`` consecutive words.
-
-    A run counts for another language than the main one only where its words score
-    ``MARGIN`` higher for it on average; a weaker run is odd text of the main language
-    and joins its neighbours.
-    """
-    found, run = set(), 0
-    for s in segments:
-        if s.language != main and s.mean[s.language] - s.mean[main] >= MARGIN:
-            if s.words >= SEGMENT_WORDS:
-                found.add(s.language)
-            run = 0
-        else:
-            run += s.words
-            if run >= SEGMENT_WORDS:
-                found.add(main)
-    return sorted(found)
+def long_languages(segments: list[Segment]) -> list[int]:
+    """Languages of at least ``SEGMENT_WORDS`` consecutive words."""
+    return sorted({s.language for s in segments if s.words >= SEGMENT_WORDS})
