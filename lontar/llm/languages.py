@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lontar.llm.arrow import batch, map_batches
 from lontar.llm.boosting import Boosted
-from lontar.llm.quality import kinds_of, train_kinds
+from lontar.llm.quality import kinds_of, known_words, train_kinds
 from lontar.llm.segments import Segment, long_languages, main_language, segment_batch, sharpness, softmax
 from lontar.llm.spectrum import SpectrumModel
 from lontar.plans.runtime import spread
@@ -127,7 +127,8 @@ def wrong_labels(documents: DataFrame, samples: DataFrame, labels: DataFrame) ->
     the kind is looked at only where the label or a second language calls for it.
     """
     model = LanguageModel.fit(samples)
-    kinds: Boosted | None = train_kinds(documents, labels)
+    common = known_words(samples)
+    kinds: Boosted | None = train_kinds(documents, labels, common)
     rows = documents.select("doc_id", "text", "lang")
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -141,7 +142,7 @@ def wrong_labels(documents: DataFrame, samples: DataFrame, labels: DataFrame) ->
             if long and (canonical(marks[i]) != model.languages[top] or len(long) > 1):
                 found.append((i, long))
         if found and kinds is not None:
-            kind, _ = kinds_of([texts[i] for i, _ in found], kinds)
+            kind, _ = kinds_of([texts[i] for i, _ in found], kinds, common)
             found = [f for f, k in zip(found, kind) if k == 0]
         cases = [(i, model.languages[k]) for i, long in found for k in long]
         if not cases:

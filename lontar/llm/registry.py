@@ -17,15 +17,15 @@ def _limit(spark: SparkSession, sf_dir: str, task: str) -> tuple[int, int]:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return quality.structural(table(spark, d, "documents"), table(spark, d, "labels"))
+    return quality.structural(table(spark, d, "documents"), table(spark, d, "labels"), table(spark, d, "lang_samples"))
 
 
 def p1_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return quality.document_kinds(table(spark, d, "documents"), table(spark, d, "labels"))
+    return quality.document_kinds(table(spark, d, "documents"), table(spark, d, "labels"), table(spark, d, "lang_samples"))
 
 
 def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return quality.text_statistics(table(spark, d, "documents"))
+    return quality.text_statistics(table(spark, d, "documents"), table(spark, d, "lang_samples"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

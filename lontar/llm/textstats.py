@@ -5,28 +5,37 @@ from __future__ import annotations
 import re
 from collections import Counter
 from math import log1p
+from zlib import compress
 
 import numpy as np
 
-#: Frequent function words of English, Indonesian, Malay, Javanese and Sundanese.
+#: Frequent function words of English and Indonesian, the base of the common words.
 COMMON = frozenset(
     """
     the a an of and to in is was were are be been by for with on at that this it as from or not but which who will would could should can had has have
-    they we you he she his her their our its than then there while although because so before after when where what how many some every other
     yang dan di ke dari untuk pada dengan adalah itu ini tidak akan oleh karena juga atau dalam bisa ada sudah belum harus saya kami kita mereka anda
-    lebih agar tetapi sedangkan meskipun setelah sebelum sehingga bahwa hanya semua banyak boleh tetap masih sedang telah menjadi para kepada
-    kerana supaya manakala walaupun selepas daripada ialah tidak hendak ramai sesiapa terdapat bagi
-    lan ing sing iku kuwi ora wis durung arep karo kanggo saka marang dening amarga nanging supaya sanajan sawise sadurunge akeh kabeh sapa wae isih lagi
-    jeung nu di ka ti pikeun keur geus can henteu teu ku kana dina éta ieu lantaran tapi sangkan sanajan sanggeus saméméh loba sadaya saha bisa masih baris
     """.split()
 )
+#: A word is common in a language if it stands in at least this share of the language's samples.
+COMMON_SHARE = 0.1
+
+
+def common_words(samples: list[tuple[str, str]]) -> frozenset[str]:
+    """The base and the words that are common in any language of (language, text) samples."""
+    seen: dict[str, Counter] = {}
+    total: Counter = Counter()
+    for language, text in samples:
+        total[language] += 1
+        seen.setdefault(language, Counter()).update(set(_WORD.findall(text.lower())))
+    return COMMON | {w for k, c in seen.items() for w, n in c.items() if n >= max(3, COMMON_SHARE * total[k]) and not w.isdigit()}
+
 
 NAMES = (
     "log_chars", "log_words", "log_lines", "mean_word_len", "letter_share", "digit_share", "symbol_share", "blank_share",
     "end_mark_share", "comma_end_share", "marker_share", "log_words_line", "line_spread", "log_longest_line", "short_line_share",
     "common_share", "type_share", "top_word_share", "pair_share", "column_share", "columns", "log_longest_run",
     "odd_share", "code_line_share", "line_type_share", "sentences_words", "capital_line_share", "number_word_share",
-    "log_types", "colon_share", "gap_share", "seen_letters", "comma_word_share", "quote_line_share", "one_word_line_share",
+    "log_types", "entry_share", "packed_share", "colon_share", "gap_share", "seen_letters", "comma_word_share", "quote_line_share", "one_word_line_share",
 )
 
 _WORD = re.compile(r"[^\W_]+")
@@ -45,7 +54,7 @@ _END = frozenset(".!?…。:")
 _CLOSE = "\"'”’)]*_»"
 
 
-def statistics(text: str | None) -> list[float]:
+def statistics(text: str | None, common: frozenset[str] = COMMON) -> list[float]:
     """The values of ``NAMES`` for one text; null, empty and blank texts give zeros."""
     text = text or ""
     lines = [s for s in map(str.strip, text.splitlines()) if s]
@@ -54,8 +63,8 @@ def statistics(text: str | None) -> list[float]:
     words = _WORD.findall(text.lower())
     chunks = text.split()
     n, m, solid = len(words), len(lines), len("".join(chunks))
-    if text.isascii():
-        raw = text.encode()
+    raw = text.encode("utf-8", "replace")
+    if len(raw) == len(text):
         letters, digits = len(raw) - len(raw.translate(None, _ASCII_LETTERS)), len(raw) - len(raw.translate(None, b"0123456789"))
     else:
         letters, digits = len("".join(_LETTERS.findall(text))), len("".join(_DIGITS.findall(text)))
@@ -85,14 +94,14 @@ def statistics(text: str | None) -> list[float]:
         log1p(len(text)), log1p(n), log1p(m), sum(map(len, words)) / n if n else 0.0, letters / solid, digits / solid, (solid - letters - digits) / solid, 1 - solid / len(text),
         sum(e in _END for e in ends) / m, sum(e in ",;" for e in ends) / m, sum(_MARKER.match(s) is not None for s in lines) / m,
         log1p(mean_per), (sum((x - mean_per) ** 2 for x in per) / m) ** 0.5 / (1 + mean_per), log1p(max(per)), sum(x <= 8 for x in per) / m,
-        sum(map(counts.__getitem__, COMMON & counts.keys())) / n if n else 0.0, len(counts) / n if n else 0.0, top / n if n else 0.0,
+        sum([c for w, c in counts.items() if w in common]) / n if n else 0.0, len(counts) / n if n else 0.0, top / n if n else 0.0,
         pairs / (n - 1) if n > 1 else 1.0, column_share, log1p(columns), log1p(max(map(len, chunks))),
-        len(_ODD.findall(text)) / solid if not text.isascii() else 0.0, sum(_CODE.search(s) is not None for s in lines) / m, len(set(lines)) / m,
+        len(_ODD.findall(text)) / solid if len(raw) != len(text) else 0.0, sum(_CODE.search(s) is not None for s in lines) / m, len(set(lines)) / m,
         marks / (1 + n), sum(s[0].isupper() for s in lines) / m, sum(map(str.isdigit, words)) / n if n else 0.0,
-        log1p(len(counts)), text.count(":") / m, gaps / m, log1p(len(set(text))),
+        log1p(len(counts)), sum(x <= 8 and e not in _END for x, e in zip(per, ends)) / m, len(compress(raw, 1)) / len(raw) if len(raw) >= 256 else 0.5, text.count(":") / m, gaps / m, log1p(len(set(text))),
         text.count(",") / (1 + n), sum(s[0] in "\"'“‘" for s in lines) / m, sum(x == 1 for x in per) / m,
     ]
 
 
-def matrix(texts: list[str | None]) -> np.ndarray:
-    return np.array([statistics(t) for t in texts], dtype=np.float64).reshape(len(texts), len(NAMES))
+def matrix(texts: list[str | None], common: frozenset[str] = COMMON) -> np.ndarray:
+    return np.array([statistics(t, common) for t in texts], dtype=np.float64).reshape(len(texts), len(NAMES))
