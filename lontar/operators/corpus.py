@@ -9,7 +9,7 @@ from lontar.functions import rules as R
 from lontar.functions import text as T
 from lontar.functions.grams import gram_hashes
 from lontar.operators.order import first_wins
-from lontar.plans.runtime import cut, ship, spread
+from lontar.plans.runtime import broadcast_small, cut, ship, spread
 
 NGRAM = 13
 MIN_WORDS, MAX_WORDS, LID_THRESHOLD = 50, 100_000, 0.65
@@ -38,7 +38,7 @@ def sourced(documents: DataFrame, specs: DataFrame) -> DataFrame:
     """Documents of registered sources with their specification; the registry is a small dimension."""
     text = T.text_or_empty(F.col("text"))
     rows = spread(documents.select("doc_id", text.alias("text"), source_key(F.col("source")).alias("source")))
-    return rows.join(F.broadcast(specs), "source")
+    return rows.join(broadcast_small(specs), "source")
 
 
 def filtered(rows: DataFrame) -> DataFrame:
@@ -100,11 +100,11 @@ def bucket_targets(mix: DataFrame, total_tokens: int) -> DataFrame:
     """Tokens of each bucket: the middle of its range, normalised over all buckets, rounded down."""
     middle = (F.col("share_min") + F.col("share_max")) / F.lit(2.0)
     rows = mix.where("bucket is not null").select("bucket", middle.alias("middle"))
-    total = rows.agg(F.sum("middle").alias("total"))
-    return rows.crossJoin(F.broadcast(total)).select("bucket", F.floor(F.lit(total_tokens) * F.col("middle") / F.col("total")).cast("bigint").alias("target_tokens"))
+    total = rows.agg(F.sum("middle")).first()[0]
+    return rows.select("bucket", F.floor(F.lit(total_tokens) * F.col("middle") / F.lit(total)).cast("bigint").alias("target_tokens"))
 
 
 def source_budgets(specs: DataFrame, targets: DataFrame) -> DataFrame:
     """Each source's equal part of its bucket's target, rounded down."""
     counted = specs.groupBy("bucket").agg(F.count("*").alias("sources"))
-    return specs.select("source", "bucket").join(F.broadcast(counted), "bucket").join(F.broadcast(targets), "bucket").select("source", "bucket", F.floor(F.col("target_tokens") / F.col("sources")).cast("bigint").alias("budget"))
+    return specs.select("source", "bucket").join(counted, "bucket").join(targets, "bucket").select("source", "bucket", F.floor(F.col("target_tokens") / F.col("sources")).cast("bigint").alias("budget"))

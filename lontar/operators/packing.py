@@ -64,12 +64,12 @@ def pack(rows: DataFrame, order: str, ids: str, length: int, bos: int, eos: int)
     body = length - 1
     full = rows.select(order, F.col(ids).alias("d")).where(F.size("d") > 0).withColumn("d", F.concat("d", F.array(F.lit(eos)))).withColumn("__all", F.lit(0))
     placed = running_total(full, ["__all"], order, F.size("d"), "p")
-    total = full.agg(F.coalesce(F.sum(F.size("d")), F.lit(0)).alias("total"))
+    sequences = (full.agg(F.sum(F.size("d"))).first()[0] or 0) // body
     last = F.col("p") + F.size("d") - 1
     spans = placed.withColumn("seq", F.explode(F.sequence(F.floor(F.col("p") / body), F.floor(last / body))))
     start = F.greatest(F.lit(0), F.col("seq") * body - F.col("p"))
     end = F.least(F.size("d"), (F.col("seq") + 1) * body - F.col("p"))
     parts = spans.select("seq", "p", F.slice("d", (start + 1).cast("int"), (end - start).cast("int")).alias("part"))
-    whole = parts.join(F.broadcast(total)).where(F.col("seq") < F.floor(F.col("total") / body))
+    whole = parts.where(F.col("seq") < sequences)
     joined = whole.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("p", "part"))).alias("parts"))
     return joined.select("seq", F.concat(F.array(F.lit(bos)), F.flatten(F.col("parts.part"))).alias("ids"))

@@ -263,7 +263,7 @@ def sink_jsonl(s, d):
 @query("sink_manifest")
 def sink_manifest(s, d):
     targets = K.bucket_targets(table(s, d, "mix_config"), TOTAL)
-    return sinks.manifest(TOTAL, targets, K.source_budgets(specs(s, d), targets), K.funnel(staged(s, d)))
+    return s.createDataFrame([(sinks.manifest(TOTAL, targets, K.source_budgets(specs(s, d), targets), K.funnel(staged(s, d))),)], "manifest string")
 
 
 CORPUS_FUNNEL = f"""WITH t AS (SELECT text, {S.tokens('text')} AS tokens, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM (SELECT doc_id, {TX} AS text FROM documents))
@@ -722,7 +722,7 @@ query("f_preflight_tokens", SQL["a_manifest_tokens"])(a_manifest_tokens)
 def a_realised_mix(s, d):
     mix = table(s, d, "mix_config").where("bucket is not null").select("bucket", "share_min", "share_max")
     real = staged(s, d).where("reason is null").groupBy("bucket").agg(F.sum("tokens").alias("tokens"))
-    joined = mix.join(F.broadcast(real), "bucket", "left").na.fill(0, ["tokens"])
+    joined = mix.join(real, "bucket", "left").na.fill(0, ["tokens"])
     share = F.col("tokens") / F.sum("tokens").over(Window.partitionBy(F.lit(0)))
     return joined.withColumn("s", share).select("bucket", "tokens", F.round("s", 9).alias("share"), F.col("s").between(F.col("share_min"), F.col("share_max")).alias("within"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -35,6 +36,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
+def broadcast_small(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
+    """A broadcast hint where the rows, counted first, are within the bound; otherwise the join may shuffle.
+
+    For dimensions such as registries, whose rows are short.
+    """
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
     checkpoint_dir(df.sparkSession)

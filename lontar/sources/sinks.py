@@ -31,13 +31,19 @@ def write_json_lines(rows: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
-def manifest(total_tokens: int, targets: DataFrame, budgets: DataFrame, stats: DataFrame) -> DataFrame:
-    """One row of JSON: targets per bucket, budgets per source, statistics per source; all three are small."""
-    as_map = lambda df, k, v, name: df.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v)))).alias(name))
-    parts = as_map(targets, "bucket", "target_tokens", "bucket_targets").crossJoin(as_map(budgets, "source", "budget", "per_source_budget"))
-    listed = stats.agg(F.array_sort(F.collect_list(F.struct(*stats.columns))).alias("per_source_stats"))
-    whole = parts.crossJoin(listed).withColumn("target_total_tokens", F.lit(total_tokens))
-    return whole.select(F.to_json(F.struct("target_total_tokens", "bucket_targets", "per_source_budget", "per_source_stats")).alias("manifest"))
+def manifest(total_tokens: int, targets: DataFrame, budgets: DataFrame, stats: DataFrame, most_rows: int = 100_000) -> str:
+    """JSON of targets per bucket, budgets per source and statistics per source; all three have a row per bucket or source."""
+    small = [df.limit(most_rows + 1).collect() for df in (targets, budgets, stats)]
+    if max(map(len, small)) > most_rows:
+        raise ValueError("a manifest of so many sources should be a table")
+    buckets, sources, counts = small
+    made = {
+        "target_total_tokens": total_tokens,
+        "bucket_targets": {r["bucket"]: r["target_tokens"] for r in sorted(buckets, key=lambda r: r["bucket"])},
+        "per_source_budget": {r["source"]: r["budget"] for r in sorted(sources, key=lambda r: r["source"])},
+        "per_source_stats": sorted((r.asDict() for r in counts), key=lambda r: r["source"]),
+    }
+    return json.dumps(made, ensure_ascii=False)
 
 
 def card(counts: dict[str, int]) -> str:
