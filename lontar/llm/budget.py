@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lontar.llm.encode import count_tokens
 from lontar.llm.languages import document_languages
-from lontar.llm.mixing import MAX_SOURCES, source_key
+from lontar.llm.mixing import source_key
+from lontar.plans.runtime import broadcast_small
 
 
 def registered(registry: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def registered(registry: DataFrame) -> DataFrame:
     """
     named = registry.where("name is not null").withColumn("key", source_key(F.col("name")))
     language = F.coalesce(F.nullif(F.trim("language"), F.lit("")), F.lit("code"))
-    return named.groupBy("key").agg(F.max(F.when(F.col("name") == F.col("key"), F.col("name")).otherwise(F.col("key"))).alias("name"), F.max("bucket").alias("bucket"), F.max(language).alias("language")).limit(MAX_SOURCES)
+    return named.groupBy("key").agg(F.max(F.when(F.col("name") == F.col("key"), F.col("name")).otherwise(F.col("key"))).alias("name"), F.max("bucket").alias("bucket"), F.max(language).alias("language"))
 
 
 def slices(documents: DataFrame, registry: DataFrame, samples: DataFrame, path: str | None = None) -> DataFrame:
@@ -31,7 +32,7 @@ def slices(documents: DataFrame, registry: DataFrame, samples: DataFrame, path:
     """
     tokens = count_tokens(documents, path)
     true = document_languages(documents, samples).select("doc_id", F.coalesce("language", F.lit("(none)")).alias("true_language"))
-    keyed = documents.select("doc_id", source_key(F.col("source")).alias("key")).join(F.broadcast(registered(registry)), "key", "left")
+    keyed = documents.select("doc_id", source_key(F.col("source")).alias("key")).join(broadcast_small(registered(registry)), "key", "left")
     rows = keyed.join(tokens, "doc_id").join(true, "doc_id")
     none = F.lit("(unregistered)")
     cube = rows.groupBy(F.coalesce("name", none).alias("source"), F.coalesce("language", none).alias("language"), "true_language", F.coalesce("bucket", none).alias("bucket")).agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"))

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lontar.plans.runtime import broadcast_small
+
 #: Characters of a shard of the mixture; each shard holds the same whole numbers of blocks of each source.
 SHARD_CHARS = 256_000_000
 #: Blocks of a shard.
@@ -73,7 +75,7 @@ def _targets(targets: DataFrame) -> DataFrame:
 def _sized(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """Documents of the sources with their number of characters (null text is 0)."""
     sized = documents.select("doc_id", source_key(F.col("source")).alias("key"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("size"))
-    return sized.join(F.broadcast(targets.limit(MAX_SOURCES).select("key", "name")), "key")
+    return sized.join(broadcast_small(targets.select("key", "name")), "key")
 
 
 @dataclass
@@ -90,7 +92,10 @@ def plan(documents: DataFrame, targets: DataFrame, shard_chars: int = SHARD_CHAR
     """Sizes of all sources (aggregated before any shuffle) and their quotas of the blocks of one shard."""
     wanted = _targets(targets)
     sizes = _sized(documents, wanted).groupBy("key").agg(F.sum("size").alias("size"))
-    rows = wanted.join(sizes, "key", "left").orderBy("key").limit(MAX_SOURCES).collect()
+    rows = wanted.join(sizes, "key", "left").limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError("more sources than the driver should apportion")
+    rows.sort(key=lambda r: r["key"])
     sources = [Source(r["name"], float(r["target_share"]), int(r["max_repeats"]), int(r["size"] or 0)) for r in rows]
     total = sum(s.size for s in sources)
     shards = max(1, round(total / shard_chars))
@@ -138,8 +143,8 @@ def shares(documents: DataFrame, targets: DataFrame) -> DataFrame:
     report = spark.createDataFrame(rows, schema)
     used = mixture(documents, targets, made).groupBy("name").agg(F.sum(F.col("size") * F.col("copies")).alias("used_chars"), F.max("copies").alias("most_copies"))
     joined = report.join(F.broadcast(used), "name", "left").na.fill(0, ["used_chars", "most_copies"])
-    total = joined.agg(F.sum("used_chars").alias("mixture_chars"))
-    return joined.crossJoin(F.broadcast(total)).withColumn("actual_share", F.when(F.col("mixture_chars") > 0, F.col("used_chars") / F.col("mixture_chars")).otherwise(F.lit(0.0)))
+    everything = F.sum("used_chars").over(Window.partitionBy(F.lit(0)))  # one row per source
+    return joined.withColumn("mixture_chars", everything).withColumn("actual_share", F.when(F.col("mixture_chars") > 0, F.col("used_chars") / F.col("mixture_chars")).otherwise(F.lit(0.0)))
 
 
 def below_target(documents: DataFrame, targets: DataFrame) -> DataFrame:
