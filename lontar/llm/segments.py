@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 
 from lontar.llm.normal import plain
-from lontar.llm.spectrum import WORD, SpectrumModel, WordScores
+from lontar.llm.spectrum import END, WORD, SpectrumModel, WordScores
 
-_UNIT = re.compile(r"[.!?…]+[\"'”’)]*\s|[\n\r  ]")
+#: Words, and the ends of sentences and lines between them.
+_PART = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?…]+[\"'”’)]*(?=\s)|[\n\r\u2028\u2029]")
 #: Words of a unit without an end mark; longer ones are cut.
 UNIT_WORDS = 12
 #: What a change of language costs, in summed word scores.
@@ -30,22 +32,27 @@ class Segment:
     mean: np.ndarray
 
 
-def units(text: str) -> tuple[list[str], list[int]]:
-    """All words of a text in order, and the number of words of each unit (sentence, line, or part of a long one)."""
-    words: list[str] = []
-    sizes: list[int] = []
-    for part in _UNIT.split(plain(text)):
-        found = WORD.findall(part)
-        n = len(found)
-        if not n:
-            continue
-        words += found
-        if n <= 2 * UNIT_WORDS:
-            sizes.append(n)
-        else:
-            k = -(-n // UNIT_WORDS)
-            sizes += [n // k + (i < n % k) for i in range(k)]
-    return words, sizes
+def units(ids: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the words of all texts, the document of each word, and of each unit the place of its first word and its size.
+
+    ``ids`` are rows of words and ``END`` for the ends between units, ``document`` the text
+    of each.  A unit is a sentence or line; long ones are cut into even parts.
+    """
+    word = ids != END
+    rows, own = ids[word], document[word]
+    if not len(rows):
+        none = np.zeros(0, np.int64)
+        return rows, own, none, none
+    run = np.cumsum(~word)[word]
+    first = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (own[1:] != own[:-1])]))
+    size = np.diff(np.append(first, len(rows)))
+    parts = np.where(size > 2 * UNIT_WORDS, -(-size // UNIT_WORDS), 1)
+    if (parts > 1).any():
+        unit = np.repeat(np.arange(len(first)), parts)
+        k = np.arange(len(unit)) - np.repeat(parts.cumsum() - parts, parts)
+        first = first[unit] + k * size[unit] // parts[unit]
+        size = np.diff(np.append(first, len(rows)))
+    return rows, own, first, size
 
 
 def best_path(sums: np.ndarray, switch: float) -> np.ndarray:
@@ -96,48 +103,48 @@ def segment_batch(texts: list[str | None], scores: WordScores, factor: float) ->
     higher for it on average; a weaker run is odd text of the main language and joins its
     neighbours.
     """
-    all_words: list[str] = []
-    all_sizes: list[int] = []
-    per: list[tuple[int, int]] = []
-    for text in texts:
-        words, sizes = units(text or "")
-        all_words += words
-        all_sizes += sizes
-        per.append((len(words), len(sizes)))
-    if not all_words:
-        return [[] for _ in texts]
-    rows = scores.rows(all_words)
-    size = np.array(all_sizes)
-    starts = np.concatenate([[0], size.cumsum()[:-1]])
-    sums = np.add.reduceat(rows, starts, axis=0)
-    label = sums.argmax(1)
-    out: list[list[Segment]] = []
-    u = 0
-    for n_words, n_units in per:
-        if not n_units:
-            out.append([])
-            continue
-        mine, sizes, labels = sums[u : u + n_units], size[u : u + n_units], label[u : u + n_units]
-        u += n_units
-        path = labels
-        if n_units > 1 and (labels != labels[0]).any():
-            path = best_path(mine, SWITCH)
-        begins = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1])
-        total, count, language = np.add.reduceat(mine, begins, axis=0), np.add.reduceat(sizes, begins), path[begins]
-        if len(begins) > 1:
-            main = int(total.sum(0).argmax())
-            mean = total / count[:, None]
-            ahead = mean[np.arange(len(language)), language] - mean[:, main]
-            language = np.where(ahead < MARGIN, main, language)
-            begins = np.concatenate([[0], np.flatnonzero(np.diff(language)) + 1])
-            total, count, language = np.add.reduceat(total, begins, axis=0), np.add.reduceat(count, begins), language[begins]
-        mean = total / count[:, None]
-        sure = softmax(mean * factor)
-        first = np.concatenate([[0], count.cumsum()[:-1]])
-        out.append([Segment(int(k), int(f), int(c), float(s[k]), v) for k, f, c, s, v in zip(language, first, count, sure, mean)])
+    tokens = [_PART.findall(plain(t)) if t else [] for t in texts]
+    lengths = np.array([len(t) for t in tokens], np.int64)
+    ids = scores.ids(chain.from_iterable(tokens), int(lengths.sum()))
+    rows, own, starts, size = units(ids, np.repeat(np.arange(len(texts)), lengths))
+    out: list[list[Segment]] = [[] for _ in texts]
+    if not len(rows):
+        return out
+    sums = np.add.reduceat(scores.table[rows], starts, axis=0)
+    label, of = sums.argmax(1), own[starts]
+    edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    ends = np.append(edges[1:], len(of))
+    same = np.minimum.reduceat(label, edges) == np.maximum.reduceat(label, edges)
+    whole, words = np.add.reduceat(sums, edges, axis=0), np.add.reduceat(size, edges)
+    mean = whole / words[:, None]
+    sure = softmax(mean * factor)
+    for k, (a, b) in enumerate(zip(edges.tolist(), ends.tolist())):
+        if same[k]:
+            at = int(label[a])
+            out[of[a]] = [Segment(at, 0, int(words[k]), float(sure[k, at]), mean[k])]
+        else:
+            out[of[a]] = runs(sums[a:b], size[a:b], factor)
     return out
 
 
+def runs(sums: np.ndarray, sizes: np.ndarray, factor: float) -> list[Segment]:
+    """The runs of a text whose units don't agree."""
+    path = best_path(sums, SWITCH)
+    begins = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1])
+    total, count, language = np.add.reduceat(sums, begins, axis=0), np.add.reduceat(sizes, begins), path[begins]
+    if len(begins) > 1:
+        main = int(total.sum(0).argmax())
+        mean = total / count[:, None]
+        ahead = mean[np.arange(len(language)), language] - mean[:, main]
+        language = np.where(ahead < MARGIN, main, language)
+        begins = np.concatenate([[0], np.flatnonzero(np.diff(language)) + 1])
+        total, count, language = np.add.reduceat(total, begins, axis=0), np.add.reduceat(count, begins), language[begins]
+    mean = total / count[:, None]
+    sure = softmax(mean * factor)
+    first = np.concatenate([[0], count.cumsum()[:-1]])
+    return [Segment(int(k), int(f), int(c), float(s[k]), v) for k, f, c, s, v in zip(language, first, count, sure, mean)]
+
+
 def main_language(segments: list[Segment], languages: int) -> int:
     """The language with the highest sum of word scores over the whole text."""
     return int(sum(s.mean * s.words for s in segments).argmax()) if segments else -1

@@ -70,26 +70,34 @@ class SpectrumModel:
         return WordScores(self)
 
 
+#: The row of whatever is no word; its scores are 0.
+END = 0
+
+
 class WordScores(dict):
-    """Row numbers of words in a growing matrix of language scores; the last column counts the word."""
+    """Row numbers of words in ``table``, a growing matrix of language scores."""
 
     def __init__(self, model: SpectrumModel) -> None:
         super().__init__()
         self.model = model
         self.fresh: list[str] = []
-        self.table = np.zeros((0, len(model.languages)), np.float32)
+        self.table = np.zeros((1, len(model.languages)), np.float32)
 
     def __missing__(self, word: str) -> int:
-        self[word] = i = len(self)
+        if not word[:1].isalnum():
+            self[word] = END
+            return END
+        i = len(self.table) + len(self.fresh)
+        self[word] = i
         self.fresh.append(word)
         return i
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        """Scores of each word, N by languages."""
+    def ids(self, words, count: int) -> np.ndarray:
+        """Rows of the words; new ones are scored first, in one sparse product."""
         if len(self) > MAX_WORDS:
             self.clear()
-            self.fresh, self.table = [], self.table[:0]
-        ids = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            self.fresh, self.table = [], self.table[:1]
+        ids = np.fromiter(map(self.__getitem__, words), np.int64, count)
         if self.fresh:
             index, orders = self.model.index, self.model.orders
             sets = [grams(w, orders) for w in self.fresh]
@@ -99,4 +107,9 @@ class WordScores(dict):
             sums = np.add.reduceat(padded[flat], np.concatenate([[0], sizes.cumsum()[:-1]]), axis=0)
             self.table = np.vstack([self.table, sums / np.sqrt(sizes)[:, None].astype(np.float32)])
             self.fresh = []
+        return ids
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Scores of each word, N by languages."""
+        ids = self.ids(words, len(words))
         return self.table[ids]
