@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lontar.functions import rules as R
 from lontar.functions import text as T
 from lontar.functions.grams import gram_hashes
+from lontar.operators.dedup import greedy, signatures
 from lontar.operators.order import first_wins
 from lontar.plans.runtime import broadcast_small, cut, ship, spread
+from lontar.sources.readers import stopword_language
 
 NGRAM = 13
 MIN_WORDS, MAX_WORDS, LID_THRESHOLD = 50, 100_000, 0.65
@@ -89,9 +91,34 @@ def staged(documents: DataFrame, registry_table: DataFrame, items: DataFrame) ->
     return marked.select("doc_id", "source", "bucket", "tokens", reason.alias("reason"))
 
 
-def funnel(stages: DataFrame) -> DataFrame:
+def staged_fully(documents: DataFrame, registry_table: DataFrame, items: DataFrame, lexicons: dict[str, list[str]]) -> DataFrame:
+    """As ``staged``, with the language after the heuristics (``lid``) and near copies within a source after exact ones (``near``).
+
+    Sources without a language, or with one that has no lexicon, pass the language.  Near
+    copies are decided among the first rows of each key; exact keys are taken before.
+    """
+    rows = sourced(documents, registry(registry_table)).withColumn("scrubbed", T.scrub(F.col("text")))
+    found = stopword_language(F.col("text"), lexicons)
+    asked = F.col("language").isin(*lexicons) & ~F.coalesce(found == F.col("language"), F.lit(False))
+    marked = filtered(rows.drop("scrubbed")).withColumn("reason", F.coalesce("reason", F.when(asked, "lid")))
+    small = cut(marked.select("doc_id", "source", "bucket", "tokens", "key", "reason"))
+    winners = cut(first_wins(small.where("reason is null"), ["key"], ["source", "doc_id"]).select("doc_id"))
+    heads = rows.join(winners, "doc_id", "left_semi")
+    near = greedy(signatures(heads, "doc_id", F.col("scrubbed"), F.col("source"), short_whole=False)).where("not kept").select(F.col("id").alias("__near"))
+    leaked = contaminated(heads, items, text=F.col("scrubbed")).select(F.col("doc_id").alias("__leak"))
+    joined = small.join(winners.select(F.col("doc_id").alias("__win")), F.col("doc_id") == F.col("__win"), "left")
+    joined = joined.join(near, F.col("doc_id") == F.col("__near"), "left").join(leaked, F.col("doc_id") == F.col("__leak"), "left")
+    later = F.when(F.col("__win").isNull(), "exact").when(F.col("__near").isNotNull(), "near").when(F.col("__leak").isNotNull(), "decontam")
+    return joined.select("doc_id", "source", "bucket", "tokens", F.coalesce("reason", later).alias("reason"))
+
+
+REASONS = ("length", "gopher", "exact", "decontam")
+ALL_REASONS = ("length", "gopher", "lid", "exact", "near", "decontam")
+
+
+def funnel(stages: DataFrame, reasons: tuple[str, ...] = REASONS) -> DataFrame:
     """Per source: documents seen and kept, tokens kept, documents dropped by reason."""
-    dropped = [F.count_if(F.col("reason") == r).alias(f"dropped_{r}") for r in ("length", "gopher", "exact", "decontam")]
+    dropped = [F.count_if(F.col("reason") == r).alias(f"dropped_{r}") for r in reasons]
     kept = F.col("reason").isNull()
     return stages.groupBy("source").agg(F.count("*").alias("seen_docs"), F.count_if(kept).alias("kept_docs"), F.coalesce(F.sum(F.when(kept, F.col("tokens"))), F.lit(0)).alias("kept_tokens"), *dropped)
 

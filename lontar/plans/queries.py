@@ -660,6 +660,12 @@ def a_funnel_source(s, d):
     return K.funnel(staged(s, d))
 
 
+@query("a_funnel_full")
+def a_funnel_full(s, d):
+    stages = K.staged_fully(table(s, d, "documents"), table(s, d, "source_registry"), table(s, d, "benchmark"), LEXICONS)
+    return K.funnel(stages, K.ALL_REASONS)
+
+
 TARGETS = f"tar AS (SELECT bucket, floor({TOTAL} * m / sum(m) OVER ())::BIGINT AS target_tokens FROM (SELECT bucket, (share_min + share_max) / 2::DOUBLE AS m FROM mix_config WHERE bucket IS NOT NULL))"
 
 

@@ -167,6 +167,17 @@ def test_copy_of_a_contaminated_text_is_a_copy(spark):
     assert K.funnel(K.staged(docs.limit(0), reg, items)).count() == 0
 
 
+def test_full_funnel_reasons(spark):
+    words = [f"kata{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    a, near, other = " ".join(words[:300]), " ".join(words[:150] + ["lain"] + words[151:300]), " ".join(reversed(words[100:]))
+    docs = spark.createDataFrame([(1, a, "s"), (2, near, "s"), (3, near, "t"), (4, a, "t"), (5, other, "t"), (6, "the of and " + other, "u"), (7, None, "s"), (8, "yang dan yang " + other, "u")], "doc_id bigint, text string, source string")
+    reg = spark.createDataFrame([("s", "b", "", None, 5, None, "text"), ("t", "b", None, None, 5, None, "text"), ("u", "b", "id", None, 5, None, "text")], "name string, bucket string, language string, lid_threshold double, min_words int, max_words int, text_field string")
+    items = spark.createDataFrame([(1, " ".join(list(reversed(words[100:]))[20:40]))], "item_id bigint, text string")
+    stages = K.staged_fully(docs, reg, items, {"id": ["yang", "dan"], "en": ["the", "of", "and"]})
+    assert {r["doc_id"]: r["reason"] for r in stages.collect()} == {1: None, 2: "near", 3: "exact", 4: "exact", 5: "decontam", 6: "lid", 7: "length", 8: "decontam"}
+    assert K.funnel(stages, K.ALL_REASONS).count() == 3
+
+
 def test_bucket_targets_of_the_published_plan(spark):
     mix = spark.createDataFrame([("web", 0.35, 0.45), ("multi", 0.20, 0.25), ("sea", 0.12, 0.18), ("code", 0.10, 0.15), ("ref", 0.10, 0.15), (None, 1.0, 1.0)], "bucket string, share_min double, share_max double")
     got = {r[0]: r[1] for r in K.bucket_targets(mix, 400_000_000_000).collect()}
