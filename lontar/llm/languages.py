@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lontar.llm.arrow import batch, map_batches
 from lontar.llm.boosting import Boosted
 from lontar.llm.quality import kinds_of, known_words, train_kinds
-from lontar.llm.segments import Segment, long_languages, main_language, segment_batch, sharpness, softmax
+from lontar.llm.segments import Segment, Weak, long_languages, main_language, segment_batch, sharpness, softmax, weak_runs
 from lontar.llm.spectrum import SpectrumModel
 from lontar.plans.runtime import spread
 
@@ -41,18 +41,18 @@ def canonical(label: str | None) -> str | None:
 
 
 class LanguageModel:
-    """Kernel model and the factor of its confidence, with the word scores of this worker."""
+    """Kernel model, the factor of its confidence and the bounds of weak runs, with the word scores of this worker."""
 
-    def __init__(self, model: SpectrumModel, factor: float) -> None:
-        self.model, self.factor = model, factor
+    def __init__(self, model: SpectrumModel, factor: float, weak: Weak | None = None) -> None:
+        self.model, self.factor, self.weak = model, factor, weak
         self._scores = None
 
     def __getstate__(self):
-        return {"model": self.model, "factor": self.factor, "_scores": None}
+        return {"model": self.model, "factor": self.factor, "weak": self.weak, "_scores": None}
 
     @classmethod
     def fit(cls, samples: DataFrame, limit: int = FIT_SAMPLE) -> "LanguageModel":
-        """Fitted on two thirds of the samples for the factor, on all for the scores."""
+        """Fitted on two thirds of the samples for the factor and the bounds, on all for the scores."""
         drawn = samples.where("language is not null and text is not null").orderBy(F.xxhash64("sample_id"), "sample_id").limit(limit)
         rows = [tuple(r) for r in drawn.select("language", "text").collect()]
         if len({r[0] for r in rows}) < 2:
@@ -61,7 +61,8 @@ class LanguageModel:
         first = SpectrumModel.fit([t for _, t in rows[:at]], [c for c, _ in rows[:at]])
         held = [r for r in rows[at:] if r[0] in first.languages] or rows
         factor = sharpness(first, [t for _, t in held], [c for c, _ in held]) if {c for c, _ in held} <= set(first.languages) else 4.0
-        return cls(SpectrumModel.fit([t for _, t in rows], [c for c, _ in rows]), factor)
+        weak = weak_runs(first, [t for _, t in held], [c for c, _ in held])
+        return cls(SpectrumModel.fit([t for _, t in rows], [c for c, _ in rows]), factor, weak)
 
     @property
     def languages(self) -> list[str]:
@@ -70,7 +71,7 @@ class LanguageModel:
     def segments(self, texts: list[str | None]) -> list[list[Segment]]:
         if self._scores is None:
             self._scores = self.model.scorer()
-        return segment_batch(texts, self._scores, self.factor)
+        return segment_batch(texts, self._scores, self.factor, self.weak)
 
 
 def document_segments(documents: DataFrame, samples: DataFrame) -> DataFrame:

@@ -21,6 +21,18 @@ SWITCH = 4.0
 SEGMENT_WORDS = 20
 #: Mean advantage over the main language from which a run is another language (its own scores about 1, the others about -1).
 MARGIN = 1.0
+#: Summed advantage over the main language that a run of a lower mean needs.
+EVIDENCE = 2 * SWITCH
+#: Shares of held-out windows below the least advantage and the least own score of such a run.
+ADVANTAGE_TAIL, OWN_TAIL = 0.01, 0.05
+
+
+@dataclass
+class Weak:
+    """What a run of less than ``MARGIN`` needs: the mean advantage by its language and the main one, the mean score of its own language."""
+
+    ahead: np.ndarray
+    own: np.ndarray
 
 
 @dataclass
@@ -87,6 +99,27 @@ def sharpness(model: SpectrumModel, texts: list[str], labels: list[str]) -> floa
     return factor
 
 
+def weak_runs(model: SpectrumModel, texts: list[str], labels: list[str]) -> Weak:
+    """Measured on windows of ``SEGMENT_WORDS`` words of texts the model hasn't seen.
+
+    Languages that the model tells apart by ``MARGIN`` anyway keep it; a language without
+    twenty windows keeps it too.  Lists, names and numbers of the main language lean to a related
+    one, but don't score for it as its own text does.
+    """
+    k = len(model.languages)
+    weak = Weak(np.full((k, k), MARGIN), np.full(k, np.inf))
+    scores = WordScores(model)
+    for a, language in enumerate(model.languages):
+        words = [w for t, c in zip(texts, labels) if c == language for w in WORD.findall(t.lower())]
+        if len(words) < SEGMENT_WORDS + 20:
+            continue
+        sums = np.cumsum(np.vstack([np.zeros(k), scores.rows(words)]), axis=0)
+        mean = (sums[SEGMENT_WORDS:] - sums[:-SEGMENT_WORDS]) / SEGMENT_WORDS
+        weak.ahead[a] = np.minimum(MARGIN, np.quantile(mean[:, a, None] - mean, ADVANTAGE_TAIL, axis=0))
+        weak.own[a] = np.quantile(mean[:, a], OWN_TAIL)
+    return weak
+
+
 def words_or_blank(text: str) -> list[str]:
     return WORD.findall(text.lower()) or [""]
 
@@ -96,12 +129,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def segment_batch(texts: list[str | None], scores: WordScores, factor: float) -> list[list[Segment]]:
+def segment_batch(texts: list[str | None], scores: WordScores, factor: float, weak: Weak | None = None) -> list[list[Segment]]:
     """For each text its runs of one language, in order; texts without words have none.
 
     A run is of another language than the main one only where its words score ``MARGIN``
-    higher for it on average; a weaker run is odd text of the main language and joins its
-    neighbours.
+    higher for it on average, or ``SEGMENT_WORDS`` or more reach what ``weak`` says of the two
+    languages and add up to ``EVIDENCE``; any other run is odd text of the main language and joins its neighbours.
     """
     tokens = [_PART.findall(plain(t)) if t else [] for t in texts]
     lengths = np.array([len(t) for t in tokens], np.int64)
@@ -123,11 +156,11 @@ def segment_batch(texts: list[str | None], scores: WordScores, factor: float) ->
             at = int(label[a])
             out[of[a]] = [Segment(at, 0, int(words[k]), float(sure[k, at]), mean[k])]
         else:
-            out[of[a]] = runs(sums[a:b], size[a:b], factor)
+            out[of[a]] = runs(sums[a:b], size[a:b], factor, weak)
     return out
 
 
-def runs(sums: np.ndarray, sizes: np.ndarray, factor: float) -> list[Segment]:
+def runs(sums: np.ndarray, sizes: np.ndarray, factor: float, weak: Weak | None = None) -> list[Segment]:
     """The runs of a text whose units don't agree."""
     path = best_path(sums, SWITCH)
     begins = np.concatenate([[0], np.flatnonzero(np.diff(path)) + 1])
@@ -135,8 +168,12 @@ def runs(sums: np.ndarray, sizes: np.ndarray, factor: float) -> list[Segment]:
     if len(begins) > 1:
         main = int(total.sum(0).argmax())
         mean = total / count[:, None]
-        ahead = mean[np.arange(len(language)), language] - mean[:, main]
-        language = np.where(ahead < MARGIN, main, language)
+        own = mean[np.arange(len(language)), language]
+        ahead = own - mean[:, main]
+        sure = ahead >= MARGIN
+        if weak is not None:
+            sure |= (count >= SEGMENT_WORDS) & (ahead >= weak.ahead[language, main]) & (ahead * count >= EVIDENCE) & (own >= weak.own[language])
+        language = np.where(sure, language, main)
         begins = np.concatenate([[0], np.flatnonzero(np.diff(language)) + 1])
         total, count, language = np.add.reduceat(total, begins, axis=0), np.add.reduceat(count, begins), language[begins]
     mean = total / count[:, None]
