@@ -4,13 +4,13 @@ An item of L words is a case where a text repeats ``RUN`` consecutive words of
 it, or ``SHARE`` of its words in its order within one passage.  The errors
 allowed are therefore counted before anything is compared:
 
-* of ``RUN`` consecutive words up to ``SLIPS`` may be misspelt; cut into SLIPS + 1
-  pieces, one piece of ``RUN`` / (SLIPS + 1) = 3 words is intact, wherever the run
+* a run of ``RUN`` words holds every three consecutive words of it, wherever it
   begins - so every three consecutive words of the item are a piece;
-* of L words up to k = L - ceil(SHARE * L) may be missing; cut into k + 1 pieces, one
-  of them is intact - pieces of two words are added where the cut makes any.
+* of L words up to k = L - ceil(SHARE * L) may be changed and a line thrown in; cut into
+  k + 2 pieces, one of them is intact - pieces of two words are added where the cut makes any.
 
-Exact hits of pieces name the candidates.  A candidate is dropped only if the text
+Slips are no errors: a word of the text stands for every item word that it equals but
+for a slip, and a piece is hit by any choice of these.  Hits name the candidates.  A candidate is dropped only if the text
 lacks the words that either condition needs (an upper bound, so no case is lost).
 The rest are verified over the passage around the hits, bit-parallel over the
 item's words: consecutive runs by shifted masks, the words kept in order by the
@@ -28,7 +28,6 @@ import numpy as np
 from lontar.llm.normal import plain_words
 
 RUN = 12
-SLIPS = 3
 SHARE = 0.7
 LEAST_WORDS = 8
 #: Words that a thrown-in line may add to a passage.
@@ -117,7 +116,7 @@ class PassageIndex:
             size = len(words)
             for i in range(size - 2):
                 pieces[3].setdefault(self._code(words[i : i + 3]), []).append((n, i))
-            parts = size - ceil(SHARE * size - 1e-9) + 1
+            parts = size - ceil(SHARE * size - 1e-9) + 2
             cuts = [size * p // parts for p in range(parts + 1)]
             for a, b in zip(cuts, cuts[1:]):
                 if b - a == 2:
@@ -160,24 +159,33 @@ class PassageIndex:
         lists = [plain_words(t) if t else [] for t in texts]
         sizes = np.array([len(w) for w in lists])
         total = int(sizes.sum())
-        get = self.vocab.get
-        flat = np.fromiter((get(w, 0) for ws in lists for w in ws), np.int64, total)
+        known: dict[str, int] = {}
+        flat = np.fromiter((known.setdefault(w, len(known)) for ws in lists for w in ws), np.int64, total)
+        classes = [self.classes(w) for w in known]
+        number = np.array([len(c) for c in classes], np.int64)
+        begin = number.cumsum() - number
+        choice = np.array([x for c in classes for x in c], np.int64)
         first = np.concatenate([[0], sizes.cumsum()])
         row = np.repeat(np.arange(len(lists)), sizes)
+        some = number[flat] > 0 if total else np.zeros(0, bool)
         hits = []
         for width in (2, 3):
             if total < width or not len(self.codes[width]):
                 continue
-            code, good = flat[: total - width + 1].copy(), flat[: total - width + 1] > 0
-            for k in range(1, width):
-                part = flat[k : total - width + 1 + k]
-                code = code << 20 | part
-                good &= part > 0
-            good &= row[: total - width + 1] == row[width - 1 :]
+            good = row[: total - width + 1] == row[width - 1 :]
+            for k in range(width):
+                good &= some[k : total - width + 1 + k]
             at = np.flatnonzero(good)
-            where = np.searchsorted(self.codes[width], code[at])
+            code = np.zeros(len(at), np.int64)
+            for k in range(width):
+                word = flat[at + k]
+                count = number[word]
+                offset = np.arange(count.sum()) - np.repeat(count.cumsum() - count, count)
+                code = np.repeat(code, count) << 20 | choice[np.repeat(begin[word], count) + offset]
+                at = np.repeat(at, count)
+            where = np.searchsorted(self.codes[width], code)
             where[where == len(self.codes[width])] = 0
-            same = self.codes[width][where] == code[at]
+            same = self.codes[width][where] == code
             at, where = at[same], where[same]
             count = self.starts[width][where + 1] - self.starts[width][where]
             many = np.repeat(np.arange(len(at)), count)

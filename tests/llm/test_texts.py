@@ -83,6 +83,25 @@ def test_search_finds_what_brute_force_finds(seed):
     assert len(missed) <= 0.03 * len(wanted) and not more
 
 
+@pytest.mark.parametrize("size, changed, slips, line", [(8, 2, 1, 0), (8, 2, 2, 0), (8, 2, 2, 6), (9, 2, 2, 0), (9, 2, 2, 8), (12, 3, 2, 0), (12, 3, 3, 6), (20, 6, 6, 10), (12, 0, 6, 0), (12, 0, 12, 0)])
+def test_slips_and_changed_words_together(size, changed, slips, line):
+    rng = random.Random(size * 100 + changed * 10 + slips)
+    items, docs = [], []
+    for i in range(200):
+        words = rng.sample(VOCAB, size)
+        items.append((i, " ".join(words)))
+        order = rng.sample(range(size), min(size, changed + slips))
+        for j in order[:changed]:
+            words[j] = "ubah" + str(rng.randrange(100))
+        for j in order[changed:]:
+            words[j] = words[j][:3] + words[j][4:]
+        at = rng.randrange(1, size)
+        docs.append(" ".join(["awal"] + words[:at] + ["baris"] * line + words[at:] + ["akhir"]))
+    index = passages.PassageIndex.build(items)
+    found = {(r, item) for r, n, _, _ in index.search(docs) for item in index.ids[n]}
+    assert all(is_case(items[i][1], d) for i, d in enumerate(docs)) and {(i, i) for i in range(200)} <= found
+
+
 def test_forms_that_do_not_count_as_differences():
     item = "Saudagar Ritadurin membeli 52 batang seharga 292 rupiah, lalu menukarnya dengan milik Korarindo"
     forms = [
