@@ -1066,8 +1066,8 @@ query("t_collate", SQL["t_batch"])(t_batch)
 
 @query("t_bpe_train")
 def t_bpe_train(s, d):
-    """Counts of adjacent character pairs inside words, the statistics from which the first merges follow; no tokenizer is trained."""
-    words = docs(s, d).select(F.explode(T.words(F.lower("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).where("n >= 2")
+    """Counts of adjacent character pairs inside words, of those that occur twice or more, the statistics from which the first merges follow; no tokenizer is trained."""
+    words = docs(s, d).select(F.explode(T.words(F.lower("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - 1, F.lit(1))), lambda i: F.substr(F.col("w"), i, F.lit(2))))
     return words.where(F.length("w") > 1).select(pair.alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n")).where("n >= 2")
 

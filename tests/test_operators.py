@@ -1,6 +1,7 @@
 """Operators against plain Python models and on hand-made edges."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from lontar.operators import dedup as D
 from lontar.operators import evaluation as E
 from lontar.operators import order as O
 from lontar.operators import packing as P
+from lontar.plans import queries as Q
 from lontar.sources import readers, sinks
 from lontar.streaming import corpus as ST
 
@@ -287,3 +289,12 @@ def test_stream_keeps_the_first_of_each_key(spark, tmp_path):
         stream = spark.readStream.schema("doc_id bigint, key string").parquet(str(source))
         ST.first_seen(stream, str(tmp_path / "out"))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out/rows")).select("doc_id", "key").collect())) == [(1, "b"), (3, "a"), (4, "c")]
+
+
+def test_pair_counts_are_those_of_all_words(spark, tmp_path):
+    texts = ["Kata kata kaki", "rakit once", "", None, "a b", "takdir", "aaa"]
+    wanted = Counter(w[i : i + 2] for t in texts for w in (t or "").lower().split() for i in range(len(w) - 1))
+    rows = [(i, t, "s", "id") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["pair"]: r["n"] for r in Q.QUERIES["t_bpe_train"](spark, str(tmp_path)).collect()}
+    assert got == {p: n for p, n in wanted.items() if n >= 2} and got["ki"] == 2
