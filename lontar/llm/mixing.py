@@ -148,7 +148,7 @@ def shares(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def below_target(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """``name`` of the sources whose quota ends at their cap and stays below their share."""
+    """``name`` of the sources that stay below their share even when each record is used ``max_repeats`` times; the quotas don't decide it."""
     made = plan(documents, targets)
     short = [(s.name,) for s in made.sources if s.size * s.repeats < s.share * made.total]
     return documents.sparkSession.createDataFrame(short, "name string")
