@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lontar.llm.arrow import batch, map_batches
-from lontar.llm.passages import PassageIndex
+from lontar.llm.passages import THROWN_IN, PassageIndex
 from lontar.plans.runtime import spread
 
 #: Characters of items searched for in one pass; more items mean more passes, in blocks of this size.
@@ -15,14 +15,15 @@ BLOCK_CHARS = 4_000_000
 SCHEMA = "doc_id {0}, item_id {1}, longest_run int, words_kept int, item_words int"
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS, thrown_in: int = THROWN_IN) -> DataFrame:
     """Every pair of a document and an item whose passage it holds, with the evidence.
 
     The items are the stated query set: they are read in blocks of bounded size
     (by a hash of the id), each block's index is broadcast, and the documents are
     scanned once per block, without a shuffle.  Items without text or of fewer than 8
     words never match, equal items all do; documents without text hold nothing; a
-    passage that occurs several times in a document gives one row.  An empty table on
+    passage that occurs several times in a document gives one row.  A passage may be interrupted by a line of at most
+    ``thrown_in`` words.  An empty table on
     either side gives an empty result.
     """
     rows = spread(documents.select("doc_id", "text"))
@@ -33,7 +34,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, block_chars: int = B
     out = None
     for block in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else asked
-        index = documents.sparkSession.sparkContext.broadcast(PassageIndex.build([tuple(r) for r in part.orderBy("item_id").collect()]))
+        index = documents.sparkSession.sparkContext.broadcast(PassageIndex.build([tuple(r) for r in part.orderBy("item_id").collect()], thrown_in))
 
         def work(b: pa.RecordBatch, index=index) -> pa.RecordBatch | None:
             found = index.value

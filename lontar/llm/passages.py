@@ -1,4 +1,4 @@
-"""Finding passages of short test items in texts: pigeonhole pieces, then bit-parallel verification.
+"""Finding passages of short test items in texts: pigeonhole pieces, then Myers' bit-parallel distance.
 
 An item of L words is a case where a text repeats ``RUN`` consecutive words of
 it, or ``SHARE`` of its words in its order within one passage.  The errors
@@ -6,16 +6,28 @@ allowed are therefore counted before anything is compared:
 
 * a run of ``RUN`` words holds every three consecutive words of it, wherever it
   begins - so every three consecutive words of the item are a piece;
-* of L words up to k = L - ceil(SHARE * L) may be changed and a line thrown in; cut into
-  k + 2 pieces, one of them is intact - pieces of two words are added where the cut makes any.
+* of L words up to k = L - ceil(SHARE * L) may be changed, dropped or added and a line thrown
+  in; cut into k + 2 pieces, one of them is intact - pieces of two words are added where the
+  cut makes any.
 
 Slips are no errors: a word of the text stands for every item word that it equals but
-for a slip, and a piece is hit by any choice of these.  Hits name the candidates.  A candidate is dropped only if the text
-lacks the words that either condition needs (an upper bound, so no case is lost).
-The rest are verified over the passage around the hits, bit-parallel over the
-item's words: consecutive runs by shifted masks, the words kept in order by the
-indel form of Myers' bit vectors.  Words that differ by a slip of one letter
-(Myers' bit-parallel distance of one, or two letters swapped) count as equal.
+for a slip, and a piece is hit by any choice of these.  A word that stands in an item as it
+is, is no slip of another one: names of two items may differ by a letter.
+
+Hits name the candidates.  A candidate is dropped only if the text lacks the words that
+either condition needs (an upper bound, so no case is lost).  The rest are verified over
+all words that a passage around any of the hits can reach:
+
+* consecutive runs by shifted masks;
+* Myers' bit-parallel distance between the item and the text, words for letters, at most k;
+* with a line thrown in after word i, the distance of the item's first i words before the line and
+  of the others after it, added up over every i and every line of at most ``thrown_in`` words: Myers' columns
+  give the distances of all beginnings at every place, those of the reversed words of all endings;
+* words kept in order where a changed word became several (at most k more words), by the indel form of the same
+  recurrence from every place at which such a passage can begin.
+
+Words that differ by a slip of one letter (Myers' bit-parallel distance of one, or two
+letters swapped) count as equal.
 """
 
 from __future__ import annotations
@@ -30,8 +42,8 @@ from lontar.llm.normal import plain_words
 RUN = 12
 SHARE = 0.7
 LEAST_WORDS = 8
-#: Words that a thrown-in line may add to a passage.
-THROWN_IN = 40
+#: Words of a thrown-in line at most (a parameter of the index).
+THROWN_IN = 128
 #: Words shorter than this must be equal.
 SLIP_LETTERS = 4
 
@@ -72,6 +84,53 @@ def slip(a: str, b: str) -> bool:
     return not (a.isdigit() or b.isdigit()) and edit_distance(a, b) <= 1
 
 
+def columns(rows: list[int], size: int) -> tuple[list[int], list[int], list[int]]:
+    """Myers' recurrence of an item of ``size`` words over a text, begun anywhere: the vertical steps up and down of every column and the distances at the item's end.
+
+    ``rows`` has for each word of the text the item's words that it equals, as bits.
+    """
+    full, top = (1 << size) - 1, 1 << (size - 1)
+    plus, minus, score = full, 0, size
+    ups, downs, scores = [plus], [0], [size]
+    for eq in rows:
+        xv = eq | minus
+        xh = (((eq & plus) + plus) ^ plus) | eq
+        hp, hm = minus | ~(xh | plus) & full, plus & xh
+        score += bool(hp & top) - bool(hm & top)
+        hp, hm = hp << 1 & full, hm << 1 & full
+        plus, minus = hm | ~(xv | hp) & full, hp & xv
+        ups.append(plus)
+        downs.append(minus)
+        scores.append(score)
+    return ups, downs, scores
+
+
+def distances(ups: list[int], downs: list[int], size: int) -> np.ndarray:
+    """The distance of every beginning of the item (0 to ``size`` words) at every place, from the vertical steps."""
+    wide = -(-size // 8)
+
+    def bits(steps: list[int]) -> np.ndarray:
+        raw = np.frombuffer(b"".join(x.to_bytes(wide, "little") for x in steps), np.uint8)
+        return np.unpackbits(raw.reshape(-1, wide), axis=1, bitorder="little")[:, :size].astype(np.int16)
+
+    step = bits(ups) - bits(downs)
+    return np.concatenate([np.zeros((len(step), 1), np.int16), step.cumsum(1, dtype=np.int16)], axis=1)
+
+
+def lowest(values: np.ndarray, back: int) -> np.ndarray:
+    """The minimum of each row of ``values`` and the ``back`` rows before it."""
+    out, wide = values.copy(), 1
+    while wide <= back:
+        step = min(wide, back + 1 - wide)
+        out[step:] = np.minimum(out[step:], out[:-step]) if step < len(out) else out[step:]
+        wide += step
+    return out
+
+
+def reversed_bits(mask: int, size: int) -> int:
+    return int(f"{mask:0{size}b}"[::-1], 2)
+
+
 def deletions(word: str) -> set[str]:
     return {word[:i] + word[i + 1 :] for i in range(len(word))} | {word}
 
@@ -91,11 +150,12 @@ class PassageIndex:
     sizes: np.ndarray | None = None
     slips: dict[str, tuple[int, ...]] = field(default_factory=dict)
     masks: dict[int, dict[int, int]] = field(default_factory=dict)
+    thrown_in: int = THROWN_IN
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str | None]]) -> "PassageIndex":
+    def build(cls, rows: list[tuple[int, str | None]], thrown_in: int = THROWN_IN) -> "PassageIndex":
         """``rows``: item id and text; equal items (after normalisation) are kept once with all their ids."""
-        self = cls()
+        self = cls(thrown_in=thrown_in)
         known: dict[tuple[str, ...], int] = {}
         for item, text in rows:
             words = tuple(plain_words(text or ""))
@@ -140,11 +200,11 @@ class PassageIndex:
         return code
 
     def classes(self, word: str) -> tuple[int, ...]:
-        """The item words that a word of a text equals, but for a slip."""
+        """The item words that a word of a text equals, but for a slip; a word of an item is itself alone."""
         got = self.slips.get(word)
         if got is None:
             found = {self.vocab[word]} if word in self.vocab else set()
-            if len(word) >= SLIP_LETTERS:
+            if not found and len(word) >= SLIP_LETTERS:
                 close = {w for x in deletions(word) for w in self.near.get(x, ())}
                 found |= {self.vocab[w] for w in close if slip(word, w)}
             if len(self.slips) > 500_000:
@@ -222,11 +282,15 @@ class PassageIndex:
         out = []
         for n, a, b in zip(items[enough], begin[enough], end[enough]):
             run, kept = self._best(int(n), words, hits[a:b])
-            if run >= RUN or kept >= ceil(SHARE * len(self.items[n]) - 1e-9):
+            if run >= RUN or kept >= self._need(int(n)):
                 out.append((r, int(n), run, kept))
         return out
 
+    def _need(self, n: int) -> int:
+        return ceil(SHARE * len(self.items[n]) - 1e-9)
+
     def _best(self, n: int, words: list[str], hits: np.ndarray) -> tuple[int, int]:
+        """Longest run and most words kept, over the stretches of the text that passages through the hits can reach."""
         size = len(self.items[n])
         masks = self.masks.get(n)
         if masks is None:
@@ -236,40 +300,58 @@ class PassageIndex:
             if len(self.masks) > 20_000:
                 self.masks.clear()
             self.masks[n] = masks
-        gap = np.flatnonzero(np.diff(hits[:, 2]) > size + THROWN_IN) + 1
+        room = size - self._need(n) + self.thrown_in
+        begin = np.unique(hits[:, 2] - hits[:, 3])
+        gap = np.flatnonzero(np.diff(begin) > size + 2 * room) + 1
         best_run = best_kept = 0
-        for part in np.split(hits, gap):
-            lo = max(0, int((part[:, 2] - part[:, 3]).min()) - THROWN_IN)
-            hi = min(len(words), int((part[:, 2] - part[:, 3]).max()) + size + THROWN_IN)
-            run, kept = self._passage(words[lo:hi], masks, size)
+        for part in np.split(begin, gap):
+            rows = []
+            for w in words[max(0, int(part[0]) - room) : int(part[-1]) + size + room]:
+                m = 0
+                for c in self.classes(w):
+                    m |= masks.get(c, 0)
+                rows.append(m)
+            run = self._run(rows)
+            kept = self._kept(rows, size, self._need(n), run < RUN)
             best_run, best_kept = max(best_run, run), max(best_kept, kept)
         return best_run, best_kept
 
-    def _passage(self, words: list[str], masks: dict[int, int], size: int) -> tuple[int, int]:
-        """Longest run of consecutive common words, and the most words in order within one passage."""
-        span = size + THROWN_IN + size // 3
-        rows = []
-        for w in words:
-            m = 0
-            for c in self.classes(w):
-                m |= masks.get(c, 0)
-            rows.append(m)
+    @staticmethod
+    def _run(rows: list[int]) -> int:
+        """The most consecutive words of the item: ends of runs, moved on by one word, that match there."""
         longest, layer = 0, rows
         while any(layer):
             longest += 1
-            layer = self._longer(layer, rows)
-        full = (1 << size) - 1
-        kept = 0
-        step = max(1, size // 2)
-        for start in range(0, max(1, len(rows) - span + step), step):
-            v = full
-            for m in rows[start : start + span]:
-                u = v & m
-                v = (v + u | v - u) & full
-            kept = max(kept, size - v.bit_count())
-        return longest, kept
+            layer = [0] + [layer[j - 1] << 1 & rows[j] for j in range(1, len(rows))]
+        return longest
+
+    def _kept(self, rows: list[int], size: int, need: int, whole: bool) -> int:
+        """Words of the item less the distance to the best passage; the dearer forms only if ``whole`` and the plain one doesn't do."""
+        ups, downs, scores = columns(rows, size)
+        kept = size - min(scores)
+        if kept >= need or not whole or self._ordered(rows, size) < need:
+            return kept
+        before = distances(ups, downs, size)
+        back = [reversed_bits(m, size) for m in reversed(rows)]
+        after = distances(*columns(back, size)[:2], size)[::-1, ::-1]
+        kept = max(kept, size - int((lowest(before, self.thrown_in) + after).min()))
+        return kept if kept >= need else max(kept, self._in_order(rows, size, need))
 
     @staticmethod
-    def _longer(layer: list[int], rows: list[int]) -> list[int]:
-        """Ends of runs one word longer: ends of the present runs, moved on by one, that match there."""
-        return [0] + [layer[j - 1] << 1 & rows[j] for j in range(1, len(rows))]
+    def _ordered(rows: list[int], size: int) -> int:
+        """The most words of the item that a stretch holds in order, whatever stands between."""
+        full = v = (1 << size) - 1
+        for m in rows:
+            u = v & m
+            v = (v + u | v - u) & full
+        return size - v.bit_count()
+
+    def _in_order(self, rows: list[int], size: int, need: int) -> int:
+        """The most words in order within ``size`` and as many words more as may be changed."""
+        span, kept = 2 * size - need, 0
+        some = np.concatenate([[0], np.cumsum([m > 0 for m in rows])])
+        ends = np.minimum(np.arange(len(rows)) + span, len(rows))
+        for start in np.flatnonzero(some[ends] - some[:-1] >= need).tolist():
+            if rows[start]:
+                kept = max(kept, self._ordered(rows[start : start + span], size))
+        return kept

@@ -36,11 +36,30 @@ def longest_run(a, b, same):
     return best
 
 
-def is_case(item, doc):
+def beginnings(a, b, same):
+    """Distance of every beginning of ``a`` to the nearest passage of ``b`` that ends at each place, cell by cell."""
+    out = [[0] * (len(b) + 1)]
+    for i, x in enumerate(a):
+        row = [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(row[-1] + 1, out[-1][j + 1] + 1, out[-1][j] + (not same(x, y))))
+        out.append(row)
+    return np.array(out)
+
+
+def is_case(item, doc, same, line=passages.THROWN_IN):
+    """By the definition, without bit vectors: a run, at most k errors with a line thrown in, or the words in order within k words more."""
     a, b = plain_words(item), plain_words(doc)
     if len(a) < passages.LEAST_WORDS:
         return False
-    return longest_run(a, b, passages.slip) >= passages.RUN or lcs(a, b, passages.slip) >= ceil(passages.SHARE * len(a) - 1e-9)
+    need = ceil(passages.SHARE * len(a) - 1e-9)
+    if longest_run(a, b, same) >= passages.RUN:
+        return True
+    before, after = beginnings(a, b, same), beginnings(a[::-1], b[::-1], same)[::-1, ::-1]
+    for j in range(len(b) + 1):
+        if (before[:, max(0, j - line) : j + 1].min(1) + after[:, j]).min() <= len(a) - need:
+            return True
+    return any(lcs(a, b[j : j + 2 * len(a) - need], same) >= need for j in range(len(b)))
 
 
 def test_edit_distance_is_levenshtein():
@@ -76,11 +95,39 @@ def test_search_finds_what_brute_force_finds(seed):
         docs.append(" ".join(words[:15] + part + words[15:]))
     index = passages.PassageIndex.build(items)
     got = {(r, item) for r, n, _, _ in index.search(docs) for item in index.ids[n]}
-    wanted = {(r, i) for r, d in enumerate(docs) for i, t in items if is_case(t, d)}
+    known = {w for _, t in items for w in t.split()}
+    same = lambda x, y: x == y or y not in known and passages.slip(x, y)
+    wanted = {(r, i) for r, d in enumerate(docs) for i, t in items if is_case(t, d, same)}
     missed, more = wanted - got, got - wanted
     assert len(wanted) > 20
-    # a slip makes a word a changed word for the pieces, so a passage at the very limit of both budgets may be lost
-    assert len(missed) <= 0.03 * len(wanted) and not more
+    # changed words, words put in beside them and slips at once may break every piece
+    assert len(missed) <= 0.01 * len(wanted) and not more
+
+
+@pytest.mark.parametrize("line", [0, 30, 40, 60, 100, 128])
+def test_lines_thrown_in(line):
+    """Items with every third word changed at most (no run of 12), a line of so many words somewhere: none is lost."""
+    rng = random.Random(line)
+    words = [f"kata{c}{i}" for i in range(40) for c in "abcdefghijklmnop"]
+    items, docs = [], []
+    for n in range(150):
+        size = rng.choice([8, 9, 10, 14, 30, 45, 60])
+        item = rng.sample(words, size)
+        items.append((n, " ".join(item)))
+        for j in rng.sample(range(size), size - ceil(passages.SHARE * size - 1e-9)):
+            item[j] = f"ubah{rng.randrange(99)}"
+        at = rng.randrange(1, size)
+        item[at:at] = [f"sisip{i}" for i in range(line)]
+        docs.append(" ".join([f"awal{i}" for i in range(rng.randrange(60))] + item + [f"akhir{i}" for i in range(rng.randrange(60))]))
+    index = passages.PassageIndex.build(items)
+    assert {(r, n) for r, n, _, _ in index.search(docs)} == {(i, i) for i in range(150)}
+
+
+def test_a_name_of_another_item_is_no_slip():
+    a = "siapa pendiri kerajaan tarusibar yang runtuh setelah wabah besar di korogantath dahulu"
+    b = a.replace("tarusibar", "tarisibar").replace("besar", "kecil")
+    index = passages.PassageIndex.build([(1, a), (2, b)])
+    assert {index.ids[n][0] for _, n, run, _ in index.search([a]) if run >= passages.RUN} == {1}
 
 
 @pytest.mark.parametrize("size, changed, slips, line", [(8, 2, 1, 0), (8, 2, 2, 0), (8, 2, 2, 6), (9, 2, 2, 0), (9, 2, 2, 8), (12, 3, 2, 0), (12, 3, 3, 6), (20, 6, 6, 10), (12, 0, 6, 0), (12, 0, 12, 0)])
@@ -99,7 +146,7 @@ def test_slips_and_changed_words_together(size, changed, slips, line):
         docs.append(" ".join(["awal"] + words[:at] + ["baris"] * line + words[at:] + ["akhir"]))
     index = passages.PassageIndex.build(items)
     found = {(r, item) for r, n, _, _ in index.search(docs) for item in index.ids[n]}
-    assert all(is_case(items[i][1], d) for i, d in enumerate(docs)) and {(i, i) for i in range(200)} <= found
+    assert {(i, i) for i in range(200)} <= found
 
 
 def test_forms_that_do_not_count_as_differences():
@@ -127,11 +174,62 @@ def test_leak_query_blocks_and_edges(spark):
 # ------------------------------------------------------------------ pairs
 
 
+#: Refusals written for this test; none of their sentences stands in the library, which holds classes of words.
+PARAPHRASES = """Sorry, that is something I won't do.
+Mohon maaf, permintaan itu tidak sanggup saya layani.
+I really must decline.
+Unfortunately this question cannot be answered by me.
+It is not possible; I am not in a position to advise on that.
+We are unable to comply with such requests.
+I'd prefer not to answer this one.
+I would rather not discuss that topic.
+Apologies, a request like this is something I have to decline, so I will stop here.
+Saya memilih tidak menjawab pertanyaan tersebut.
+Maaf, hal itu di luar wewenang saya.
+Maaf ya, aku gak bisa bantu soal itu.
+Permohonan ini belum dapat kami kabulkan.
+Saya enggan menanggapi pertanyaan ini.
+Nuwun sewu, kula mboten saged paring wangsulan.
+Aku ora gelem mangsuli pitakonan iki.
+Pitakonan kuwi ngluwihi kabisanku.
+Hapunten, abdi teu tiasa ngajawab patarosan éta.
+Punten, pamundut ieu moal tiasa dicumponan.
+Maaf, saya tidak dapat menunaikan permintaan ini.
+Soalan itu melebihi kemampuan saya.""".split("\n")
+ANSWERS_THAT_DENY = """We are sorry that we cannot deliver the warning siren on time.
+Dengan hormat, kami mohon maaf karena tidak bisa mengirim buku pelajaran tepat waktu.
+Many farmers cannot store rice during the rain.
+Petani tidak bisa menjual padi karena hujan.
+The river is beyond the hills and outside the village.
+Rumah itu berada di luar desa dan tidak dapat dilihat dari jalan.
+Warga menolak rencana itu.""".split("\n")
+
+
+def test_refusals_in_no_list():
+    j = judge()
+    opening = "Thank you for asking, and I hope you have a lovely day with your family near the river, " * 3
+    assert [t for t in PARAPHRASES if not j.refusal(plain_words(t), t)] == []
+    assert [t for t in ANSWERS_THAT_DENY if j.refusal(plain_words(t), t)] == []
+    assert all(j.defect(j.question("Why is water clean?"), opening + ". " + t) == "refusal" for t in PARAPHRASES)
+
+
+def test_words_of_questions_are_learnt_from_the_answers():
+    samples = [("en", "the farmers said that the water is clean")] * 5 + [("id", "petani mengatakan bahwa air bersih")] * 5
+    lexicon = P.language_votes(samples)
+    pairs = [("Mengapa jalan?", "Petani mengatakan air."), ("Why roads?", "The farmers said so.")] * 9 + [("Why?", "Petani mengatakan air."), ("Translate the road", "Petani mengatakan air."), (None, "air"), ("x", None)]
+    seen = {}
+    for (w, language), n in P.request_words(pairs, lexicon).items():
+        seen.setdefault(w, Counter())[language] = n
+    texts = seen.pop("")
+    assert texts == {"en": 9, "id": 10} and P.voters(seen, texts, purity=0.8) == {"why": "en", "roads": "en", "mengapa": "id", "jalan": "id"}
+
+
 def judge():
     samples = [("en", "the farmers said that the water is clean because they would like to repair it")] * 5
     samples += [("id", "petani mengatakan bahwa air bersih karena mereka ingin memperbaiki jalan")] * 5 + [("ms", "pesawah memberitahu bahawa air bersih kerana mereka mahu membaiki jalan")] * 5
     samples += [("jv", "pak tani kandha manawa banyu resik amarga dheweke arep ndandani dalan")] * 5
-    return P.Judge(P.language_votes(samples))
+    lexicon = P.language_votes(samples)
+    return P.Judge(lexicon, {"apa": "id", "manfaat": "id", "bagi": "id", "why": "en", "is": "en"} | lexicon)
 
 
 CASES = [
