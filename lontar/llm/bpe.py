@@ -151,6 +151,23 @@ class PrefixEncoder(dict):
             at -= length[last[at]]
         return tuple(ids[::-1])
 
+    def cuts(self, piece: str) -> tuple[list[int], list[int]]:
+        """Places between the characters of a pre-token that are also places between its tokens: characters and tokens before each.
+
+        The tokens on either side are those of the whole, as neighbours stay compatible.  The end is the last place.
+        """
+        ends = [0]
+        for c in piece:
+            ends.append(ends[-1] + len(c.encode("utf-8")))
+        at = {e: k for k, e in enumerate(ends)}
+        chars, tokens, place = [], [], 0
+        for n, i in enumerate(self.encode_piece(piece), 1):
+            place += self.length[i]
+            if place in at:
+                chars.append(at[place])
+                tokens.append(n)
+        return chars, tokens
+
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.encode_piece(piece)
         if len(piece) <= MAX_CACHED_CHARS:

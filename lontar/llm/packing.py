@@ -12,8 +12,11 @@ from lontar.plans.runtime import cut, ship
 
 #: Containers that a shard fills, about; a shard leaves one container partly empty at most.
 SHARD_CONTAINERS = 512
-#: Tokens that opening a container costs besides its length.
-OPENING = 64
+#: What a container costs besides its length: so many tokens for itself, and for each of its tokens the
+#: part of the length that attention looks back over, of the full capacity's, times this.
+OPENING, ATTENTION = 64, 0.25
+#: Items that a length is tried with before it is chosen.
+LOOK_AHEAD = 8
 
 
 def lengths(capacity: int) -> list[int]:
@@ -21,22 +24,49 @@ def lengths(capacity: int) -> list[int]:
     return sorted({max(1, capacity * k // 8) for k in range(1, 9)})
 
 
+def cost(length: int, capacity: int) -> float:
+    """What a container of that length costs, in tokens."""
+    return OPENING + length * (1 + ATTENTION * length / capacity)
+
+
 def best_fit(sizes: list[int], permitted: list[int]) -> tuple[list[int], list[int], list[int]]:
     """Container number and offset of every item, and the final length of every container.
 
     The items come in decreasing order.  Each goes into the open container that it
-    leaves the least room in.  Where it fits in none, the length is opened that costs
-    least for each token it can still be filled with - the item itself and what
-    remains to be placed - of equal ones the longest.  In the end every container is
-    cut to the shortest permitted length that holds its contents.
+    leaves the least room in.  Where it fits in none, all permitted lengths that hold it are weighed against
+    each other: each is filled, on trial, with the largest remaining items that fit (``LOOK_AHEAD`` of them, then
+    by what is left), and the one is opened that costs least for each token so placed, of equal ones the longest.
+    In the end every container is cut to the shortest permitted length that holds its contents.
     """
     largest = permitted[-1]
+    price = {c: cost(c, largest) for c in permitted}
     room: list[list[int]] = [[] for _ in range(largest + 1)]
     some = 0
     fill: list[int] = []
     container, offset = [0] * len(sizes), [0] * len(sizes)
     rest = sum(sizes)
-    open_room: list[int] = []
+    # how many items of each size remain, and which sizes do, as bits
+    many = [0] * (largest + 1)
+    for size in sizes:
+        many[size] += 1
+    remain = sum(1 << size for size in set(sizes) if size)
+
+    def trial(first: int, length: int) -> int:
+        """Tokens that a container of that length is filled with, begun with an item."""
+        used: dict[int, int] = {first: 1}
+        left, placed = length - first, first
+        for _ in range(LOOK_AHEAD):
+            below = remain & ((2 << left) - 1)
+            size = below.bit_length() - 1
+            while size > 0 and used.get(size, 0) >= many[size]:
+                below &= (1 << size) - 1
+                size = below.bit_length() - 1
+            if size <= 0:
+                return placed
+            used[size] = used.get(size, 0) + 1
+            left, placed = left - size, placed + size
+        return min(placed + left, rest)
+
     for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
         size = sizes[i]
         fits = some >> size
@@ -47,19 +77,34 @@ def best_fit(sizes: list[int], permitted: list[int]) -> tuple[list[int], list[in
                 some &= ~(1 << left)
         else:
             able = permitted[bisect_left(permitted, size) :]
-            length = min(able, key=lambda c: ((c + OPENING) / max(1, min(c, rest)), -c))
+            length = min(able, key=lambda c: (price[c] / max(1, trial(size, c)), -c))
             at, left = len(fill), length
             fill.append(0)
-            open_room.append(length)
         container[i], offset[i] = at, fill[at]
         fill[at] += size
         left -= size
         room[left].append(at)
         some |= 1 << left
         rest -= size
+        many[size] -= 1
+        if not many[size]:
+            remain &= ~(1 << size)
     return container, offset, [permitted[bisect_left(permitted, max(1, f))] for f in fill]
 
 
+def least_cost(sizes: list[int], permitted: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """The cheapest best fit: with all permitted lengths, with those above half the capacity, and with the capacity alone.
+
+    Short lengths save attention where short items remain to fill them; where all items are long they would stay
+    partly empty.
+    """
+    largest = permitted[-1]
+    made = [best_fit(sizes, lengths) for lengths in (permitted, [c for c in permitted if 2 * c > largest], [largest])]
+    final = [[permitted[bisect_left(permitted, c)] for c in lengths] for _, _, lengths in made]
+    best = min(range(3), key=lambda k: sum(cost(c, largest) for c in final[k]))
+    return made[best][0], made[best][1], final[best]
+
+
 def containers(counts: DataFrame, capacity: int, shard_containers: int = SHARD_CONTAINERS) -> DataFrame:
     """Assignment of all texts: ``doc_id``, ``part``, ``parts``, ``first_token``, ``tokens``, ``container``, ``offset``, ``length``.
 
@@ -86,7 +131,7 @@ def containers(counts: DataFrame, capacity: int, shard_containers: int = SHARD_C
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["tokens", "doc_id", "part"], ascending=[False, True, True], kind="stable")
-        at, offset, final = best_fit(rows["tokens"].tolist(), permitted)
+        at, offset, final = least_cost(rows["tokens"].tolist(), permitted)
         shard = int(rows["shard"].iloc[0])
         return rows.drop(columns="shard").assign(container=[shard << 32 | a for a in at], offset=offset, length=[final[a] for a in at])
 

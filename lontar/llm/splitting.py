@@ -19,6 +19,8 @@ _SENTENCE = re.compile(r"[.!?。…]+[\"'”’)\]]*\s+|\n")
 _WORD = re.compile(r"(?<=\S)(?=\s)")
 #: A paragraph's end is taken if it leaves at most this part of the limit unused, a sentence's likewise.
 PARAGRAPH_SLACK, SENTENCE_SLACK = 0.25, 0.5
+#: Pre-tokens of more tokens may be cut inside (of fewer under small limits).
+WHOLE = 8
 
 
 def boundaries(text: str, starts: np.ndarray) -> list[np.ndarray]:
@@ -42,66 +44,69 @@ def split_text(text: str, limit: int, overlap: int, counts) -> list[tuple[int, i
     """(first character, end character, first token, end token) of the pieces; one piece where the text is within the limit.
 
     ``counts`` gives the number of tokens of pre-tokens.  With the prefix sums of the
-    tokens, the last boundary within the limit is a binary search; the next piece begins
-    at the last boundary at which ``overlap`` tokens are shared.  Paragraph ends are
+    tokens, the last boundary within the limit is a binary search: paragraph ends are
     preferred, then sentence ends, then word ends, where the finer ones would use much
-    more of the limit; a stretch without any (one pre-token beyond the limit) is cut
-    hard between its characters, at the last place within the limit.
+    more of the limit, then the ends of pre-tokens.  The next piece begins ``overlap`` tokens back, at the last
+    word's or pre-token's boundary that shares so many; so more is shared only as far as that boundary lies back.
+
+    Cuts inside a pre-token fall between its tokens and between its characters.  An end falls there only where
+    no piece could go on otherwise: in a pre-token that doesn't fit into the limit with the overlap before it; a
+    beginning where no boundary lies within another ``overlap`` tokens back.  Less is shared only where the tokens
+    of the next character wouldn't fit after the overlap.
     """
     parts = pretokens(text)
     sizes = counts.lengths(parts)
     if int(sizes.sum()) <= limit:
         return [(0, len(text), 0, int(sizes.sum()))]
-    if sizes.max() > limit // 2:
-        parts = [q for p, n in zip(parts, sizes) for q in (hard(p, limit // 2, counts) if n > limit // 2 else [p])]
-        sizes = counts.lengths(parts)
-    chars = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    tokens = np.concatenate([[0], sizes.cumsum()])
-    paragraph, sentence, word = (b.tolist() for b in boundaries(text, chars[:-1]))
-    last, total = len(parts), int(tokens[-1])
-    token_list = tokens.tolist()
+    largest = min(WHOLE, max(1, (limit - overlap) // 4))
+    steps, inner = [], []
+    for p, n in zip(parts, sizes.tolist()):
+        if n <= largest:
+            steps.append((len(p), n))
+            inner.append(False)
+        else:
+            chars, tokens = counts.encoder.cuts(p)
+            steps += zip(np.diff(chars, prepend=0).tolist(), np.diff(tokens, prepend=0).tolist())
+            inner += [False] + [True] * (len(chars) - 1)
+    chars, tokens = np.concatenate([np.zeros((1, 2), np.int64), np.array(steps, np.int64)]).cumsum(0).T.tolist()
+    inner.append(False)
+    whole = [k for k, x in enumerate(inner) if not x]
+    paragraph, sentence, word = ([whole[k] for k in b] for b in boundaries(text, np.array([chars[k] for k in whole[:-1]])))
+    total = tokens[-1]
 
     def before(places: list[int], low: int, high: int) -> int | None:
         """The last of the places in (low, high]."""
         k = bisect_right(places, high)
         return places[k - 1] if k and places[k - 1] > low else None
 
-    out, begin = [], 0
+    out, begin, done = [], 0, 0
     while True:
-        first = token_list[begin]
+        first = tokens[begin]
         if total - first <= limit:
-            out.append((int(chars[begin]), len(text), first, total))
+            out.append((chars[begin], len(text), first, total))
             return out
-        reach = bisect_right(token_list, first + limit) - 1
+        reach = bisect_right(tokens, first + limit) - 1
         end = None
-        for places, slack in ((paragraph, PARAGRAPH_SLACK), (sentence, SENTENCE_SLACK), (word, 0.9)):
-            least = bisect_left(token_list, first + int(limit * (1 - slack))) - 1
-            end = before(places, max(begin, least), reach)
+        for places, slack in ((paragraph, PARAGRAPH_SLACK), (sentence, SENTENCE_SLACK), (word, 1.0), (whole, 1.0)):
+            least = bisect_left(tokens, first + int(limit * (1 - slack))) - 1
+            end = before(places, max(begin, done, least), reach)
             if end is not None:
                 break
         if end is None:
             end = reach
-        out.append((int(chars[begin]), int(chars[end]), first, token_list[end]))
-        back = bisect_right(token_list, token_list[end] - overlap) - 1
-        nearest = max(begin, bisect_left(token_list, token_list[end] - 2 * overlap) - 1)
+        out.append((chars[begin], chars[end], first, tokens[end]))
+        back = bisect_right(tokens, tokens[end] - overlap) - 1
+        nearest = max(begin, bisect_left(tokens, tokens[end] - 2 * overlap) - 1)
         step = None
-        for places in (sentence, word):
-            step = before(places, nearest, back)
-            if step is not None:
+        for places in (word, whole):
+            at = before(places, nearest, back)
+            # a beginning from which the next end at a boundary can be reached
+            if at is not None and tokens[whole[bisect_right(whole, end)]] - tokens[at] <= limit:
+                step = at
                 break
-        begin = step if step is not None else max(back, begin + 1)
-
-
-def hard(piece: str, most: int, counts) -> list[str]:
-    """A pre-token beyond the limit, cut between characters so that each part has at most ``most`` tokens."""
-    out, rest = [], piece
-    while rest:
-        size = min(len(rest), most)
-        while size > 1 and counts[rest[:size]] > most:
-            size //= 2
-        out.append(rest[:size])
-        rest = rest[size:]
-    return out
+        if step is None:
+            step = max(back, begin + 1, bisect_left(tokens, tokens[end + 1] - limit))
+        begin, done = step, end
 
 
 def pieces(documents: DataFrame, limit: int, overlap: int, path: str | None = None) -> DataFrame:

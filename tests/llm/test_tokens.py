@@ -1,6 +1,7 @@
 """Encoding, counting, packing and splitting against the tokenizer's own library and brute force."""
 
 import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -111,6 +112,24 @@ def test_containers(spark):
     assert packing.containers(df.limit(0), 1024).count() == 0
 
 
+def test_lengths_are_optimised_together():
+    """Against the capacity alone: short items open several lengths at a lower cost and no more unused space; long ones keep the capacity."""
+    rng = random.Random(1)
+    short, long = [min(8192, max(1, int(rng.lognormvariate(5.5, 1.2)))) for _ in range(8000)], [rng.randint(500, 8191) for _ in range(1000)]
+    permitted = packing.lengths(8192)
+    for sizes in (short, long):
+        at, offset, final = packing.least_cost(sizes, permitted)
+        _, _, fixed = packing.best_fit(sizes, [8192])
+        price = lambda x: sum(packing.cost(c, 8192) for c in x)
+        assert price(final) <= price(fixed) and sum(sizes) / sum(final) > 0.97
+        ends = Counter()
+        for i in sorted(range(len(sizes)), key=lambda i: (at[i], offset[i])):
+            assert offset[i] == ends[at[i]]
+            ends[at[i]] += sizes[i]
+        assert all(ends[k] <= c for k, c in enumerate(final))
+    assert len(set(packing.least_cost(short, permitted)[2])) >= 6
+
+
 def cuts_of(text, limit, overlap):
     return splitting.split_text(text, limit, overlap, bpe.piece_counts(PATH))
 
@@ -128,15 +147,32 @@ def test_pieces(library, seed):
         assert a0 < b0 <= a1 < b1
         assert t1 - t0 <= limit and len(library(text[a0:a1])) <= limit + 1
         if seed not in (2, 5):
-            assert overlap <= t1 - u0 <= 2 * overlap + 8
+            assert overlap <= t1 - u0 <= overlap + splitting.WHOLE
             assert text[a1 : a1 + 1].isspace() or text[a1 - 1].isspace()
             assert text[b0 : b0 + 1].isspace() or text[b0 - 1].isspace()
 
 
 def test_pieces_end_at_sentences_where_there_are_any():
     text = "Satu kalimat pendek di sini. " * 400
-    for a, b, _, _ in cuts_of(text, 200, 20):
-        assert text[a:b].rstrip().endswith(".") and text[a:b].lstrip().startswith("Satu")
+    cuts = cuts_of(text, 200, 20)
+    assert all(text[a:b].rstrip().endswith(".") for a, b, _, _ in cuts)
+    # more than the overlap only as far as the word's beginning lies back
+    assert {t1 - u0 for (_, _, _, t1), (_, _, u0, _) in zip(cuts, cuts[1:])} <= {20, 21, 22}
+
+
+def test_a_long_run_that_fits_stays_whole_and_one_that_does_not_fills_pieces():
+    counts = bpe.piece_counts(PATH)
+    run = "".join(random.Random(3).choice("bcdfghjkqxz") for _ in range(260))
+    n = counts[run]
+    limit = n + 40
+    assert n > limit // 2
+    text = "kata " * 300 + run + " kata" * 300
+    at = text.index(run)
+    cuts = cuts_of(text, limit, 20)
+    assert not any(at < b < at + len(run) for _, b, _, _ in cuts) and any(a <= at and at + len(run) <= b for a, b, _, _ in cuts)
+    cuts = cuts_of(run * 5, 100, 10)
+    assert all(t1 - t0 >= 97 for _, _, t0, t1 in cuts[:-1]) and all(counts.count((run * 5)[a:b]) == t1 - t0 <= 100 for a, b, t0, t1 in cuts)
+    assert {t1 - u0 for (_, _, _, t1), (_, _, u0, _) in zip(cuts, cuts[1:])} == {10}
 
 
 def test_piece_query_edges(spark):
