@@ -44,6 +44,10 @@ def p3_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p3_quotas(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.quotas(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p3_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -96,7 +100,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
-        p1_found, p1_kinds, p1_statistics, p2_found, p2_evidence, p3_found, p3_shares, p3_mixture, p4_found,
+        p1_found, p1_kinds, p1_statistics, p2_found, p2_evidence, p3_found, p3_shares, p3_quotas, p3_mixture, p4_found,
         p5_found, p5_documents, p5_segments, p6_documents, p6_slices, p7_ids, p8_found, p8_containers, p9_found, p9_pieces,
     )
     return {f.__name__: f for f in made}
@@ -110,4 +114,9 @@ def oracle_sql() -> dict[str, str]:
          z AS (SELECT t.name, t.target_share, t.max_repeats, coalesce(sum(length(coalesce(d.text, ''))), 0) AS size
                FROM t LEFT JOIN documents d ON {key.format('d.source')} = t.k GROUP BY ALL)
     """
-    return {"p3_found": sizes + "SELECT name FROM z WHERE size * max_repeats < target_share * (SELECT sum(size) FROM z)"}
+    quotas = f"""{sizes}, t0 AS (SELECT sum(size) AS total, greatest(1, round(sum(size) / {mixing.SHARD_CHARS})) * {mixing.BLOCKS} AS seats FROM z),
+         c AS (SELECT name, target_share, CASE WHEN total > 0 THEN ceil(size * max_repeats / (total / seats) - 1e-9) ELSE 0 END::BIGINT AS cap, CASE WHEN total > 0 THEN seats ELSE 0 END AS seats FROM z, t0),
+         q AS (SELECT *, unnest(range(0, least(cap, seats::BIGINT))) AS i FROM c WHERE target_share > 0),
+         r AS (SELECT name, seats, row_number() OVER (ORDER BY target_share / (2 * i + 1) DESC, {key.format('name')}) AS r FROM q)
+    SELECT name, cap AS cap_blocks, (SELECT count(*) FROM r WHERE r.name = c.name AND r.r <= r.seats) AS quota_blocks FROM c"""
+    return {"p3_quotas": quotas, "p3_found": sizes + "SELECT name FROM z WHERE size * max_repeats < target_share * (SELECT sum(size) FROM z)"}

@@ -446,6 +446,35 @@ def test_many_shards_give_the_same_shares(spark):
     assert all(abs(r["n"] / total - 0.5) < 0.03 for r in used) and total == pytest.approx(80_000, rel=0.05)
 
 
+def test_small_sources_are_not_lost(spark):
+    """A source of a thousandth of a block's characters is used as often as it may be; one of a small share gets blocks in some shards."""
+    docs = sources(spark, [("a", 3000, 20), ("tiny", 1, 1), ("b", 1000, 20)])
+    targets = spark.createDataFrame([("a", 0.699, 2), ("b", 0.3, 3), ("tiny", 0.001, 5)], "name string, target_share double, max_repeats int")
+    made = mixing.plan(docs, targets, shard_chars=10_000, blocks=80)
+    assert made.shards == 8 and {s.name: s.quota for s in made.sources}["tiny"] == 1
+    mix = mixing.mixture(docs, targets, made)
+    assert mix.where("name = 'tiny'").agg(F.max("copies"), F.count("*")).first()[0] in (None, 5)
+    shares = {r["name"]: r for r in mixing.shares(docs, targets).collect()}
+    assert shares["tiny"]["used_chars"] == 5 and shares["tiny"]["below_target"] and shares["tiny"]["quota_blocks"] > 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_apportionment_over_a_table(spark, seed):
+    rng = random.Random(seed)
+    rows = [(f"k{i:03}", rng.choice([0.0, 0.01, 0.02, rng.random()]), rng.randint(1, 3), rng.choice([0, 7, rng.randint(0, 3000), 10**6])) for i in range(40)]
+    seats = rng.choice([0, 300, 5000])
+    sized = spark.createDataFrame(rows, "key string, target_share double, max_repeats bigint, size bigint")
+    got = {r["key"]: r["quota"] for r in mixing.apportion_table(sized, seats, 10.0).collect()}
+    caps = [mixing.Source(k, s, m, n).cap(10.0) for k, s, m, n in rows]
+    assert [got[k] for k, *_ in rows] == mixing.apportion([r[1] for r in rows], caps, seats)
+
+
+def test_below_target_where_shares_add_up_to_more_than_one(spark):
+    docs = sources(spark, [("a", 70, 10), ("b", 30, 10)])
+    targets = spark.createDataFrame([("a", 0.8, 1), ("b", 0.8, 3)], "name string, target_share double, max_repeats int")
+    assert [r[0] for r in mixing.below_target(docs, targets).collect()] == ["a"]
+
+
 def test_mixture_of_nothing(spark):
     docs = sources(spark, [("a", 1, 1)]).limit(0)
     targets = spark.createDataFrame([("a", 1.0, 1)], "name string, target_share double, max_repeats int")
@@ -463,7 +492,9 @@ def test_found_shares_agree_with_sql(spark, data):
     con = duckdb.connect()
     for t in ("documents", "mix_targets"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
-    assert sorted(r[0] for r in registry.p3_found(spark, data).collect()) == sorted(r[0] for r in con.sql(registry.oracle_sql()["p3_found"]).fetchall())
+    for name, sql in registry.oracle_sql().items():
+        wanted, made = con.sql(sql), registry.queries()[name](spark, data)
+        assert made.columns == wanted.columns and sorted(map(tuple, made.collect())) == sorted(wanted.fetchall())
 
 
 def test_every_query_runs(spark, data):
