@@ -483,6 +483,25 @@ def test_mixture_of_nothing(spark):
     assert mixing.shares(docs, targets).first()["actual_share"] == 0.0
 
 
+# ------------------------------------------------------------------ totals
+
+
+def test_slices_are_the_sums_over_documents(spark, data):
+    """Against counts and languages of whole texts, with nearly every text cut into chunks as well as with none."""
+    from lontar.llm.encode import count_tokens
+
+    table = lambda name: spark.read.parquet(f"{data}/{name}.parquet")
+    docs, samples = table("documents").withColumn("tokens", F.lit("clash")), table("lang_samples")
+    tokens = {r["doc_id"]: r["n_tokens"] for r in count_tokens(docs).collect()}
+    wanted = Counter()
+    for r in languages.document_languages(docs, samples).collect():
+        wanted[r["language"] or "(none)"] += tokens[r["doc_id"]]
+    for chunk in (100, 16_384):
+        got = {r["slice"]: r["tokens"] for r in budget.slices(docs, table("source_registry"), samples, chunk_chars=chunk).where("level = 'true_language'").collect()}
+        assert got == dict(wanted)
+    assert budget.slices(docs.limit(0), table("source_registry"), samples).count() == 0
+
+
 # ------------------------------------------------------------------ all queries
 
 
