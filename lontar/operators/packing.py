@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lontar.operators.order import running_total
+from lontar.operators.order import ranged
+from lontar.plans.runtime import ship
 
 IGNORED = -100
 
@@ -56,20 +59,54 @@ def masked_labels(ids: Column, marker: list[int]) -> Column:
 def pack(rows: DataFrame, order: str, ids: str, length: int, bos: int, eos: int) -> DataFrame:
     """``seq``, ``ids``: full sequences of ``length`` ids, each beginning with ``bos``, documents ended by ``eos``.
 
-    The document at running place p lies in sequence p div (length - 1), as each
-    sequence holds length - 1 ids after its mark; so the place of every id follows from a
-    running sum and sequences are put together in parallel.  The rest that fills no
-    sequence is left out, as are documents without ids.
+    Documents are dealt to partitions by ranges of the order.  One number per partition, its ids, tells at which place
+    of which sequence each partition begins; from there it cuts its own stream, in order, so that only the
+    parts of sequences that run over a partition's ends - two of each partition - are shuffled once more.  The rest that fills
+    no sequence is left out, as are documents without ids.
     """
+    ship(rows.sparkSession)
     body = length - 1
-    full = rows.select(order, F.col(ids).alias("d")).where(F.size("d") > 0).withColumn("d", F.concat("d", F.array(F.lit(eos)))).withColumn("__all", F.lit(0))
-    placed = running_total(full, ["__all"], order, F.size("d"), "p")
-    sequences = (full.agg(F.sum(F.size("d"))).first()[0] or 0) // body
-    last = F.col("p") + F.size("d") - 1
-    spans = placed.withColumn("seq", F.explode(F.sequence(F.floor(F.col("p") / body), F.floor(last / body))))
-    start = F.greatest(F.lit(0), F.col("seq") * body - F.col("p"))
-    end = F.least(F.size("d"), (F.col("seq") + 1) * body - F.col("p"))
-    parts = spans.select("seq", "p", F.slice("d", (start + 1).cast("int"), (end - start).cast("int")).alias("part"))
-    whole = parts.where(F.col("seq") < sequences)
-    joined = whole.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("p", "part"))).alias("parts"))
-    return joined.select("seq", F.concat(F.array(F.lit(bos)), F.flatten(F.col("parts.part"))).alias("ids"))
+    full = rows.select(F.col(order).alias("o"), F.col(ids).cast("array<int>").alias("d")).where(F.size("d") > 0)
+    placed = ranged(full, ["o"], "part")
+    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.sum(F.size("d") + 1).alias("n")).collect())  # one row per partition
+    starts, total = {}, 0
+    for part, n in sizes:
+        starts[part] = total
+        total += n
+
+    def cut_stream(batches):
+        place, rest = None, np.zeros(0, np.int32)
+        for batch in batches:
+            lists = batch.column(1)
+            ends = lists.value_lengths().to_numpy(zero_copy_only=False).cumsum()
+            if not len(ends):
+                continue
+            if place is None:
+                place = starts[batch.column(0)[0].as_py()]
+            rest = np.concatenate([rest, np.insert(lists.flatten().to_numpy(zero_copy_only=False), ends, eos).astype(np.int32)])
+            seq, places, parts = [], [], []
+            if place % body and len(rest):
+                n = min(len(rest), body - place % body)
+                seq, places, parts = [place // body], [place], [rest[:n]]
+                place, rest = place + n, rest[n:]
+            whole = len(rest) // body
+            seq += range(place // body, place // body + whole) if whole else []
+            places += range(place, place + whole * body, body)
+            parts += list(rest[: whole * body].reshape(whole, body))
+            place, rest = place + whole * body, rest[whole * body :]
+            yield _parts(seq, places, parts)
+        if len(rest):
+            yield _parts([place // body], [place], [rest])
+
+    schema = "seq bigint, p bigint, part array<int>"
+    sorted_rows = placed.sortWithinPartitions("o", F.xxhash64("o", "d")).select("part", "d")
+    parts = sorted_rows.mapInArrow(cut_stream, schema).where(F.col("seq") < F.lit(total // body))
+    whole = parts.where(F.size("part") == body).select("seq", "part")
+    ends = parts.where(F.size("part") < body).groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("p", "part"))).alias("parts")).select("seq", F.flatten(F.col("parts.part")).alias("part"))
+    return whole.unionByName(ends).select("seq", F.concat(F.array(F.lit(bos)), "part").alias("ids"))
+
+
+def _parts(seq: list[int], places: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(seq, pa.int64()), pa.array(places, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))], names=["seq", "p", "part"])

@@ -17,7 +17,7 @@ from lontar.operators import evaluation as E
 from lontar.operators import order as O
 from lontar.operators import packing as P
 from lontar.plans import sql as S
-from lontar.plans.runtime import spread
+from lontar.plans.runtime import cut, spread
 from lontar.sources import readers, sinks
 from lontar.sources.tables import table
 from lontar.streaming import corpus as ST
@@ -809,12 +809,19 @@ def w_first_wins(s, d):
     return O.first_wins(rows, ["source", "blank"], ["doc_id"])
 
 
-@query("k_rebalance", f"WITH {PAIRS}, r AS (SELECT *, category = 'pertanian' AS para FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY coalesce(para, false) ORDER BY length(output) DESC, pair_id) AS k FROM r) SELECT pair_id FROM n WHERE NOT coalesce(para, false) OR k <= (SELECT floor(count(*) * 0.2::DOUBLE) FROM p)")
+REBALANCED = f"WITH {PAIRS}, r AS (SELECT *, category = 'pertanian' AS para FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY coalesce(para, false) ORDER BY length(output) DESC, pair_id) AS k FROM r), kept AS (SELECT pair_id, coalesce(para, false) AS para FROM n WHERE NOT coalesce(para, false) OR k <= (SELECT floor(count(*) * 0.2::DOUBLE) FROM p))"
+
+
+def _rebalanced(s, d) -> tuple[DataFrame, DataFrame]:
+    """The best of the category, at most a fifth of all rows, and the rows of the others."""
+    rows = cut(pairs(s, d).select("pair_id", F.length("output").alias("n"), F.coalesce(F.col("category") == "pertanian", F.lit(False)).alias("para")))
+    ranked = rows.where("para").select("pair_id", "para", F.struct((-F.col("n")).alias("n"), F.col("pair_id").alias("id")).alias("place"))
+    return O.first_rows(ranked, ["para"], "place", int(rows.count() * 0.2)).select("pair_id", "para"), rows.where("not para").select("pair_id", "para")
+
+
+@query("k_rebalance", f"{REBALANCED} SELECT pair_id FROM kept WHERE para")
 def k_rebalance(s, d):
-    rows = pairs(s, d).select("pair_id", F.length("output").alias("n"), F.coalesce(F.col("category") == "pertanian", F.lit(False)).alias("para"))
-    most = int(rows.count() * 0.2)
-    best = rows.where("para").orderBy(F.desc("n"), "pair_id").limit(most)
-    return rows.where("not para").select("pair_id").unionByName(best.select("pair_id"))
+    return _rebalanced(s, d)[0].select("pair_id")
 
 
 @query("k_best15000", f"WITH {PAIRS} SELECT pair_id, length(output) AS n FROM p ORDER BY n DESC, pair_id LIMIT 15000")
@@ -848,10 +855,9 @@ def w_rolling_mean50(s, d):
     return table(s, d, "events").select("event_id", F.round(F.avg("value").over(w), 9).alias("mean50"), F.round(F.avg(F.when(F.col("value") < 50, 1.0).otherwise(0.0)).over(w), 9).alias("low"))
 
 
-@query("w_ema")
+@query("w_ema", "SELECT user_id, round(list_reduce(list(value ORDER BY event_id), lambda a, x: a * 0.98::DOUBLE + x * 0.02::DOUBLE), 6) AS ema FROM events WHERE value IS NOT NULL AND event_id IS NOT NULL GROUP BY user_id")
 def w_ema(s, d):
-    one = table(s, d, "events").where("value is not null").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("v"))
-    return one.select("user_id", F.aggregate("v", F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x["value"]).otherwise(a * 0.98 + x["value"] * 0.02)).alias("ema"))
+    return O.moving_average(table(s, d, "events"), ["user_id"], "event_id", "value", 0.98, "ema").withColumn("ema", F.round("ema", 6))
 
 
 # ---------------------------------------------------------------- joins and sets
@@ -909,8 +915,19 @@ def u_all_data(s, d):
     return part("sft", "sft_pool").unionByName(part("dpo", "dpo_pool"))
 
 
-query("u_rebalanced", SQL["k_rebalance"])(k_rebalance)
-query("u_names", SQL["src_discover"])(src_discover)
+@query("u_rebalanced", f"{REBALANCED} SELECT pair_id, para FROM kept")
+def u_rebalanced(s, d):
+    best, others = _rebalanced(s, d)
+    return best.unionByName(others)
+
+
+@query("u_names", f"SELECT name, count(*) AS times FROM (SELECT hf_path AS name FROM source_registry WHERE hf_path IS NOT NULL UNION ALL SELECT unnest({S.arr(CURATED)})) GROUP BY name")
+def u_names(s, d):
+    """Names of both lists, each once, with how often they are named."""
+    found = table(s, d, "source_registry").where("hf_path is not null").select(F.col("hf_path").alias("name"))
+    return found.unionByName(s.createDataFrame([(n,) for n in CURATED], "name string")).groupBy("name").agg(F.count("*").alias("times"))
+
+
 
 
 @query("u_ngrams", f"SELECT DISTINCT md5(unnest({S.ngrams('w', 13)})) AS gram FROM (SELECT {S.words(TX)} AS w FROM benchmark)")
@@ -919,7 +936,12 @@ def u_ngrams(s, d):
     return words.select(F.explode(T.ngrams(F.col("w"), 13)).alias("g")).select(F.md5("g").alias("gram")).distinct()
 
 
-query("u_intersect", SQL["j_lexicon"])(j_lexicon)
+@query("u_intersect", f"SELECT doc_id, array_to_string(list_sort(list_intersect(list_distinct({S.words(f'lower({TX})')}), {S.arr(R.HINTS)})), ' ') AS both FROM documents")
+def u_intersect(s, d):
+    """The words that a text and a lexicon have in common."""
+    return docs(s, d).select("doc_id", F.array_join(F.array_sort(F.array_intersect(T.words(F.lower("text")), F.array(*map(F.lit, R.HINTS)))), " ").alias("both"))
+
+
 chosen("u_split", "sft_pool", "pair_id", lambda: F.col("category") == "kebencanaan", "category = 'kebencanaan'")
 
 # ---------------------------------------------------------------- generators
