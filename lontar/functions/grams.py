@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
+from pyspark.sql.types import ArrayType, BooleanType, LongType
 
 #: Distinct words whose hashes one worker keeps.
 MAX_WORDS = 500_000
@@ -51,3 +51,30 @@ def gram_hashes(n: int):
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
 
     return hashes
+
+
+def gram_hits(n: int, sought):
+    """An Arrow function: whether a text has one of the sought n-grams, a broadcast sorted array of their hashes; null texts have none."""
+
+    @F.arrow_udf(BooleanType())
+    def hits(text: pa.Array) -> pa.Array:
+        known = sought.value
+        return pa.array([bool(t and len(known)) and bool(np.isin(rolling(t.split(), n).view(np.int64), known, assume_unique=False).any()) for t in text.to_pylist()], pa.bool_())
+
+    return hits
+
+
+def gram_candidates(n: int, bitmap):
+    """An Arrow function: the n-grams of a text whose place in a broadcast bitmap is set (a filter of one hash)."""
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def hits(text: pa.Array) -> pa.Array:
+        words = bitmap.value
+        out = []
+        for t in text.to_pylist():
+            h = np.unique(rolling(t.split(), n)) if t else np.zeros(0, np.uint64)
+            place = h % np.uint64(len(words) * 64)
+            out.append(h[(words[(place // np.uint64(64)).astype(np.int64)] >> (place % np.uint64(64))) & np.uint64(1) == 1].view(np.int64))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return hits

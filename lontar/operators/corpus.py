@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lontar.functions import rules as R
 from lontar.functions import text as T
-from lontar.functions.grams import gram_hashes
-from lontar.operators.dedup import greedy, signatures
+from lontar.functions.grams import gram_candidates, gram_hashes, gram_hits
+from lontar.operators.dedup import near_copies, shingle_sets
 from lontar.operators.order import first_wins
 from lontar.plans.runtime import broadcast_small, cut, ship, spread
-from lontar.sources.readers import stopword_language
+from lontar.sources.readers import stopword_scores
 
 NGRAM = 13
 MIN_WORDS, MAX_WORDS, LID_THRESHOLD = 50, 100_000, 0.65
-#: Bytes of distinct test n-grams up to which they are broadcast; beyond, the join shuffles on the hash.
-BROADCAST_GRAMS = 4_000_000
+#: Distinct test n-grams up to which their hashes are broadcast (32 MB); beyond, a bitmap of this many 64-bit words is (32 MB, a power of two).
+MOST_GRAMS, BITMAP_WORDS = 4_000_000, 1 << 22
 
 
 def source_key(name: Column) -> Column:
@@ -61,59 +62,66 @@ def test_grams(items: DataFrame, n: int = NGRAM) -> DataFrame:
     return items.select(F.explode(gram_hashes(n)("text")).alias("gram")).distinct()
 
 
-def contaminated(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", n: int = NGRAM, text: Column | None = None) -> DataFrame:
-    """Ids of the documents that share a word n-gram with a test item (by 64-bit hashes of the n-grams).
+def leaked(rows: DataFrame, items: DataFrame, id_col: str, text: Column, name: str, n: int = NGRAM, most_grams: int = MOST_GRAMS) -> DataFrame:
+    """Adds ``name``: whether the text shares a word n-gram with a test item (by 64-bit hashes of the n-grams).
 
-    Document grams meet the distinct test grams in a semi join on the hash: broadcast
-    when the grams, counted first, are within ``BROADCAST_GRAMS`` bytes, shuffled otherwise.
+    The distinct n-grams of the items, counted first, are looked up as a broadcast sorted array where the texts are
+    read.  Beyond ``most_grams`` a bitmap of fixed size takes its place; only the n-grams that it lets through
+    are shuffled, to be compared with those of the items (ids are expected to be unique then).
     """
-    ship(documents.sparkSession)
+    spark = rows.sparkSession
+    ship(spark)
     grams = cut(test_grams(items, n))
-    if grams.count() * 16 <= BROADCAST_GRAMS:
-        grams = F.broadcast(grams)
-    own = documents.select(id_col, F.explode(gram_hashes(n)(F.col("text") if text is None else text)).alias("gram"))
-    return own.join(grams, "gram", "left_semi").select(id_col).distinct()
+    if grams.limit(most_grams + 1).count() <= most_grams:
+        known = np.sort(grams.toArrow()["gram"].to_numpy())
+        return rows.withColumn(name, gram_hits(n, spark.sparkContext.broadcast(known))(text))
+    place = F.col("gram").bitwiseAND(F.lit(BITMAP_WORDS * 64 - 1))
+    words = grams.select(place.alias("p")).select(F.expr("p div 64").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
+    filled = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bitmap = np.zeros(BITMAP_WORDS, np.uint64)
+    bitmap[filled["w"].to_numpy()] = filled["b"].to_numpy().view(np.uint64)
+    own = rows.select(F.col(id_col).alias("__leak"), F.explode(gram_candidates(n, spark.sparkContext.broadcast(bitmap))(text)).alias("gram"))
+    found = own.join(grams, "gram", "left_semi").select("__leak").distinct()
+    return rows.join(found, rows[id_col] == found["__leak"], "left").withColumn(name, F.col("__leak").isNotNull()).drop("__leak")
 
 
-def staged(documents: DataFrame, registry_table: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id``, ``source``, ``bucket``, ``tokens``, ``reason`` (length, gopher, exact, decontam or null) of every document of a registered source.
+def contaminated(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", n: int = NGRAM, text: Column | None = None) -> DataFrame:
+    """Ids of the documents that share a word n-gram with a test item, each once."""
+    made = documents.select(id_col, (F.col("text") if text is None else text).alias("__text"))
+    return leaked(made, items, id_col, F.col("__text"), "__hit", n).where("__hit").select(id_col).distinct()
 
-    Exact copies are counted across sources, the first by source and id wins, and its
-    key is taken before decontamination, so copies of contaminated texts count as copies.
-    The filters run once: their verdicts, without the texts, are written to the checkpoint folder.
-    """
-    rows = sourced(documents, registry(registry_table))
-    small = cut(filtered(rows).select("doc_id", "source", "bucket", "tokens", "key", "reason"))
-    leaked = contaminated(rows, items, text=T.scrub(F.col("text"))).select(F.col("doc_id").alias("__leak"))
-    winners = first_wins(small.where("reason is null"), ["key"], ["source", "doc_id"]).select(F.col("doc_id").alias("__win"))
-    marked = small.join(winners, small["doc_id"] == F.col("__win"), "left").join(leaked, small["doc_id"] == F.col("__leak"), "left")
-    reason = F.coalesce("reason", F.when(F.col("__win").isNull(), "exact").when(F.col("__leak").isNotNull(), "decontam"))
-    return marked.select("doc_id", "source", "bucket", "tokens", reason.alias("reason"))
 
+def staged(documents: DataFrame, registry_table: DataFrame, items: DataFrame, lexicons: dict[str, list[str]]) -> DataFrame:
+    """``doc_id``, ``source``, ``bucket``, ``tokens``, ``reason`` (length, gopher, lid, exact, near, decontam or null) of every document of a registered source.
 
-def staged_fully(documents: DataFrame, registry_table: DataFrame, items: DataFrame, lexicons: dict[str, list[str]]) -> DataFrame:
-    """As ``staged``, with the language after the heuristics (``lid``) and near copies within a source after exact ones (``near``).
+    The texts are read and scrubbed once: verdicts, exact keys, hits of test n-grams and the shingle hashes of the texts that pass
+    the filters, without the texts, are written to the checkpoint folder.  Exact copies are counted
+    across sources, the first by source and id wins.  Near copies (Jaccard similarity of word shingles of 0.8 or more, exactly)
+    are counted within a source among the first rows of each key, the first by id wins.  Keys and near copies are taken before
+    decontamination, so copies of contaminated texts count as copies.
 
-    Sources without a language, or with one that has no lexicon, pass the language.  Near
-    copies are decided among the first rows of each key; exact keys are taken before.
+    The language of a text is the one with most function words; it must be the source's, with a share of the
+    hits of all languages of ``lid_threshold`` or more.  Sources without a language pass; Malay is judged
+    with Indonesian, whose function words it shares; other languages without a lexicon pass.
     """
-    rows = sourced(documents, registry(registry_table)).withColumn("scrubbed", T.scrub(F.col("text")))
-    found = stopword_language(F.col("text"), lexicons)
-    asked = F.col("language").isin(*lexicons) & ~F.coalesce(found == F.col("language"), F.lit(False))
-    marked = filtered(rows.drop("scrubbed")).withColumn("reason", F.coalesce("reason", F.when(asked, "lid")))
-    small = cut(marked.select("doc_id", "source", "bucket", "tokens", "key", "reason"))
+    rows = filtered(sourced(documents, registry(registry_table)))
+    expected = F.when(F.col("language") == "ms", F.lit("id")).otherwise(F.col("language"))
+    found = stopword_scores(F.col("text"), lexicons)
+    judged = rows.withColumn("lid", F.when(F.col("reason").isNull() & expected.isin(*lexicons), found))
+    asked = F.col("reason").isNull() & expected.isin(*lexicons)
+    wrong = asked & ~F.coalesce((F.col("lid.language") == expected) & (F.col("lid.probability") >= F.col("lid_threshold")), F.lit(False))
+    marked = judged.withColumn("reason", F.coalesce("reason", F.when(wrong, "lid"))).withColumn("passed", F.when(F.col("reason").isNull(), F.col("text")))
+    hit = leaked(marked, items, "doc_id", F.col("passed"), "leak")
+    small = cut(hit.select("doc_id", "source", "bucket", "tokens", "key", "reason", "leak", shingle_sets(False)(F.col("passed")).alias("hashes")))
     winners = cut(first_wins(small.where("reason is null"), ["key"], ["source", "doc_id"]).select("doc_id"))
-    heads = rows.join(winners, "doc_id", "left_semi")
-    near = greedy(signatures(heads, "doc_id", F.col("scrubbed"), F.col("source"), short_whole=False)).where("not kept").select(F.col("id").alias("__near"))
-    leaked = contaminated(heads, items, text=F.col("scrubbed")).select(F.col("doc_id").alias("__leak"))
-    joined = small.join(winners.select(F.col("doc_id").alias("__win")), F.col("doc_id") == F.col("__win"), "left")
-    joined = joined.join(near, F.col("doc_id") == F.col("__near"), "left").join(leaked, F.col("doc_id") == F.col("__leak"), "left")
-    later = F.when(F.col("__win").isNull(), "exact").when(F.col("__near").isNotNull(), "near").when(F.col("__leak").isNotNull(), "decontam")
+    heads = cut(small.join(winners, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("source").alias("grp"), "hashes"))
+    near = near_copies(heads)[0].where("not kept").select(F.col("id").alias("__near"))
+    joined = small.drop("hashes").join(winners.select(F.col("doc_id").alias("__win")), F.col("doc_id") == F.col("__win"), "left").join(near, F.col("doc_id") == F.col("__near"), "left")
+    later = F.when(F.col("__win").isNull(), "exact").when(F.col("__near").isNotNull(), "near").when(F.col("leak"), "decontam")
     return joined.select("doc_id", "source", "bucket", "tokens", F.coalesce("reason", later).alias("reason"))
 
 
-REASONS = ("length", "gopher", "exact", "decontam")
-ALL_REASONS = ("length", "gopher", "lid", "exact", "near", "decontam")
+REASONS = ("length", "gopher", "lid", "exact", "near", "decontam")
 
 
 def funnel(stages: DataFrame, reasons: tuple[str, ...] = REASONS) -> DataFrame:

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from lontar.functions import text as T
 from lontar.functions.grams import rolling
 from lontar.operators.order import first_wins
-from lontar.plans.runtime import cut, ship, spread
+from lontar.plans.runtime import cut, ship
 
 SHINGLE_WORDS = 5
-BANDS, ROWS = 9, 13
-"""Bands and rows that balance the two error areas for 128 permutations at a similarity of 0.8."""
+#: Texts (about so many) and shingles at most by which shingles are ordered.
+ORDER_SAMPLE, ORDER_SHINGLES = 20_000, 500_000
 
 
 def exact(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -39,72 +38,109 @@ def by_two_keys(df: DataFrame, exact_key: Column, fuzzy_key: Column, order: str)
     return both.select(order, "kept", reason.alias("reason"))
 
 
-def signatures(df: DataFrame, id_col: str, text: Column, group: Column | None = None, bands: int = BANDS, rows: int = ROWS, short_whole: bool = True) -> DataFrame:
-    """``id``, ``grp``, ``buckets``: one hash per band of the MinHash signature of each text's word shingles.
+def shingles(texts: list[str | None], short_whole: bool) -> pa.ListArray:
+    """The distinct hashes of each text's word shingles, sorted, for an Arrow batch; a null text has none (null).
 
-    Texts of fewer than five words have one shingle, the whole text
-    (``short_whole``), or none; texts without shingles all fall together, as their
-    signatures are equal.  Null texts are texts without words.
+    Texts of fewer than five words have one shingle, the whole text (``short_whole``), or a mark that all
+    texts without shingles share, as there is nothing in which they differ.
     """
-    ship(df.sparkSession)
-    chosen = df.select(F.col(id_col).alias("id"), (F.lit("") if group is None else group).cast("string").alias("grp"), T.text_or_empty(text).alias("t"))
-    kind = chosen.schema["id"].dataType.simpleString()
-    rng = np.random.default_rng(1)
-    a = (rng.integers(1, 2**31, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint64)
-    b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
+    parts = []
+    for text in texts:
+        w = text.split() if text else []
+        hashes = rolling(w, SHINGLE_WORDS if len(w) >= SHINGLE_WORDS or not short_whole else max(1, len(w)))
+        parts.append(np.unique(hashes).view(np.int64) if len(hashes) else np.zeros(1, np.int64))
+    parts = [p if t is not None else None for p, t in zip(parts, texts)]
+    return pa.array(parts, pa.list_(pa.int64()))
+
+
+def shingle_sets(short_whole: bool):
+    """An Arrow function: text to its sorted shingle hashes."""
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def sets(text: pa.Array) -> pa.Array:
+        return shingles(text.to_pylist(), short_whole)
+
+    return sets
+
+
+def common_shingles(sets: DataFrame, sample: int = ORDER_SAMPLE, most: int = ORDER_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur twice or more in a bounded sample of the texts (by a hash of the id), at most ``most``, and how often.
+
+    They only order the shingles of a text, rare ones first; whatever the sample, no similar pair is lost.
+    """
+    share = max(1, sets.count() // sample)
+    drawn = sets.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select(F.explode("hashes").alias("h"))
+    counted = drawn.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(most).toArrow()
+    h, n = counted["h"].to_numpy(), counted["n"].to_numpy()
+    at = np.argsort(h)
+    return h[at], n[at]
+
+
+def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``id``, ``grp``, ``bucket``: the shingles of which two texts of a similarity of 0.8 or more share at least one.
+
+    Such texts share at least 0.8 of the shingles of either.  Of n shingles in a common order, all but the last
+    ceil(0.8 n) - 1 are therefore enough: the prefix of each text, a fifth of it.
+    """
+    known, often = common
 
     def work(batches):
         for batch in batches:
-            buckets = []
-            for text in batch.column(2).to_pylist():
-                w = text.split()
-                hashes = rolling(w, SHINGLE_WORDS if len(w) >= SHINGLE_WORDS or not short_whole else max(1, len(w)))
-                least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-                for k in range(0, len(hashes), 4096):
-                    with np.errstate(over="ignore"):
-                        mixed = hashes[k : k + 4096, None] * a + b
-                        mixed ^= mixed >> np.uint64(29)
-                        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-                    least = np.minimum(least, mixed.min(0))
-                buckets.append([xxhash.xxh64_intdigest(r.tobytes(), seed=k) & (1 << 63) - 1 for k, r in enumerate(least.reshape(bands, rows))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(buckets, pa.list_(pa.int64()))], names=["id", "grp", "buckets"])
-
-    return spread(chosen).mapInArrow(work, f"id {kind}, grp string, buckets array<bigint>")
-
-
-def greedy(buckets: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """Greedy insertion in the order of ``id``: a row is kept iff no kept earlier row shares a bucket with it.
-
-    ``buckets`` has ``id``, ``grp`` and ``buckets``; the result ``id``, ``kept`` and ``class_id``, the first
-    kept row in a shared bucket (its own id where it is kept).  In each round the first
-    open or kept member of every bucket is found by a minimum (no pairs are formed, hot
-    buckets are combined map-side): rows first in all their buckets are kept, rows with a
-    kept first in one of theirs are dropped.  Rounds follow the longest chain of drops;
-    each is written to the checkpoint folder.
+            out = []
+            for h in batch.column(2):
+                h = h.values.to_numpy(zero_copy_only=False)
+                rank = np.zeros(len(h), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    rank = np.where(known[at] == h, often[at], 0)
+                out.append(h[np.lexsort((h, rank))[: len(h) - (4 * len(h) + 4) // 5 + 1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], names=["id", "grp", "buckets"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return sets.mapInArrow(work, f"id {kind}, grp string, buckets array<bigint>").select("id", "grp", F.explode("buckets").alias("bucket"))
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``first``, ``id`` whose shingle sets have a Jaccard similarity of 0.8 or more, exactly."""
+    a = sets.select(F.col("id").alias("first"), F.col("hashes").alias("__a"))
+    b = sets.select("id", F.col("hashes").alias("__b"))
+    both = pairs.join(a, "first").join(b, "id")
+    # |A and B| / |A or B| >= 4 / 5
+    return both.where(F.size(F.array_intersect("__a", "__b")) * 9 >= (F.size("__a") + F.size("__b")) * 4).select("first", "id")
+
+
+def near_copies(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Greedy insertion in the order of ``id``, exactly: a text is dropped iff it is similar (0.8 or more) to an earlier kept one of its group.
+
+    ``sets`` has ``id`` (unique), ``grp`` and ``hashes``; it is read several times, so it should be written.  The results are
+    ``id``, ``kept`` of every row and the similar pairs ``first``, ``id`` of a kept row and a later, dropped one.
+
+    Candidates share a shingle of their prefixes.  In each round the first open row of every shingle is found by a
+    minimum, combined map-side.  Rows first in all their shingles are kept; the others of these shingles are compared with
+    them, by the whole sets, and dropped or left open; so each row meets each kept row once, and no pairs of a
+    shingle are formed.  Every round decides the first open row at least, so the rounds end; they follow the
+    longest chain of texts that share rare shingles without being similar.  Each is written to the checkpoint folder.
     """
-    flat = cut(buckets.select("id", F.posexplode("buckets").alias("band", "bucket"), "grp"))
-    key = ["grp", "band", "bucket"]
+    ship(sets.sparkSession)
+    key = ["grp", "bucket"]
+    flat = cut(prefixes(sets, common_shingles(sets)))
     shared = open_rows = cut(flat.join(flat.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n"), key))
     decided = None
-    for _ in range(most_rounds):
-        if open_rows.isEmpty():
-            break
+    while not open_rows.isEmpty():
         first = open_rows.groupBy(*key).agg(F.min("id").alias("first"))
-        seen = open_rows.join(first, key).groupBy("id").agg(F.max("first").alias("latest"), F.min("first").alias("earliest"))
-        kept = seen.where("latest = id and earliest = id").select("id")
+        seen = open_rows.join(first, key).groupBy("id").agg(F.max("first").alias("latest"))
+        kept = cut(seen.where("latest = id").select("id"))
         lead = first.join(kept.withColumnRenamed("id", "first"), "first", "left_semi")
-        dropped = open_rows.join(lead, key).where("first < id").select("id").distinct()
+        met = open_rows.join(lead, key).where("first < id").select("first", "id").distinct()
+        dropped = similar(met, sets).select("id").distinct()
         step = cut(kept.select("id", F.lit(True).alias("kept")).unionByName(dropped.select("id", F.lit(False).alias("kept"))))
         decided = step if decided is None else decided.unionByName(step)
         open_rows = cut(open_rows.join(step.select("id"), "id", "left_anti"))
-    else:
-        raise RuntimeError("greedy insertion did not end; raise most_rounds")
-    own = F.col("id").alias("class_id")
     if decided is None:
-        return buckets.select("id", F.lit(True).alias("kept"), own)
-    alone = buckets.select("id").join(decided.select("id"), "id", "left_anti").select("id", F.lit(True).alias("kept"), own)
-    # no two kept rows share a bucket, so each bucket has one kept row at most
-    leads = shared.join(decided.where("kept").select("id"), "id", "left_semi").select(*key, F.col("id").alias("lead"))
-    lost = shared.join(decided.where("not kept").select("id"), "id", "left_semi").join(leads, key).where("lead < id")
-    classes = lost.groupBy("id").agg(F.min("lead").alias("class_id")).select("id", F.lit(False).alias("kept"), "class_id")
-    return alone.unionByName(decided.where("kept").select("id", "kept", own)).unionByName(classes)
+        return sets.select("id", F.lit(True).alias("kept")), sets.select(F.col("id").alias("first"), "id").limit(0)
+    decided = cut(decided)
+    alone = sets.select("id").join(decided.select("id"), "id", "left_anti").select("id", F.lit(True).alias("kept"))
+    leads = shared.join(decided.where("kept").select("id"), "id", "left_semi").select(*key, F.col("id").alias("first"))
+    lost = shared.join(decided.where("not kept").select("id"), "id", "left_semi")
+    links = similar(lost.join(leads, key).where("first < id").select("first", "id").distinct(), sets)
+    return alone.unionByName(decided), links

@@ -61,7 +61,7 @@ def specs(s: SparkSession, d: str) -> DataFrame:
 
 
 def staged(s: SparkSession, d: str) -> DataFrame:
-    return K.staged(table(s, d, "documents"), table(s, d, "source_registry"), table(s, d, "benchmark"))
+    return K.staged(table(s, d, "documents"), table(s, d, "source_registry"), table(s, d, "benchmark"), LEXICONS)
 
 
 def scalar(name: str, tab: str, key: str, made: Callable[[], Column], sql: str, out: str = "value") -> None:
@@ -84,6 +84,9 @@ TX = "coalesce(text, '')"
 IN, OUT = "coalesce(instruction, '')", "coalesce(output, '')"
 PAIRS = f"p AS (SELECT pair_id, {IN} AS instruction, {OUT} AS output, source, category FROM sft_pool)"
 TOTAL = 400_000_000_000
+# Function words by language; those of Indonesian stand for Malay as well.
+LEXICONS = {"id": R.STOPWORDS, "en": "the of and to in is that for was with as on are be this".split(), "jv": "ing lan sing kanggo ora iku wis karo saka".split(), "su": "nu jeung di ka pikeun teu ieu éta geus ku".split()}
+STAGED = S.staged(LEXICONS)
 
 # ---------------------------------------------------------------- sources
 
@@ -437,13 +440,7 @@ chosen("f_g_ellipsis", "documents", "doc_id", lambda: T.ellipsis_lines(col_text(
 chosen("f_g_bullet", "documents", "doc_id", lambda: T.bullet_lines(col_text()) / T.newline_count(col_text()) <= F.lit(0.9), f"{S.bullets(TX)} <= 0.9::DOUBLE")
 chosen("f_g_topword", "documents", "doc_id", lambda: F.when(T.word_count(col_text()) >= 20, T.top_count(T.words(col_text())) / T.word_count(col_text()) > F.lit(0.3)), f"{S.n_words(TX)} >= 20 AND {S.top(S.words(TX))}::DOUBLE / {S.n_words(TX)} > 0.3::DOUBLE")
 chosen("f_g_repeat10", "documents", "doc_id", lambda: T.repeats(col_text(), 10), S.repeats(TX, 10))
-LEXICONS = {"id": R.STOPWORDS, "en": "the of and to in is that for was with as on are be this".split(), "jv": "ing lan sing kanggo ora iku wis karo saka".split(), "su": "nu jeung di ka pikeun teu ieu éta geus ku".split()}
-LID_W = S.words(f"lower(substr({TX}, 1, 2000))")
-LID_N = ", ".join(f"len(list_filter({LID_W}, lambda x: list_contains({S.arr(v)}, x))) AS n_{k}" for k, v in sorted(LEXICONS.items()))
-LID_CASE = "CASE WHEN greatest(" + ", ".join(f"n_{k}" for k in sorted(LEXICONS)) + ") = 0 THEN NULL " + " ".join(f"WHEN n_{k} = greatest({', '.join(f'n_{j}' for j in sorted(LEXICONS))}) THEN '{k}'" for k in sorted(LEXICONS)) + " END"
-
-
-@query("f_lid", f"SELECT doc_id, {LID_CASE} AS language FROM (SELECT doc_id, {LID_N} FROM documents)")
+@query("f_lid", f"SELECT doc_id, {S.language(TX, LEXICONS)[0]} AS language FROM documents")
 def f_lid(s, d):
     return docs(s, d).select("doc_id", readers.stopword_language(F.col("text"), LEXICONS).alias("language"))
 
@@ -595,25 +592,35 @@ def d_exact_v1(s, d):
     return D.exact(rows, F.md5("text"), ["doc_id"]).select("doc_id", "copies")
 
 
-def _near(rows: DataFrame, group: Column | None, whole: bool) -> DataFrame:
-    """Exact copies share a signature, so only the first of each is compared; the others follow it."""
-    keyed = rows.select("doc_id", "text", (F.lit("") if group is None else group).alias("grp"), F.sha2("text", 256).alias("key"))
-    first = O.first_wins(keyed, ["grp", "key"], ["doc_id"]).select("grp", "key", F.col("doc_id").alias("first"))
-    heads = keyed.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    decided = D.greedy(D.signatures(heads, "doc_id", F.col("text"), F.col("grp"), short_whole=whole))
-    member = keyed.select("doc_id", "grp", "key").join(first, ["grp", "key"])
-    return member.join(decided.withColumnRenamed("id", "first"), "first").select("doc_id", (F.col("kept") & (F.col("doc_id") == F.col("first"))).alias("kept"), "class_id")
+def _near(rows: DataFrame, group: Column | None, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """``doc_id``, ``kept``, ``class_id`` of every row, and the similar pairs of a kept text and another one.
+
+    Exact copies have equal shingles, so only the first of each is compared; the others follow it.
+    """
+    made = rows.select("doc_id", (F.lit("") if group is None else group).alias("grp"), F.sha2("text", 256).alias("key"), D.shingle_sets(whole)(F.col("text")).alias("hashes"))
+    keyed = cut(made)
+    first = O.first_wins(keyed.select("doc_id", "grp", "key"), ["grp", "key"], ["doc_id"]).select("grp", "key", F.col("doc_id").alias("first"))
+    heads = cut(keyed.join(first.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "grp", "hashes"))
+    decided, links = D.near_copies(heads)
+    own = decided.join(links.groupBy("id").agg(F.min("first").alias("class_id")), "id", "left").select(F.col("id").alias("first"), "kept", F.coalesce("class_id", "id").alias("class_id"))
+    members = keyed.select("doc_id", "grp", "key").join(first, ["grp", "key"]).join(own, "first")
+    return members.select("doc_id", (F.col("kept") & (F.col("doc_id") == F.col("first"))).alias("kept"), "class_id"), links
+
+
+NEAR_CLASSES = "cls AS (SELECT b, min(a) AS lead FROM nprs WHERE a NOT IN (SELECT doc_id FROM ndrp) GROUP BY b), nearest AS (SELECT k.doc_id, k.doc_id = k.first AND k.first NOT IN (SELECT doc_id FROM ndrp) AS kept, CASE WHEN k.first IN (SELECT doc_id FROM ndrp) THEN cls.lead ELSE k.first END AS class_id FROM k LEFT JOIN cls ON cls.b = k.first)"
+NEAR_SOURCE = f"WITH RECURSIVE {S.SOURCED}, k AS MATERIALIZED (SELECT doc_id, source, text, min(doc_id) OVER (PARTITION BY source, text) AS first FROM src WHERE text <> ''), h AS MATERIALIZED (SELECT doc_id, source AS grp, {S.words('text')} AS w FROM k WHERE doc_id = first), {S.near('n', 'h', False)}, {NEAR_CLASSES}"
+NEAR_CORPUS = f"WITH RECURSIVE k AS MATERIALIZED (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS first FROM documents WHERE text <> ''), h AS MATERIALIZED (SELECT doc_id, '' AS grp, {S.words('text')} AS w FROM k WHERE doc_id = first), {S.near('n', 'h', True)}, {NEAR_CLASSES}"
 
 
-@query("d_minhash_source")
+@query("d_minhash_source", f"{NEAR_SOURCE} SELECT * FROM nearest")
 def d_minhash_source(s, d):
     rows = K.sourced(table(s, d, "documents"), specs(s, d)).where("text <> ''")
-    return _near(rows, F.col("source"), whole=False)
+    return _near(rows, F.col("source"), whole=False)[0]
 
 
-@query("d_minhash_corpus")
+@query("d_minhash_corpus", f"{NEAR_CORPUS} SELECT * FROM nearest")
 def d_minhash_corpus(s, d):
-    return _near(docs(s, d).where("text <> ''"), None, whole=True)
+    return _near(docs(s, d).where("text <> ''"), None, whole=True)[0]
 
 
 def two_keys(exact: str, fuzzy: str, source: str = PAIRS) -> str:
@@ -655,15 +662,15 @@ def d_seed(s, d):
 # ---------------------------------------------------------------- aggregates
 
 
-@query("a_funnel_source", f"WITH {S.STAGED} SELECT source, count(*) AS seen_docs, count(*) FILTER (reason IS NULL) AS kept_docs, coalesce(sum(tokens) FILTER (reason IS NULL), 0) AS kept_tokens, count(*) FILTER (reason = 'length') AS dropped_length, count(*) FILTER (reason = 'gopher') AS dropped_gopher, count(*) FILTER (reason = 'exact') AS dropped_exact, count(*) FILTER (reason = 'decontam') AS dropped_decontam FROM staged GROUP BY source")
-def a_funnel_source(s, d):
-    return K.funnel(staged(s, d))
+DROPPED = ", ".join(f"count(*) FILTER (reason = '{r}') AS dropped_{r}" for r in K.REASONS)
+
 
+FUNNEL = f"SELECT source, count(*) AS seen_docs, count(*) FILTER (reason IS NULL) AS kept_docs, coalesce(sum(tokens) FILTER (reason IS NULL), 0) AS kept_tokens, {DROPPED} FROM staged GROUP BY source"
 
-@query("a_funnel_full")
-def a_funnel_full(s, d):
-    stages = K.staged_fully(table(s, d, "documents"), table(s, d, "source_registry"), table(s, d, "benchmark"), LEXICONS)
-    return K.funnel(stages, K.ALL_REASONS)
+
+@query("a_funnel_source", f"WITH RECURSIVE {STAGED} {FUNNEL}")
+def a_funnel_source(s, d):
+    return K.funnel(staged(s, d))
 
 
 TARGETS = f"tar AS (SELECT bucket, floor({TOTAL} * m / sum(m) OVER ())::BIGINT AS target_tokens FROM (SELECT bucket, (share_min + share_max) / 2::DOUBLE AS m FROM mix_config WHERE bucket IS NOT NULL))"
@@ -715,7 +722,7 @@ query("a_source_share_topk", SHARES.format(15))(lambda s, d: _share_top(s, d, 15
 query("k_top_sources", SHARES.format(10))(lambda s, d: _share_top(s, d, 10))
 
 
-@query("a_manifest_tokens", f"WITH {S.STAGED} SELECT coalesce(sum(tokens), 0) AS tokens, coalesce(sum(tokens), 0) >= 100000 AS enough FROM staged WHERE reason IS NULL")
+@query("a_manifest_tokens", f"WITH RECURSIVE {STAGED} SELECT coalesce(sum(tokens), 0) AS tokens, coalesce(sum(tokens), 0) >= 100000 AS enough FROM staged WHERE reason IS NULL")
 def a_manifest_tokens(s, d):
     kept = staged(s, d).where("reason is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
     return kept.select("tokens", (F.col("tokens") >= 100_000).alias("enough"))
@@ -724,7 +731,7 @@ def a_manifest_tokens(s, d):
 query("f_preflight_tokens", SQL["a_manifest_tokens"])(a_manifest_tokens)
 
 
-@query("a_realised_mix", f"WITH {S.STAGED}, m AS (SELECT bucket, sum(tokens) AS tokens FROM staged WHERE reason IS NULL GROUP BY bucket) SELECT c.bucket, coalesce(tokens, 0) AS tokens, round(coalesce(tokens, 0)::DOUBLE / (SELECT sum(tokens) FROM m), 9) AS share, coalesce(tokens, 0)::DOUBLE / (SELECT sum(tokens) FROM m) BETWEEN share_min AND share_max AS within FROM mix_config c LEFT JOIN m ON c.bucket = m.bucket WHERE c.bucket IS NOT NULL")
+@query("a_realised_mix", f"WITH RECURSIVE {STAGED}, m AS (SELECT bucket, sum(tokens) AS tokens FROM staged WHERE reason IS NULL GROUP BY bucket) SELECT c.bucket, coalesce(tokens, 0) AS tokens, round(coalesce(tokens, 0)::DOUBLE / (SELECT sum(tokens) FROM m), 9) AS share, coalesce(tokens, 0)::DOUBLE / (SELECT sum(tokens) FROM m) BETWEEN share_min AND share_max AS within FROM mix_config c LEFT JOIN m ON c.bucket = m.bucket WHERE c.bucket IS NOT NULL")
 def a_realised_mix(s, d):
     mix = table(s, d, "mix_config").where("bucket is not null").select("bucket", "share_min", "share_max")
     real = staged(s, d).where("reason is null").groupBy("bucket").agg(F.sum("tokens").alias("tokens"))
@@ -770,7 +777,7 @@ def a_top_word(s, d):
 KEPT = "kept AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT doc_id, source, reason, CASE WHEN reason IS NULL THEN tokens ELSE 0 END AS tokens FROM staged))"
 
 
-@query("w_token_budget", f"WITH {S.STAGED}, {KEPT} SELECT doc_id, source, tokens FROM kept WHERE before < 5000 AND reason IS NULL")
+@query("w_token_budget", f"WITH RECURSIVE {STAGED}, {KEPT} SELECT doc_id, source, tokens FROM kept WHERE before < 5000 AND reason IS NULL")
 def w_token_budget(s, d):
     rows = staged(s, d).withColumn("tokens", F.when(F.col("reason").isNull(), F.col("tokens")).otherwise(F.lit(0)))
     return O.within_budget(rows, ["source"], "doc_id", F.col("tokens"), F.lit(5000)).where("reason is null").select("doc_id", "source", "tokens")
@@ -882,12 +889,10 @@ def j_known_lookup(s, d):
     return pairs(s, d).join(F.broadcast(s.createDataFrame(KNOWN, "category string, most int")), "category").select("pair_id", "most")
 
 
-@query("j_lsh_candidates")
+@query("j_lsh_candidates", f"{NEAR_CORPUS} SELECT a AS first, b AS id FROM nprs WHERE a NOT IN (SELECT doc_id FROM ndrp)")
 def j_lsh_candidates(s, d):
-    """Members of shared buckets with the bucket's first row, instead of all pairs of a bucket."""
-    flat = D.signatures(docs(s, d).where("text <> ''"), "doc_id", F.col("text")).select("id", F.posexplode("buckets").alias("band", "bucket"))
-    first = flat.groupBy("band", "bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    return flat.join(first, ["band", "bucket"]).where("id > first").select("first", "id").distinct()
+    """Pairs of a kept text and each different text that is similar to it; the classes of ``d_minhash_corpus`` name the members."""
+    return _near(docs(s, d).where("text <> ''"), None, whole=True)[1]
 
 
 @query("j_lexicon", f"SELECT doc_id, {S.hits(TX, R.MORE_COMMON_WORDS)} AS hits FROM documents")

@@ -128,7 +128,7 @@ REGISTRY = f"""reg AS (
 
 SOURCED = f"{REGISTRY}, src AS (SELECT d.doc_id, coalesce(d.text, '') AS text, reg.* FROM documents d JOIN reg ON {key('d.source')} = reg.source)"
 
-SCRUBBED = f"{SOURCED}, scr AS (SELECT * REPLACE ({scrub('text')} AS text) FROM src)"
+SCRUBBED = f"{SOURCED}, scr AS MATERIALIZED (SELECT * REPLACE ({scrub('text')} AS text) FROM src)"
 
 
 def gopher(x: str, low: str, high: str) -> str:
@@ -138,10 +138,37 @@ def gopher(x: str, low: str, high: str) -> str:
       WHEN {ellipses(x)} > 0.3::DOUBLE THEN 'ellipses' WHEN {bullets(x)} > 0.9::DOUBLE THEN 'bullets' WHEN {n} >= 20 AND {top(w)}::DOUBLE / {n} > 0.3::DOUBLE THEN 'top_word' WHEN {repeats(x, 10)} THEN 'repeats' END"""
 
 
-STAGED = f"""{SCRUBBED}, fil AS (SELECT *, {gopher('text', 'min_words', 'max_words')} AS gopher, sha256(text) AS key, {tokens('text')} AS tokens FROM scr),
-  fst AS (SELECT *, CASE WHEN text = '' THEN 'length' WHEN gopher IS NOT NULL THEN 'gopher' END AS r0 FROM fil),
-  num AS (SELECT *, CASE WHEN r0 IS NULL THEN row_number() OVER (PARTITION BY r0 IS NULL, key ORDER BY source, doc_id) END AS nth FROM fst),
+def near(prefix: str, heads: str, short: bool) -> str:
+    """Tables ``{prefix}prs`` (similar pairs a < b of a group) and ``{prefix}drp`` (doc_id dropped by greedy insertion) of a table of doc_id, grp, w (words); needs WITH RECURSIVE."""
+    p = prefix
+    grams = ngrams("w", 5, short)
+    return f"""{p}shg AS MATERIALIZED (SELECT doc_id, grp, unnest(list_distinct(CASE WHEN len({grams}) > 0 THEN {grams} ELSE [''] END)) AS g FROM {heads}),
+  {p}cnt AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM {p}shg GROUP BY doc_id),
+  {p}prs AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM {p}shg a JOIN {p}shg b ON a.grp = b.grp AND a.g = b.g AND a.doc_id < b.doc_id JOIN {p}cnt ca ON ca.doc_id = a.doc_id JOIN {p}cnt cb ON cb.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, ca.n, cb.n HAVING 9 * count(*) >= 4 * (ca.n + cb.n)),
+  {p}nod AS MATERIALIZED (SELECT b AS id, list(a) AS before, row_number() OVER (ORDER BY b) AS i FROM {p}prs GROUP BY b),
+  {p}gre(i, dropped) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT m.i, CASE WHEN len(m.before) > len(list_intersect(m.before, g.dropped)) THEN list_append(g.dropped, m.id) ELSE g.dropped END FROM {p}gre g JOIN {p}nod m ON m.i = g.i + 1),
+  {p}drp AS MATERIALIZED (SELECT unnest(dropped) AS doc_id FROM {p}gre WHERE i = (SELECT max(i) FROM {p}gre))"""
+
+
+def language(x: str, lexicons: dict[str, list[str]]) -> tuple[str, str]:
+    """The language with the most hits among the first 2,000 characters (of equal ones the first code) and its share of all hits."""
+    w = words(f"lower(substr({x}, 1, 2000))")
+    n = {k: f"len(list_filter({w}, lambda x: list_contains({arr(v)}, x)))" for k, v in sorted(lexicons.items())}
+    most = f"greatest({', '.join(n.values())})"
+    case = " ".join(f"WHEN {v} = {most} THEN {q(k)}" for k, v in n.items())
+    return f"CASE WHEN {most} = 0 THEN NULL {case} END", f"{most}::DOUBLE / nullif({' + '.join(n.values())}, 0)"
+
+
+def staged(lexicons: dict[str, list[str]]) -> str:
+    """Table ``staged``: doc_id, source, bucket, tokens, reason; needs WITH RECURSIVE."""
+    found, probability = language("text", lexicons)
+    expected = "CASE WHEN language = 'ms' THEN 'id' ELSE language END"
+    return f"""{SCRUBBED}, fil AS MATERIALIZED (SELECT *, {gopher('text', 'min_words', 'max_words')} AS gopher, sha256(text) AS key, {tokens('text')} AS tokens, {expected} AS expected FROM scr),
+  fst AS MATERIALIZED (SELECT *, CASE WHEN text = '' THEN 'length' WHEN gopher IS NOT NULL THEN 'gopher' WHEN expected IN ({', '.join(map(q, sorted(lexicons)))}) AND NOT coalesce(({found}) = expected AND {probability} >= lid_threshold, false) THEN 'lid' END AS r0 FROM fil),
+  num AS MATERIALIZED (SELECT *, CASE WHEN r0 IS NULL THEN row_number() OVER (PARTITION BY r0 IS NULL, key ORDER BY source, doc_id) END AS nth FROM fst),
+  hds AS MATERIALIZED (SELECT doc_id, source AS grp, {words('text')} AS w FROM num WHERE r0 IS NULL AND nth = 1), {near('s', 'hds', False)},
   bad AS (SELECT DISTINCT unnest({ngrams('w', 13)}) AS gram FROM (SELECT {words("coalesce(text, '')")} AS w FROM benchmark)),
-  own AS (SELECT doc_id, unnest({ngrams('w', 13)}) AS gram FROM (SELECT doc_id, {words('text')} AS w FROM fst WHERE r0 IS NULL)),
-  leak AS (SELECT DISTINCT doc_id FROM own WHERE gram IN (SELECT gram FROM bad)),
-  staged AS (SELECT doc_id, source, bucket, tokens, coalesce(r0, CASE WHEN nth > 1 THEN 'exact' WHEN doc_id IN (SELECT doc_id FROM leak) THEN 'decontam' END) AS reason FROM num)"""
+  own AS (SELECT doc_id, unnest({ngrams('w', 13)}) AS gram FROM hds),
+  leak AS MATERIALIZED (SELECT DISTINCT doc_id FROM own WHERE gram IN (SELECT gram FROM bad)),
+  staged AS (SELECT doc_id, source, bucket, tokens, coalesce(r0, CASE WHEN nth > 1 THEN 'exact' WHEN doc_id IN (SELECT doc_id FROM sdrp) THEN 'near' WHEN doc_id IN (SELECT doc_id FROM leak) THEN 'decontam' END) AS reason FROM num)"""

@@ -200,13 +200,23 @@ def payload_pairs(raw: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(pa.struct([("instruction", pa.string()), ("response", pa.string())])))
 
 
-def stopword_language(text: Column, lexicons: dict[str, list[str]]) -> Column:
-    """The language with the most words of its lexicon among the first 2,000 characters (of equal ones the first), null without any."""
+def stopword_scores(text: Column, lexicons: dict[str, list[str]]) -> Column:
+    """``language`` with the most words of its lexicon among the first 2,000 characters (of equal ones the first), its share of all hits as ``probability``; null without any.
+
+    The probe of 2,000 characters is that of the reference behaviour.
+    """
     w = T.words(F.lower(F.substring(text, 1, 2000)))
 
     def hits(lexicon: list[str]) -> Column:
         return F.size(F.filter(w, lambda x: x.isin(lexicon)))
 
-    scores = [F.struct(hits(lx).alias("n"), F.lit(-i).alias("o"), F.lit(code).alias("l")) for i, (code, lx) in enumerate(sorted(lexicons.items()))]
-    best = F.array_max(F.array(*scores))
-    return F.when(best["n"] > 0, best["l"])
+    scores = [hits(lexicon) for _, lexicon in sorted(lexicons.items())]
+    structs = F.array(*(F.struct(n.alias("n"), F.lit(-i).alias("o"), F.lit(code).alias("l")) for i, (n, code) in enumerate(zip(scores, sorted(lexicons)))))
+    best = F.array_max(structs)
+    total = F.aggregate(structs, F.lit(0), lambda a, x: a + x["n"])
+    return F.when(best["n"] > 0, F.struct(best["l"].alias("language"), (best["n"] / total).alias("probability")))
+
+
+def stopword_language(text: Column, lexicons: dict[str, list[str]]) -> Column:
+    """The language of ``stopword_scores``."""
+    return stopword_scores(text, lexicons)["language"]
