@@ -88,7 +88,7 @@ def prefixes(sets: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFram
         for batch in batches:
             out = []
             for h in batch.column(2):
-                h = h.values.to_numpy(zero_copy_only=False)
+                h = h.values.to_numpy(zero_copy_only=False) if h.is_valid else np.zeros(1, np.int64)
                 rank = np.zeros(len(h), np.int64)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -128,8 +128,8 @@ def near_copies(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     decided = None
     while not open_rows.isEmpty():
         first = open_rows.groupBy(*key).agg(F.min("id").alias("first"))
-        seen = open_rows.join(first, key).groupBy("id").agg(F.max("first").alias("latest"))
-        kept = cut(seen.where("latest = id").select("id"))
+        seen = open_rows.join(first, key).groupBy("id").agg(F.min("first").alias("earliest"))
+        kept = cut(seen.where("earliest = id").select("id"))
         lead = first.join(kept.withColumnRenamed("id", "first"), "first", "left_semi")
         met = open_rows.join(lead, key).where("first < id").select("first", "id").distinct()
         dropped = similar(met, sets).select("id").distinct()

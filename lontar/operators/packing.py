@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from lontar.operators.order import ranged
+from lontar.operators.order import ranged, running_total
 from lontar.plans.runtime import ship
 
 IGNORED = -100
@@ -56,6 +57,37 @@ def masked_labels(ids: Column, marker: list[int]) -> Column:
     return F.concat(F.array_repeat(F.lit(IGNORED), until), F.slice(ids, until + 1, F.size(ids)))
 
 
+def decoded(rows: DataFrame, key: str, ids: str, vocabulary: DataFrame, special: tuple[int, ...]) -> DataFrame:
+    """``key`` and ``text``: the words of the ids, joined by blanks, without special ids and ids that the vocabulary lacks.
+
+    ``vocabulary`` has ``token`` and ``word``.  It is a tokenizer's, so its size is given beforehand; it is broadcast and looked up
+    where the ids are.  Of a token's several words the first in the alphabet counts; null and empty ids give the empty text.
+    """
+    ship(rows.sparkSession)
+    made = vocabulary.where(F.col("token").isNotNull() & ~F.col("token").isin(*special)).groupBy("token").agg(F.min("word").alias("word")).toArrow()
+    words = rows.sparkSession.sparkContext.broadcast(dict(zip(made["token"].to_pylist(), made["word"].to_pylist())))
+
+    @F.arrow_udf(StringType())
+    def text(ids: pa.Array) -> pa.Array:
+        known = words.value
+        return pa.array([" ".join(known[i] for i in row if i in known) if row else "" for row in ids.to_pylist()], pa.string())
+
+    return rows.select(key, text(F.col(ids)).alias("text"))
+
+
+def batches(rows: DataFrame, order: str, ids: str, size: int, pad: int) -> DataFrame:
+    """``order``, ``batch``, ``ids``, ``attended``: rows in batches of ``size`` in order, padded to the longest of their batch; ``attended`` ids of each are its own.
+
+    Only the lengths are ranked and aggregated; the ids are joined to their batch's length afterwards (order values are
+    expected to be unique).
+    """
+    numbered = running_total(rows.select(order, F.size(ids).alias("n")), [], order, F.lit(1), "rank").select(order, "n", F.floor(F.col("rank") / size).alias("batch"))
+    longest = numbered.groupBy("batch").agg(F.max("n").alias("longest"))
+    placed = numbered.join(longest, "batch").select(order, "batch", "longest", "n")
+    fill = F.array_repeat(F.lit(pad), (F.col("longest") - F.col("n")).cast("int"))
+    return rows.select(order, ids).join(placed, order).select(order, "batch", F.concat(ids, fill).alias("ids"), F.col("n").alias("attended"))
+
+
 def pack(rows: DataFrame, order: str, ids: str, length: int, bos: int, eos: int) -> DataFrame:
     """``seq``, ``ids``: full sequences of ``length`` ids, each beginning with ``bos``, documents ended by ``eos``.
 

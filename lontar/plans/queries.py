@@ -17,7 +17,7 @@ from lontar.operators import evaluation as E
 from lontar.operators import order as O
 from lontar.operators import packing as P
 from lontar.plans import sql as S
-from lontar.plans.runtime import cut, spread
+from lontar.plans.runtime import broadcast_small, cut, spread
 from lontar.sources import readers, sinks
 from lontar.sources.tables import table
 from lontar.streaming import corpus as ST
@@ -27,10 +27,17 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+LATER: dict[str, Callable[[], str]] = {}
+
+
+def query(name: str, sql: str | Callable[[], str] | None = None):
+    """Registers a query and its SQL; SQL that needs fragments from further below is given as a function."""
+
     def add(f: Query) -> Query:
         QUERIES[name] = f
-        if sql:
+        if callable(sql):
+            LATER[name] = sql
+        elif sql:
             SQL[name] = sql
         return f
 
@@ -137,14 +144,13 @@ def src_json_array_qa(s, d):
     return readers.question_array(s, folder, "qa", "array")
 
 
-@query("src_py_literal")
+@query("src_py_literal", "SELECT * FROM (VALUES ('Apa itu peta?', 'Gambar sebuah daerah.'), ('Halo', NULL)) t(instruction, response)")
 def src_py_literal(s, d):
-    import tempfile
-
-    with tempfile.NamedTemporaryFile("w", suffix=".py", encoding="utf-8") as file:
-        file.write("DATASET = [{'instruction': 'Apa itu peta?', 'response': 'Gambar sebuah daerah.'}, {'instruction': 'Halo', 'response': None}]\n")
-        file.flush()
-        return readers.python_literal(s, file.name)
+    """A Python file in the shared folder, written and read as whole text."""
+    folder = ST.work_folder(s, "literal")
+    text = "DATASET = [{'instruction': 'Apa itu peta?', 'response': 'Gambar sebuah daerah.'}, {'instruction': 'Halo', 'response': None}]"
+    s.createDataFrame([(text,)], "value string").coalesce(1).write.text(folder)
+    return readers.python_literal(s, folder)
 
 
 CHAT = f"""c AS (SELECT conv_id, turn, role, {S.strip('text')} AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND {S.strip('text')} <> ''),
@@ -162,7 +168,10 @@ def _seeds(s, d):
     return texts.withColumn("text", T.normalize(F.col("text"))).where(F.length("text") >= 120)
 
 
-@query("src_seed_files")
+SEEDS = f"""WITH {PAIRS} SELECT * FROM (SELECT {S.normalize('text')} AS text, source FROM (SELECT {TX} AS text, source FROM documents UNION ALL SELECT instruction || chr(10) || chr(10) || output, 'pool' FROM p WHERE instruction <> '' AND output <> '')) WHERE length(text) >= 120"""
+
+
+@query("src_seed_files", SEEDS)
 def src_seed_files(s, d):
     return readers.seed_documents(docs(s, d), readers.instruction_rows(table(s, d, "sft_pool"), "pool"))
 
@@ -225,11 +234,14 @@ scalar("src_train_jsonl", "sft_pool", "pair_id", lambda: F.coalesce(F.nullif(F.c
 scalar("src_pref_prompt", "sft_pool", "pair_id", lambda: C.prompt_of(F.concat(F.lit("Human: "), col_text("instruction"), F.lit("\n\nAssistant: "), col_text("output"))), f"'Human: ' || {IN} || chr(10) || chr(10) || 'Assistant:'")
 
 
-@query("src_teacher_json", "SELECT pair_id, instruction, output AS response FROM sft_pool WHERE NOT contains(instruction || output, '```')")
+FEW_FENCES = "(length({0}) - length(replace({0}, '```', ''))) // 3 < 2"
+
+
+@query("src_teacher_json", f"WITH {PAIRS} SELECT pair_id, instruction, output AS response FROM p WHERE {FEW_FENCES.format('(instruction || output)')}")
 def src_teacher_json(s, d):
-    rows = table(s, d, "sft_pool").where(~F.concat("instruction", "output").contains("```"))
+    """Every row as the answer of a teacher; with two fences or more the parser takes what stands between the first two, which is no payload then, so such rows give no pair."""
     raw = F.concat(F.lit("Berikut:\n"), F.to_json(F.struct(F.array(F.struct("instruction", F.col("output").alias("response"))).alias("items"))))
-    return rows.select("pair_id", F.explode(readers.payload_pairs(raw)).alias("p")).select("pair_id", "p.*")
+    return spread(table(s, d, "sft_pool")).select("pair_id", F.explode(readers.payload_pairs(raw)).alias("p")).select("pair_id", "p.*")
 
 
 @query("src_config", "SELECT bucket, (share_min + share_max) / 2::DOUBLE AS middle FROM mix_config WHERE bucket IS NOT NULL")
@@ -240,20 +252,20 @@ def src_config(s, d):
 # ---------------------------------------------------------------- sinks
 
 
-@query("sink_shards", f"WITH {S.SOURCED} SELECT source, count(*) AS docs, sum(length(text)) AS chars FROM src GROUP BY source")
+@query("sink_shards", f"WITH {S.SOURCED}, n AS (SELECT source, length(text) AS n, floor(coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 50000)::INT AS k FROM src) SELECT source, 'p2-shard-' || lpad(k::VARCHAR, 5, '0') AS shard, count(*) AS docs, sum(n) AS chars FROM n GROUP BY ALL")
 def sink_shards(s, d):
     folder = ST.work_folder(s, "shards")
-    sinks.write_shards(K.sourced(table(s, d, "documents"), specs(s, d)).select("doc_id", "text", "source", "bucket"), folder)
-    return s.read.parquet(folder).groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+    sinks.write_shards(K.sourced(table(s, d, "documents"), specs(s, d)).select("doc_id", "text", "source", "bucket"), folder, "doc_id", ["source"], 50_000, "p2-")
+    return s.read.parquet(folder).groupBy("source", "shard").agg(F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("sink_dedup_shards", "SELECT min(doc_id) AS doc_id, any_value(length(text)) AS n FROM documents WHERE text <> '' GROUP BY text")
+@query("sink_dedup_shards", "WITH u AS (SELECT min(doc_id) AS doc_id, length(text) AS n FROM documents WHERE text <> '' GROUP BY text) SELECT doc_id, n, 'dedup-shard-' || lpad(floor(coalesce(sum(n) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 100000)::INT::VARCHAR, 5, '0') AS shard FROM u")
 def sink_dedup_shards(s, d):
     folder = ST.work_folder(s, "dedup-shards")
     rows = table(s, d, "documents").where("text <> ''")
     first = D.exact(rows, F.sha2("text", 256), ["doc_id"]).select("doc_id")
-    rows.join(first, "doc_id", "left_semi").write.option("compression", "zstd").option("maxRecordsPerFile", 1_000_000).parquet(folder)
-    return s.read.parquet(folder).select("doc_id", F.length("text").alias("n"))
+    sinks.write_shards(rows.join(first, "doc_id", "left_semi").select("doc_id", "text"), folder, "doc_id", [], 100_000, "dedup-")
+    return s.read.parquet(folder).select("doc_id", F.length("text").alias("n"), "shard")
 
 
 @query("sink_jsonl", "SELECT pair_id, instruction, output FROM sft_pool")
@@ -263,10 +275,16 @@ def sink_jsonl(s, d):
     return s.read.schema("pair_id bigint, instruction string, output string").json(folder)
 
 
-@query("sink_manifest")
+MANIFEST_KEYS = ["seen_docs", "kept_docs", "kept_tokens", *(f"dropped_{r}" for r in K.REASONS)]
+
+
+@query("sink_manifest", lambda: f"WITH RECURSIVE {STAGED}, {TARGETS}, fun AS ({FUNNEL}) SELECT 'bucket_targets' AS section, bucket AS name, 'tokens' AS key, target_tokens AS value FROM tar UNION ALL SELECT 'per_source_budget', source, 'tokens', target_tokens // count(*) OVER (PARTITION BY bucket) FROM reg JOIN tar USING (bucket) UNION ALL SELECT 'per_source_stats', source, unnest({S.arr(MANIFEST_KEYS)}), unnest([{', '.join(f'{k}::BIGINT' for k in MANIFEST_KEYS)}]) FROM fun")
 def sink_manifest(s, d):
+    """The manifest as written to the shared folder, read again."""
+    folder = ST.work_folder(s, "manifest")
     targets = K.bucket_targets(table(s, d, "mix_config"), TOTAL)
-    return s.createDataFrame([(sinks.manifest(TOTAL, targets, K.source_budgets(specs(s, d), targets), K.funnel(staged(s, d))),)], "manifest string")
+    sinks.write_json(sinks.manifest_rows(targets, K.source_budgets(specs(s, d), targets), K.funnel(staged(s, d))), folder)
+    return s.read.schema("section string, name string, key string, value bigint").json(folder)
 
 
 CORPUS_FUNNEL = f"""WITH t AS (SELECT text, {S.tokens('text')} AS tokens, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM (SELECT doc_id, {TX} AS text FROM documents))
@@ -284,47 +302,80 @@ def _corpus_funnel(s, d):
     )
 
 
-query("sink_dedup_manifest", CORPUS_FUNNEL)(_corpus_funnel)
-query("a_funnel_corpus", CORPUS_FUNNEL)(_corpus_funnel)
+DEDUP_MANIFEST = f"""{{near}}, d AS (SELECT doc_id, {S.tokens(TX)} AS tokens, {S.strip(TX)} = '' AS blank FROM documents), t AS (SELECT d.*, coalesce(k.first = d.doc_id, false) AS head, d.doc_id IN (SELECT doc_id FROM ndrp) AS near FROM d LEFT JOIN k ON k.doc_id = d.doc_id)
+ SELECT count(*) AS seen_docs, count(*) FILTER (blank) AS dropped_empty, count(*) FILTER (NOT blank AND NOT head) AS dropped_exact, count(*) FILTER (NOT blank AND head AND near) AS dropped_near,
+ count(*) FILTER (NOT blank AND head AND NOT near) AS kept_docs, coalesce(sum(tokens) FILTER (NOT blank AND head AND NOT near), 0) AS kept_tokens FROM t"""
 
-BY_PART = f"WITH {PAIRS} SELECT 'category' AS part, coalesce(category, '(none)') AS name, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT 'source', coalesce(source, '(none)'), count(*) FROM p GROUP BY ALL"
 
+@query("sink_dedup_manifest", lambda: DEDUP_MANIFEST.replace("{near}", NEAR_CORPUS.replace("text <> ''", f"{S.strip(TX)} <> ''")))
+def sink_dedup_manifest(s, d):
+    """What the whole pass over the corpus - blank texts, exact copies, near copies - keeps and drops, as written to the shared folder and read again."""
+    folder = ST.work_folder(s, "dedup-manifest")
+    rows = docs(s, d).withColumn("blank", T.strip(F.col("text")) == "").withColumn("tokens", T.estimated_tokens(F.col("text")).cast("bigint"))
+    classes = _near(rows.where("not blank"), None, whole=True)[0]
+    firsts = O.first_wins(rows.where("not blank").select("doc_id", F.sha2("text", 256).alias("key")), ["key"], ["doc_id"]).select("doc_id", F.lit(True).alias("head"))
+    marked = rows.select("doc_id", "blank", "tokens").join(classes.select("doc_id", "kept"), "doc_id", "left").join(firsts, "doc_id", "left").na.fill(False, ["kept", "head"])
+    kept = F.col("kept")
+    made = marked.agg(
+        F.count("*").alias("seen_docs"), F.count_if("blank").alias("dropped_empty"), F.count_if(~F.col("blank") & ~F.col("head")).alias("dropped_exact"), F.count_if(F.col("head") & ~kept).alias("dropped_near"),
+        F.count_if(kept).alias("kept_docs"), F.coalesce(F.sum(F.when(kept, F.col("tokens"))), F.lit(0)).alias("kept_tokens"),
+    )
+    sinks.write_json(made, folder)
+    return s.read.schema(", ".join(f"{c} bigint" for c in made.columns)).json(folder)
 
-@query("sink_dataset_manifest", BY_PART)
-def sink_dataset_manifest(s, d):
-    none = F.lit("(none)")
-    counts = pairs(s, d).groupBy(F.coalesce("category", none).alias("category"), F.coalesce("source", none).alias("source")).count()
-    part = F.explode(F.array(F.struct(F.lit("category").alias("part"), F.col("category").alias("name")), F.struct(F.lit("source").alias("part"), F.col("source").alias("name"))))
-    return counts.select(part.alias("p"), "count").groupBy("p.part", "p.name").agg(F.sum("count").alias("n"))
 
+query("a_funnel_corpus", CORPUS_FUNNEL)(_corpus_funnel)
 
-def scenarios(s: SparkSession) -> DataFrame:
-    """Two small scenarios."""
+@query("sink_dataset_manifest", lambda: f"WITH r AS (SELECT category, source, {REJECT} AS reason FROM sft_pool) SELECT 'counts' AS part, 'seen' AS name, count(*) AS n FROM r UNION ALL SELECT 'counts', 'kept', count(*) FROM r WHERE reason IS NULL UNION ALL SELECT 'rejected', reason, count(*) FROM r WHERE reason IS NOT NULL GROUP BY ALL UNION ALL SELECT 'final_categories', coalesce(category, '(none)'), count(*) FROM r WHERE reason IS NULL GROUP BY ALL UNION ALL SELECT 'final_sources', coalesce(source, '(none)'), count(*) FROM r WHERE reason IS NULL GROUP BY ALL")
+def sink_dataset_manifest(s, d):
+    """Counts, rejected rows by reason, and sources and categories of the kept ones, as written to the shared folder and read again; the pool is read once."""
+    folder, none = ST.work_folder(s, "dataset-manifest"), F.lit("(none)")
+    counts = cut(_reasons(s, d, "category").groupBy("reason", F.coalesce("category", none).alias("category"), F.coalesce("source", none).alias("source")).agg(F.count("*").alias("n")))
+    kept = F.col("reason").isNull()
+    of = lambda part, name: F.struct(F.lit(part).alias("part"), name.alias("name"))
+    parts = F.array(of("counts", F.lit("seen")), F.when(kept, of("counts", F.lit("kept"))), F.when(~kept, of("rejected", F.col("reason"))), F.when(kept, of("final_categories", F.col("category"))), F.when(kept, of("final_sources", F.col("source"))))
+    made = counts.select(F.explode(F.array_compact(parts)).alias("p"), "n").groupBy("p.part", "p.name").agg(F.sum("n").alias("n"))
+    sinks.write_json(made, folder)
+    return s.read.schema("part string, name string, n bigint").json(folder)
+
+
+def scenarios(s: SparkSession, d: str) -> DataFrame:
+    """A scenario of each pair with an instruction: its words as actions, risks, groups and points, missing lists where words are missing."""
+    w = T.words(col_text("instruction"))
+    some = lambda a, n: F.when(F.size("w") >= a, F.slice("w", a, n))
+    rows = spread(table(s, d, "sft_pool")).select("pair_id", "category", w.alias("w")).where(F.size("w") > 0)
+    return rows.select(F.col("pair_id").cast("string").alias("scenario_id"), F.col("category").alias("title"), some(1, 2).alias("priority_actions"), some(3, 2).alias("misinformation_risks"), some(5, 2).alias("vulnerable_groups"), some(7, 3).alias("coordination_points"))
+
+
+def _qa_sql() -> str:
+    nl = "chr(10)"
+    part = lambda a, n: f"coalesce(w[{a}:{a + n - 1}], [])"
+    marked = lambda x, mark: f"array_to_string(list_transform({x}, lambda x: {mark} || x), {nl})"
+    numbered = f"array_to_string(list_transform({part(1, 2)}, lambda x, i: i::VARCHAR || '. ' || x), {nl})"
     rows = [
-        ("s1", "banjir pasar", ["selamatkan warga", "buka dapur umum"], ["kabar bendungan jebol"], ["lansia", "bayi"], ["balai desa", "puskesmas"]),
-        ("s2", "gempa malam", ["periksa rumah"], [], None, ["posko"]),
+        ("priority", "'Apa prioritas pertama dalam skenario ' || title || '?'", f"{numbered} || {nl} || {nl} || 'Kelompok rentan: ' || array_to_string({part(5, 2)}, ', ') || '.' || {nl} || 'Koordinasi: ' || array_to_string({part(7, 3)}, ', ') || '.'"),
+        ("misinformation", "'Bagaimana laporan pada skenario ' || title || ' disaring?'", f"'Risiko hoaks:' || {nl} || {marked(part(3, 2), S.q('- '))}"),
+        ("coordination", "'Bagaimana koordinasi untuk skenario ' || title || '?'", marked(part(7, 3), S.q("- "))),
     ]
-    return s.createDataFrame(rows, "scenario_id string, title string, priority_actions array<string>, misinformation_risks array<string>, vulnerable_groups array<string>, coordination_points array<string>")
+    base = f"s AS (SELECT pair_id::VARCHAR AS scenario_id, coalesce(category, '') AS title, {S.words(IN)} AS w FROM sft_pool)"
+    return f"WITH {base} " + " UNION ALL ".join(f"SELECT scenario_id, '{k}' AS kind, {question} AS q, {a} AS a FROM s WHERE len(w) > 0" for k, question, a in rows)
 
 
-@query("sink_scenario_pack")
+@query("sink_scenario_pack", _qa_sql())
 def sink_scenario_pack(s, d):
     folder = ST.work_folder(s, "scenarios")
-    sinks.write_json_lines(A.scenario_questions(scenarios(s)), folder)
+    sinks.write_json_lines(A.scenario_questions(scenarios(s, d)), folder)
     return s.read.schema("scenario_id string, kind string, q string, a string").json(folder)
 
 
-@query("sink_card")
+@query("sink_card", f"WITH {PAIRS}, n AS (SELECT coalesce(category, '(none)') AS part, count(*) AS n FROM p GROUP BY ALL) SELECT '# Dataset' || chr(10) || chr(10) || '| part | rows |' || chr(10) || '|---|---|' || chr(10) || array_to_string(list_sort(list('| ' || part || ' | ' || format('{{:,}}', n) || ' |')), chr(10)) || chr(10) AS card FROM n")
 def sink_card(s, d):
-    counts = {r["category"] or "(none)": r["count"] for r in pairs(s, d).groupBy("category").count().collect()}
-    return s.createDataFrame([(sinks.card(counts),)], "card string")
+    return sinks.card(pairs(s, d).groupBy(F.coalesce("category", F.lit("(none)")).alias("part")).agg(F.count("*").alias("n")))
 
 
-@query("sink_eval_report")
+@query("sink_eval_report", lambda: f"WITH d AS ({DELTA}), o AS ({SQL['a_eval_overall']}), f AS (SELECT '| ' || category || ' | ' || format('{{:.1f}}', round(score, 1)) || ' | ' || CASE WHEN delta IS NULL THEN '–' ELSE CASE WHEN round(delta, 1) >= 0 THEN '+' ELSE '' END || format('{{:.1f}}', round(delta, 1)) END || ' |' AS line FROM d) SELECT '# Evaluation' || chr(10) || chr(10) || 'Overall: ' || (SELECT format('{{:.1f}}', round(overall, 1)) FROM o) || chr(10) || chr(10) || '| category | score | delta |' || chr(10) || '|---|---|---|' || chr(10) || array_to_string(list_sort(list(line)), chr(10)) || chr(10) AS report FROM f")
 def sink_eval_report(s, d):
-    categories = E.by_category(_grades(s, d))
-    overall = E.overall(categories).first()["overall"] or 0.0
-    return s.createDataFrame([(sinks.report([r.asDict() for r in categories.orderBy("category").collect()], overall),)], "report string")
+    return sinks.report(_delta(s, d), E.overall(E.by_category(_grades(s, d))).withColumn("overall", F.round("overall", 6)))
 
 
 # ---------------------------------------------------------------- scalars
@@ -373,12 +424,11 @@ def c_summary_pair(s, d):
     return docs(s, d).where(F.length("text") > 200).select("doc_id", a.alias("instruction"), b.alias("output"))
 
 
-@query("c_parse_json_payload", f"WITH {PAIRS} SELECT pair_id, instruction, output AS response FROM p")
+@query("c_parse_json_payload", f"WITH {PAIRS} SELECT pair_id, instruction, output AS response FROM p WHERE NOT contains(instruction || chr(10) || output, '```')")
 def c_parse_json_payload(s, d):
+    """Every row as a fenced payload; a fence inside ends it for the parser, so such rows give no pair."""
     fenced = F.concat(F.lit("```json\n"), F.to_json(F.array(F.struct("instruction", F.col("output").alias("response")))), F.lit("\n```"))
-    return pairs(s, d).select("pair_id", "instruction", "output", fenced.alias("raw")).withColumn("raw", F.when(F.col("output").contains("```"), F.to_json(F.array(F.struct("instruction", F.col("output").alias("response"))))).otherwise(F.col("raw"))).select(
-        "pair_id", F.when(F.col("output").contains("```"), F.array(F.struct("instruction", F.col("output").alias("response")))).otherwise(readers.payload_pairs(F.col("raw"))).alias("p")
-    ).select("pair_id", F.explode("p").alias("p")).select("pair_id", "p.*")
+    return pairs(s, d).select("pair_id", F.explode(readers.payload_pairs(fenced)).alias("p")).select("pair_id", "p.*")
 
 
 TURN = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
@@ -405,9 +455,9 @@ def c_build_messages(s, d):
     return system.unionByName(last)
 
 
-@query("c_render_answers", "SELECT * FROM (VALUES ('s1', 'priority', '1. selamatkan warga' || chr(10) || '2. buka dapur umum' || chr(10) || chr(10) || 'Kelompok rentan: lansia, bayi.' || chr(10) || 'Koordinasi: balai desa, puskesmas.'), ('s2', 'priority', '1. periksa rumah' || chr(10) || chr(10) || 'Kelompok rentan: .' || chr(10) || 'Koordinasi: posko.')) t(scenario_id, kind, a)")
+@query("c_render_answers", f"SELECT scenario_id, kind, a FROM ({_qa_sql()}) WHERE kind = 'priority'")
 def c_render_answers(s, d):
-    return A.scenario_questions(scenarios(s)).where("kind = 'priority'").select("scenario_id", "kind", "a")
+    return A.scenario_questions(scenarios(s, d)).where("kind = 'priority'").select("scenario_id", "kind", "a")
 
 
 @query("c_quality_round", f"WITH {PAIRS} SELECT pair_id, round(q, 3) AS rounded, floor(q * 10) / 10 AS bucket FROM (SELECT pair_id, {auto_score('instruction', 'output')} AS q FROM p)")
@@ -470,10 +520,10 @@ REJECT = f"""CASE WHEN length({IN}) < 8 THEN 'instruction_too_short' WHEN length
  WHEN NOT {CODE(OUT)} AND {INDO} < 1 AND source IS DISTINCT FROM 'synthetic' THEN 'not_indonesian_enough' WHEN {UNIFIED} < 0.42::DOUBLE THEN 'low_quality' END"""
 
 
-def _reasons(s, d):
+def _reasons(s, d, *more: str):
     """The simplified response is made once, before the expressions that use it."""
     rows = pairs(s, d).withColumn("simple", T.simplify(T.normalize(F.col("output"))))
-    return rows.select("pair_id", "source", R.reject_reason(F.col("instruction"), F.col("output"), F.col("source"), F.col("simple")).alias("reason"))
+    return rows.select("pair_id", "source", *more, R.reject_reason(F.col("instruction"), F.col("output"), F.col("source"), F.col("simple")).alias("reason"))
 
 
 @query("f_reject_reason", f"SELECT pair_id, {REJECT} AS reason FROM sft_pool")
@@ -728,7 +778,18 @@ def a_manifest_tokens(s, d):
     return kept.select("tokens", (F.col("tokens") >= 100_000).alias("enough"))
 
 
-query("f_preflight_tokens", SQL["a_manifest_tokens"])(a_manifest_tokens)
+@query("f_preflight_gates", lambda: f"WITH RECURSIVE {STAGED}, k AS (SELECT coalesce(sum(tokens), 0) AS n FROM staged WHERE reason IS NULL) SELECT 'corpus' AS gate, true AS passed, '1 files or more' AS detail UNION ALL SELECT 'missing', false, 'no file' UNION ALL SELECT 'tokens', n >= 100000, n::VARCHAR FROM k UNION ALL SELECT 'config', abs(sum((share_min + share_max) / 2::DOUBLE) - 1) < 0.05::DOUBLE, count(*)::VARCHAR FROM mix_config WHERE bucket IS NOT NULL UNION ALL SELECT 'output', true, 'written and read'")
+def f_preflight_gates(s, d):
+    """The gates before a run: files that a pattern matches (and one that matches none), enough kept tokens, shares of the configuration that make a whole, an output folder that takes files."""
+    files = lambda pattern: readers.matched_files(s, f"{d}/{pattern}") > 0
+    kept = staged(s, d).where("reason is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"))
+    mix = table(s, d, "mix_config").where("bucket is not null").agg(F.sum((F.col("share_min") + F.col("share_max")) / F.lit(2.0)).alias("share"), F.count("*").alias("n"))
+    folder = ST.work_folder(s, "probe")
+    s.createDataFrame([("ok",)], "value string").write.text(folder)
+    rows = [("corpus", files("documents.parquet*"), "1 files or more"), ("missing", files("none-*.parquet"), "no file"), ("output", s.read.text(folder).first()["value"] == "ok", "written and read")]
+    made = s.createDataFrame(rows, "gate string, passed boolean, detail string")
+    made = made.unionByName(kept.select(F.lit("tokens").alias("gate"), (F.col("n") >= 100_000).alias("passed"), F.col("n").cast("string").alias("detail")))
+    return made.unionByName(mix.select(F.lit("config").alias("gate"), (F.abs(F.col("share") - 1) < F.lit(0.05)).alias("passed"), F.col("n").cast("string").alias("detail")))
 
 
 @query("a_realised_mix", f"WITH RECURSIVE {STAGED}, m AS (SELECT bucket, sum(tokens) AS tokens FROM staged WHERE reason IS NULL GROUP BY bucket) SELECT c.bucket, coalesce(tokens, 0) AS tokens, round(coalesce(tokens, 0)::DOUBLE / (SELECT sum(tokens) FROM m), 9) AS share, coalesce(tokens, 0)::DOUBLE / (SELECT sum(tokens) FROM m) BETWEEN share_min AND share_max AS within FROM mix_config c LEFT JOIN m ON c.bucket = m.bucket WHERE c.bucket IS NOT NULL")
@@ -763,7 +824,12 @@ def _delta(s, d):
 
 
 query("a_eval_delta", DELTA)(_delta)
-query("j_eval_base", DELTA)(_delta)
+@query("j_eval_base", f"WITH {GRADED}, base AS (SELECT category, count(*) AS n FROM gr WHERE category <> 'umum' GROUP BY category) SELECT pair_id, gr.category, base.n IS NOT NULL AS found, coalesce(base.n, 0) AS base_answers FROM gr LEFT JOIN base USING (category)")
+def j_eval_base(s, d):
+    """Every answer with the base's row of its category, 0 where the base lacks it; the base has a row per category."""
+    g = _grades(s, d)
+    base = g.where("category <> 'umum'").groupBy("category").agg(F.count("*").alias("n"))
+    return g.join(broadcast_small(base), "category", "left").select("pair_id", "category", F.col("n").isNotNull().alias("found"), F.coalesce("n", F.lit(0)).alias("base_answers"))
 
 
 @query("a_top_word", f"SELECT doc_id, {S.top('w')} AS top, round({S.top('w')}::DOUBLE / len(w), 9) AS share FROM (SELECT doc_id, {S.words(TX)} AS w FROM documents) WHERE len(w) > 0")
@@ -792,10 +858,13 @@ def running(bytes_sql: str, limit: int, source: str = "documents", key: str = "d
     return f"SELECT {key} FROM (SELECT {key}, coalesce(sum({bytes_sql}) OVER (ORDER BY {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {source}) WHERE before < {limit}"
 
 
-@query("w_byte_budget")
+JSON_BYTES = f"octet_length(encode(CASE WHEN source IS NULL THEN json_object('text', {TX}) ELSE json_object('text', {TX}, 'source', source) END::VARCHAR))"
+
+
+@query("w_byte_budget", running(JSON_BYTES, 200_000))
 def w_byte_budget(s, d):
-    rows = docs(s, d).select("doc_id", F.octet_length(F.to_json(F.struct("text", "source"))).alias("size"), F.lit(0).alias("all"))
-    return O.within_budget(rows, ["all"], "doc_id", F.col("size"), F.lit(200_000)).select("doc_id")
+    rows = docs(s, d).select("doc_id", F.octet_length(F.to_json(F.struct("text", "source"))).alias("size"))
+    return O.within_budget(rows, [], "doc_id", F.col("size"), F.lit(200_000)).select("doc_id")
 
 
 @query("w_max_bytes", running(f"octet_length(encode({TX}))", 200_000))
@@ -851,9 +920,11 @@ def o_sort_paths(s, d):
     return table(s, d, "pages").where("url is not null").select("url").distinct().orderBy("url")
 
 
-@query("o_shuffle")
+@query("o_shuffle", "SELECT pair_id, row_number() OVER (ORDER BY md5('42|' || pair_id), pair_id) - 1 AS place FROM sft_pool")
 def o_shuffle(s, d):
-    return pairs(s, d).select("pair_id").orderBy(F.xxhash64("pair_id", F.lit(42)), "pair_id")
+    """A seeded order that is the same on every partitioning, by a hash of seed and id, with each row's place."""
+    hashed = pairs(s, d).select("pair_id", F.struct(F.md5(F.concat(F.lit("42|"), F.col("pair_id").cast("string"))).alias("h"), "pair_id").alias("o"))
+    return O.running_total(hashed, [], "o", F.lit(1), "place").select("pair_id", "place").orderBy("place")
 
 
 @query("w_rolling_mean50", "SELECT event_id, round(avg(value) OVER w, 9) AS mean50, round(avg(CASE WHEN value < 50 THEN 1.0::DOUBLE ELSE 0 END) OVER w, 9) AS low FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")
@@ -962,7 +1033,21 @@ def g_paraphrase(s, d):
     return A.paraphrases(table(s, d, "sft_pool"), "pair_id", 2_000, best=300)
 
 
-@query("g_math")
+def _math_sql(loops: int, seed: int = 7) -> str:
+    draw = lambda place, n: f"({S.md5_int('loop::VARCHAR', S.q(str(seed)), S.q(place))} % {n})"
+    word = lambda xs, place: f"({S.arr(xs)})[{draw(place, len(xs))} + 1]"
+    base = f"""SELECT loop, {draw('x', 900)} + 100 AS x, {draw('y', 90)} + 10 AS y, ['+', '-', 'x'][{draw('sign', 3)} + 1] AS sign, {draw('stock', 200)} + 50 AS stock, {draw('gone', 50)} AS gone,
+     {word(A.WORKERS, 'worker')} AS worker, {word(A.GOODS, 'good')} AS good, ({draw('whole', 40)} + 1) * 100 AS whole, ({draw('share', 19)} + 1) * 5 AS share, ({draw('price', 95)} + 5) * 250 AS price, {draw('many', 11)} + 2 AS many FROM range({loops}) t(loop)"""
+    rows = [
+        ("operation", "'Hitunglah ' || x || ' ' || sign || ' ' || y || '.'", "x || ' ' || sign || ' ' || y || ' = ' || CASE sign WHEN '+' THEN x + y WHEN '-' THEN x - y ELSE x * y END"),
+        ("rest", "'Di gudang seorang ' || worker || ' ada ' || stock || ' ' || good || ', lalu ' || gone || ' terpakai. Tinggal berapa?'", "stock || ' - ' || gone || ' = ' || (stock - gone) || ' ' || good"),
+        ("part", "'Tentukan ' || share || ' persen dari ' || whole || '.'", "whole || ' x ' || share || ' / 100 = ' || (whole * share // 100)"),
+        ("cost", "'Satu dari ' || good || ' dijual ' || price || ' rupiah. Berapa harga ' || many || ' ' || good || '?'", "many || ' x ' || price || ' = ' || (many * price) || ' rupiah'"),
+    ]
+    return f"WITH b AS ({base}) " + " UNION ALL ".join(f"SELECT loop, '{k}' AS kind, {q} AS instruction, {a} AS output FROM b" for k, q, a in rows)
+
+
+@query("g_math", _math_sql(750))
 def g_math(s, d):
     return A.arithmetic(s, 750)
 
@@ -1013,12 +1098,21 @@ def g_dpo_unified(s, d):
     return A.preference_pairs(pairs(s, d), "pair_id", A.brief_corruptions(F.col("chosen")), 40, 10)
 
 
-@query("g_scenario_qa", "SELECT scenario_id, kind FROM (VALUES ('s1'), ('s2')) s(scenario_id), (VALUES ('priority'), ('misinformation'), ('coordination')) k(kind)")
+@query("g_scenario_qa", _qa_sql())
 def g_scenario_qa(s, d):
-    return A.scenario_questions(scenarios(s)).select("scenario_id", "kind")
+    return A.scenario_questions(scenarios(s, d))
 
 
-query("g_explode_pairs", SQL["src_teacher_json"])(src_teacher_json)
+TEACHER = " UNION ALL ".join(f"SELECT pair_id, {k} AS k, {S.normalize('prompt')} AS instruction, {S.normalize(c)} AS response FROM d WHERE fenced" for k, c in enumerate(("chosen", "rejected")))
+
+
+@query("g_explode_pairs", f"WITH c AS (SELECT pair_id, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen, coalesce(rejected, '') AS rejected FROM dpo_pool), d AS (SELECT *, {FEW_FENCES.format('(prompt || chosen || prompt || rejected)')} AS fenced FROM c) SELECT * FROM ({TEACHER}) WHERE instruction <> '' AND response <> ''")
+def g_explode_pairs(s, d):
+    """Answers of a teacher with two pairs each, unwrapped, normalised and numbered; every row goes through the parser."""
+    item = lambda c: F.struct(F.col("prompt").alias("instruction"), F.col(c).alias("response"))
+    raw = F.to_json(F.struct(F.array(item("chosen"), item("rejected")).alias("items")))
+    return A.teacher_pairs(spread(table(s, d, "dpo_pool")), "pair_id", raw)
+
 
 # ---------------------------------------------------------------- tokens
 
@@ -1044,18 +1138,28 @@ def t_encode(s, d):
     return _listed(_ids(s, d).select("doc_id", P.wrapped(F.col("ids"), BOS, EOS, LENGTH).alias("ids")), "doc_id", "ids")
 
 
-@query("t_decode", f"WITH {IDS} SELECT doc_id, {JOINED(f'list_filter(ids, lambda x: x <> {PAD} AND x % 7 <> 0)')} AS ids FROM i")
+VOCABULARY = f"v AS (SELECT token, min(word) AS word FROM (SELECT unnest(ids) AS token, unnest(w) AS word FROM (SELECT {WORD_IDS} AS ids, {S.words(TX)} AS w FROM documents)) GROUP BY token)"
+
+
+@query("t_decode", f"WITH {IDS}, {VOCABULARY}, e AS (SELECT doc_id, ids[1:{LENGTH - 2}] AS ids FROM i), x AS (SELECT doc_id, unnest(ids) AS token, generate_subscripts(ids, 1) AS k FROM e), t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text FROM x JOIN v USING (token) GROUP BY doc_id) SELECT doc_id, coalesce(text, '') AS text FROM e LEFT JOIN t USING (doc_id)")
 def t_decode(s, d):
-    return _listed(_ids(s, d).select("doc_id", F.filter("ids", lambda x: (x != PAD) & (x % 7 != 0)).alias("ids")), "doc_id", "ids")
+    """The encoded ids, with marks and padding, as text again, by the vocabulary of the words."""
+    made = docs(s, d).select("doc_id", F.col("text"), T.words(F.col("text")).alias("w"))
+    pairs_of = _ids(s, d).join(made.select("doc_id", "w"), "doc_id").select(F.explode(F.arrays_zip("ids", "w")).alias("p")).select(F.col("p.ids").alias("token"), F.col("p.w").alias("word"))
+    encoded = _ids(s, d).select("doc_id", P.padded(P.wrapped(F.col("ids"), BOS, EOS, LENGTH), LENGTH, PAD).alias("ids"))
+    return P.decoded(encoded, "doc_id", "ids", pairs_of, (BOS, EOS, PAD))
 
 
 PADDED = lambda x, fill, n=LENGTH: f"({x})[1:{n}] || list_transform(range(0, greatest(0, {n} - len({x}))::BIGINT), lambda z: {fill})"
+BATCHED = f"b AS (SELECT doc_id, ids[1:{LENGTH}] AS ids, (row_number() OVER (ORDER BY doc_id) - 1) // 16 AS batch FROM i), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS longest FROM b)"
 
 
-@query("t_batch", f"WITH {IDS} SELECT doc_id, {JOINED(PADDED('ids', PAD))} AS ids, least(len(ids), {LENGTH}) AS attended FROM i")
+@query("t_batch", f"WITH {IDS}, {BATCHED} SELECT doc_id, batch, {JOINED(f'ids || list_transform(range(0, (longest - len(ids))::BIGINT), lambda z: {PAD})')} AS ids, len(ids) AS attended FROM m")
 def t_batch(s, d):
-    rows = _ids(s, d).select("doc_id", P.padded(F.col("ids"), LENGTH, PAD).alias("ids"), F.aggregate(P.attention(F.col("ids"), LENGTH), F.lit(0), lambda a, x: a + x).alias("attended"))
-    return rows.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "attended")
+    """Batches of 16 in the order of the ids, padded to the longest of each."""
+    rows = _ids(s, d).select("doc_id", F.slice("ids", 1, LENGTH).alias("ids"))
+    made = P.batches(rows, "doc_id", "ids", 16, PAD)
+    return made.select("doc_id", "batch", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "attended")
 
 
 PACKED = f"""WITH {IDS}, f AS (SELECT doc_id, ids || [{EOS}] AS d FROM i WHERE len(ids) > 0), t AS (SELECT doc_id, generate_subscripts(d, 1) AS k, unnest(d) AS x FROM f),
@@ -1088,10 +1192,13 @@ def t_label_mask(s, d):
     return _listed(rows.select("doc_id", P.masked_labels(F.col("ids"), [0, 0]).alias("labels")), "doc_id", "labels")
 
 
-query("t_collate", SQL["t_batch"])(t_batch)
+@query("t_collate", f"WITH {IDS} SELECT doc_id, {JOINED(PADDED('ids', PAD))} AS ids, {JOINED(PADDED('list_transform(ids, lambda z: 1)', 0))} AS attention FROM i")
+def t_collate(s, d):
+    """Every row at the same fixed length, with its attention mask."""
+    return _listed(_ids(s, d).select("doc_id", P.padded(F.col("ids"), LENGTH, PAD).alias("ids"), P.attention(F.col("ids"), LENGTH).alias("attention")), "doc_id", "ids", "attention")
 
 
-@query("t_bpe_train")
+@query("t_bpe_train", f"WITH w AS (SELECT unnest({S.words(f'lower({TX})')}) AS w FROM documents), u AS (SELECT w, count(*) AS n FROM w GROUP BY w), p AS (SELECT n, unnest(list_transform(range(1, length(w)), lambda i: substr(w, i, 2))) AS pair FROM u WHERE length(w) > 1) SELECT pair, sum(n) AS n FROM p GROUP BY pair HAVING sum(n) >= 2")
 def t_bpe_train(s, d):
     """Counts of adjacent character pairs inside words, of those that occur twice or more, the statistics from which the first merges follow; no tokenizer is trained."""
     words = docs(s, d).select(F.explode(T.words(F.lower("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
@@ -1126,16 +1233,15 @@ def st_seen_state(s, d):
     return s.read.parquet(f"{folder}/rows").select("key")
 
 
-@query("st_cycle", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("st_cycle", "WITH n AS (SELECT category AS name, count(*) AS rows FROM sft_pool WHERE category IS NOT NULL GROUP BY category) SELECT name, rows, ((row_number() OVER (ORDER BY name) - 1) // 3 + 1)::INT AS cycle FROM n")
 def st_cycle(s, d):
+    """The categories of the pool in cycles of three: one call does the first cycle, the second goes on from what is processed until none is left."""
     folder = ST.work_folder(s, "cycle")
-
-    def batch(rows: DataFrame, number: int) -> None:
-        ST.windowed(rows).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-
-    _stream(s, d, "events").writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    parts = s.read.parquet(f"{folder}/rows").groupBy("start", "event_type").agg(F.sum("events").alias("events"), F.round(F.sum("total"), 4).alias("total"))
-    return parts.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    rows = table(s, d, "sft_pool").where("category is not null").select(F.col("category").alias("name"), "pair_id")
+    names = cut(rows.select("name").distinct())
+    work = lambda batch, cycle: rows.join(broadcast_small(batch), "name")
+    ST.run_cycles(s, folder, names, work, per_cycle=3, most_cycles=1)
+    return ST.run_cycles(s, folder, names, work, per_cycle=3, most_cycles=names.count() // 3 + 1)
 
 
 @query("st_resume", "SELECT count(*) AS n FROM documents")
@@ -1146,3 +1252,5 @@ def st_resume(s, d):
         _stream(s, d, "documents").select("doc_id").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(f"{folder}/out").agg(F.count("*").alias("n"))
 
+
+SQL.update((name, made()) for name, made in LATER.items())

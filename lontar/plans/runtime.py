@@ -8,15 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes up to which an input is repartitioned to use all cores, and up to which a side of a join is broadcast.
+SPREAD_BYTES, BROADCAST_BYTES = 1 << 30, 64 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the size of the rows, from the files below; known without running anything."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores where the scan yields fewer splits than there are cores.
+    """Use all cores where a small input has fewer splits than there are cores.
 
-    A single small Parquet file is one split and would run on one core.  Inputs
-    with at least as many splits as cores are returned as they are, so that a
-    large table is never shuffled for this.
+    A single small Parquet file is one split and would run on one core.  Inputs above ``SPREAD_BYTES``, by
+    estimate, are returned as they are, however many cores there are, so a large table is never shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() >= cores or estimated_bytes(df) > SPREAD_BYTES:
         return df
     return df.repartition(cores)
 
@@ -36,12 +44,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared
 
 
-def broadcast_small(df: DataFrame, most_rows: int = 50_000) -> DataFrame:
-    """A broadcast hint where the rows, counted first, are within the bound; otherwise the join may shuffle.
+def broadcast_small(df: DataFrame, most_rows: int = 50_000, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint where rows and bytes, both measured first, are within the bounds; otherwise the join may shuffle.
 
-    For dimensions such as registries, whose rows are short.
+    At most one row more than the bound is looked at; the bytes are those of the rows as JSON.
     """
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    row = F.octet_length(F.to_json(F.struct(*df.columns))) if df.columns else F.lit(0)
+    rows, size = df.select(row.alias("b")).limit(most_rows + 1).agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most_rows and size <= most_bytes else df
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 BL = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WL = r"\p{L}\p{N}_"
 
 
+#: The signs of Latin-1 and Windows-1252, and the wide blank, with a compatibility form.
+COMPATIBLE = [c for c in sorted({*map(chr, range(0xA0, 0x100)), "\u3000", *bytes(range(0x80, 0xA0)).decode("cp1252", "ignore")}) if unicodedata.normalize("NFKC", c) != c]
+
+
 def q(text: str) -> str:
     """A string literal."""
     return "'" + text.replace("'", "''") + "'"
@@ -79,8 +85,11 @@ def clean(x: str) -> str:
 
 
 def normalize(x: str) -> str:
-    """Compatibility forms are limited to those of the test tables."""
-    t = f"nfc_normalize(replace(replace({x}, chr(160), ' '), '…', '...'))"
+    """Compatibility forms are those of the signs of Latin-1 and Windows-1252 and of the wide letters, which is all that the test tables hold."""
+    t = f"translate({x}, {q(''.join(chr(0xFEE0 + i) for i in range(0x21, 0x7F)))}, {q(''.join(map(chr, range(0x21, 0x7F))))})"
+    for c in COMPATIBLE:
+        t = f"replace({t}, {q(c)}, {q(unicodedata.normalize('NFKC', c))})"
+    t = f"nfc_normalize({t})"
     t = rep(t, r"[\x{200B}-\x{200D}\x{FEFF}]")
     t = rep(rep(t, r"\r\n|\r", "\n"), r"[ \t]+", " ")
     return strip(rep(rep(t, r" *\n *", "\n"), r"\n{3,}", "\n\n"))

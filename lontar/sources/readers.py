@@ -5,7 +5,6 @@ from __future__ import annotations
 import ast
 import json
 from html.parser import HTMLParser
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,18 +49,34 @@ def question_array(spark: SparkSession, path: str, category: str, source: str) -
     return rows.select(F.col("q").alias("instruction"), F.col("a").alias("response"), F.lit(category).alias("category"), F.lit(source).alias("source")).where("instruction <> '' and response <> ''")
 
 
-def python_literal(spark: SparkSession, path: str, name: str = "DATASET", limit: int = 1_000_000) -> DataFrame:
-    """Rows of the list assigned to ``name`` in a Python file, which is parsed, never run; lists above ``limit`` are refused."""
-    for node in ast.parse(Path(path).read_text(encoding="utf-8")).body:
+def python_literal(spark: SparkSession, path: str, name: str = "DATASET") -> DataFrame:
+    """Rows of the list assigned to ``name`` in Python files, which are parsed, never run, each by the worker that reads it.
+
+    Values become text, missing ones null; the columns are ``instruction`` and ``response``.  A file without such a list gives no row.
+    """
+
+    @F.arrow_udf(ArrayType(StructType([StructField("instruction", StringType()), StructField("response", StringType())])))
+    def rows(text: pa.Array) -> pa.Array:
+        as_text = lambda v: None if v is None else str(v)
+        made = [[{"instruction": as_text(r.get("instruction")), "response": as_text(r.get("response"))} for r in literal_rows(t, name)] for t in text.to_pylist()]
+        return pa.array(made, pa.list_(pa.struct([("instruction", pa.string()), ("response", pa.string())])))
+
+    return spark.read.text(path, wholetext=True).select(F.explode(rows("value")).alias("r")).select("r.*")
+
+
+def literal_rows(text: str, name: str) -> list[dict]:
+    """The dictionaries of the list that is assigned to ``name``."""
+    for node in ast.parse(text).body:
         targets = node.targets if isinstance(node, ast.Assign) else []
         if any(isinstance(t, ast.Name) and t.id == name for t in targets):
-            rows = [r for r in ast.literal_eval(node.value) if isinstance(r, dict)]
-            if len(rows) > limit:
-                raise ValueError("a literal of so many rows should be a table")
-            keys = sorted({k for r in rows for k in r})
-            schema = ", ".join(f"`{k}` string" for k in keys) or "instruction string"
-            return spark.createDataFrame([tuple(None if r.get(k) is None else str(r[k]) for k in keys) for r in rows], schema)
-    return spark.createDataFrame([], "instruction string")
+            return [r for r in ast.literal_eval(node.value) if isinstance(r, dict)]
+    return []
+
+
+def matched_files(spark: SparkSession, pattern: str) -> int:
+    """How many files a pattern matches, on any file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return len(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or [])
 
 
 def seed_files(spark: SparkSession, folder: str, patterns: tuple[str, ...] = ("*.md", "*.py")) -> DataFrame:

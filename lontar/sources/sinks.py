@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +15,22 @@ def shard_numbers(rows: DataFrame, by: list[str], order: str, size: Column, targ
     return running_total(rows, by, order, size, "__before").withColumn("shard", F.floor(F.col("__before") / F.lit(target)).cast("int")).drop("__before")
 
 
-def write_shards(rows: DataFrame, path: str, by: str = "source", most_rows: int = 1_000_000) -> None:
-    """Zstandard Parquet in one folder per source; files are bounded by rows, so no source is gathered in one task."""
-    rows.write.mode("overwrite").partitionBy(by).option("compression", "zstd").option("maxRecordsPerFile", most_rows).parquet(path)
+def write_shards(rows: DataFrame, path: str, order: str, by: list[str], target: int = SHARD_CHARS, prefix: str = "") -> None:
+    """Zstandard Parquet in a folder per source (``by``) and shard, named by prefix and number (``p2-shard-00000``), one file each.
+
+    Shards hold texts of about ``target`` characters, at least one text; a source of any size is as many tasks as it has shards.  The
+    numbers are made from ids and lengths alone and joined to the texts (order values are expected to be unique); null texts are
+    empty ones.
+    """
+    sized = rows.select(order, *by, F.coalesce(F.length("text"), F.lit(0)).alias("__size"))
+    numbered = shard_numbers(sized, by, order, F.col("__size"), target).select(order, F.concat(F.lit(f"{prefix}shard-"), F.lpad(F.col("shard").cast("string"), 5, "0")).alias("shard"))
+    dealt = rows.join(numbered, order).repartition(*by, "shard")
+    dealt.write.mode("overwrite").partitionBy(*by, "shard").option("compression", "zstd").parquet(path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """A manifest as JSON lines in one file, for tables of a row per source, bucket or reason; larger ones should be written as tables."""
+    rows.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def write_json_lines(rows: DataFrame, path: str) -> int:
@@ -31,32 +42,26 @@ def write_json_lines(rows: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
-def manifest(total_tokens: int, targets: DataFrame, budgets: DataFrame, stats: DataFrame, most_rows: int = 100_000) -> str:
-    """JSON of targets per bucket, budgets per source and statistics per source; all three have a row per bucket or source."""
-    small = [df.limit(most_rows + 1).collect() for df in (targets, budgets, stats)]
-    if max(map(len, small)) > most_rows:
-        raise ValueError("a manifest of so many sources should be a table")
-    buckets, sources, counts = small
-    made = {
-        "target_total_tokens": total_tokens,
-        "bucket_targets": {r["bucket"]: r["target_tokens"] for r in sorted(buckets, key=lambda r: r["bucket"])},
-        "per_source_budget": {r["source"]: r["budget"] for r in sorted(sources, key=lambda r: r["source"])},
-        "per_source_stats": sorted((r.asDict() for r in counts), key=lambda r: r["source"]),
-    }
-    return json.dumps(made, ensure_ascii=False)
-
-
-def card(counts: dict[str, int]) -> str:
-    """A dataset card of the numbers of rows per part."""
-    rows = "\n".join(f"| {name} | {n:,} |" for name, n in sorted(counts.items()))
-    return f"# Dataset\n\n| part | rows |\n|---|---|\n{rows}\n"
+def manifest_rows(targets: DataFrame, budgets: DataFrame, stats: DataFrame) -> DataFrame:
+    """``section``, ``name``, ``key``, ``value`` of a corpus manifest: targets per bucket, budgets per source, statistics per source."""
+    made = targets.select(F.lit("bucket_targets").alias("section"), F.col("bucket").alias("name"), F.lit("tokens").alias("key"), F.col("target_tokens").alias("value"))
+    made = made.unionByName(budgets.select(F.lit("per_source_budget").alias("section"), F.col("source").alias("name"), F.lit("tokens").alias("key"), F.col("budget").alias("value")))
+    counts = F.explode(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).cast("bigint").alias("value")) for c in stats.columns if c != "source")))
+    return made.unionByName(stats.select(F.lit("per_source_stats").alias("section"), F.col("source").alias("name"), counts.alias("c")).select("section", "name", "c.*"))
 
 
-def report(categories: list[dict], overall: float) -> str:
-    """Markdown of an evaluation: score per category, difference from the base where known, and overall."""
-    lines = [f"| {c['category']} | {c['score']:.1f} | " + ("–" if c.get("delta") is None else f"{c['delta']:+.1f}") + " |" for c in categories]
-    return "\n".join(["# Evaluation", "", f"Overall: {overall:.1f}", "", "| category | score | delta |", "|---|---|---|", *lines, ""])
+def card(counts: DataFrame) -> DataFrame:
+    """``card``: a dataset card, one row, with a line for each ``part`` and its number of rows ``n``; built where the counts are."""
+    line = F.concat(F.lit("| "), "part", F.lit(" | "), F.format_number("n", 0), F.lit(" |"))
+    lines = counts.groupBy().agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("rows"))
+    return lines.select(F.concat(F.lit("# Dataset\n\n| part | rows |\n|---|---|\n"), "rows", F.lit("\n")).alias("card"))
 
 
-def report_json(categories: list[dict], overall: float) -> str:
-    return json.dumps({"categories": categories, "_overall": {"score": overall}}, ensure_ascii=False)
+def report(categories: DataFrame, overall: DataFrame) -> DataFrame:
+    """``report``: Markdown of an evaluation, one row: score per category, difference from the base where known, and overall; built where the scores are."""
+    rounded = lambda c: F.format_string("%.1f", F.round(c, 1))
+    delta = F.when(F.col("delta").isNull(), F.lit("–")).otherwise(F.concat(F.when(F.round("delta", 1) >= 0, F.lit("+")).otherwise(F.lit("")), rounded("delta")))
+    lines = categories.groupBy().agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("| "), "category", F.lit(" | "), rounded("score"), F.lit(" | "), delta, F.lit(" |")))), "\n").alias("rows"))
+    head = overall.select(F.concat(F.lit("# Evaluation\n\nOverall: "), rounded("overall"), F.lit("\n\n| category | score | delta |\n|---|---|---|\n")).alias("head"), F.lit(1).alias("__one"))
+    both = head.join(lines.withColumn("__one", F.lit(1)), "__one")  # one row each
+    return both.select(F.concat("head", "rows", F.lit("\n")).alias("report"))

@@ -1,4 +1,4 @@
-"""Structured Streaming forms: first-seen texts across batches, capped cycles, windows over events."""
+"""Streaming forms: first-seen texts across batches, cycles that resume."""
 
 from __future__ import annotations
 
@@ -47,9 +47,24 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def windowed(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events and users per window and type; of streams, windows close ``late`` after their end."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    if events.isStreaming:
-        timed = timed.withWatermark("ts", late)
-    return timed.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "events", "total")
+def run_cycles(spark: SparkSession, path: str, names: DataFrame, work, per_cycle: int, most_cycles: int) -> DataFrame:
+    """Work through the ``name`` values in order, ``per_cycle`` in each cycle, up to ``most_cycles`` more; returns ``name``, ``cycle``, ``rows`` of all that is processed.
+
+    ``work(names, cycle)`` gives a table with a ``name`` column.  Its rows are written first, then the cycle's names as processed, each to a
+    folder of the cycle, so a cycle that broke off is done again and overwrites its own part.  A later call goes on
+    where the last one ended, and does nothing where no name is left.
+    """
+    for _ in range(most_cycles):
+        done = _batches(spark, f"{path}/processed")
+        cycle = done[-1] + 1 if done else 1
+        left = names.select("name").where("name is not null").distinct()
+        if done:
+            left = left.join(spark.read.parquet(*(f"{path}/processed/batch={n}" for n in done)).select("name"), "name", "left_anti")
+        batch = left.orderBy("name").limit(per_cycle)
+        made = work(batch, cycle)
+        made.write.mode("overwrite").parquet(f"{path}/rows/batch={cycle}")
+        counted = batch.join(spark.read.parquet(f"{path}/rows/batch={cycle}").groupBy("name").agg(F.count("*").alias("rows")), "name", "left")
+        counted.select("name", F.lit(cycle).alias("cycle"), F.coalesce("rows", F.lit(0)).alias("rows")).write.mode("overwrite").parquet(f"{path}/processed/batch={cycle}")
+        if spark.read.parquet(f"{path}/processed/batch={cycle}").isEmpty():
+            break
+    return spark.read.parquet(*(f"{path}/processed/batch={n}" for n in _batches(spark, f"{path}/processed")))

@@ -95,12 +95,46 @@ def test_running_total_is_a_prefix_sum(spark):
     random.seed(1)
     rows = [(random.choice(["a", "b", None]), i, random.choice([None, 1, 2, 3])) for i in random.sample(range(400_000), 300)]
     df = spark.createDataFrame(rows, "g string, o bigint, v int")
-    got = {r["o"]: r["t"] for r in O.running_total(df, ["g"], "o", F.col("v"), "t", width=1000).collect()}
+    got = {r["o"]: r["t"] for r in O.running_total(df, ["g"], "o", F.col("v"), "t").collect()}
     for g, o, _ in rows:
         assert got[o] == sum(v or 0 for g2, o2, v in rows if g2 == g and o2 < o)
     assert O.running_total(df.limit(0), ["g"], "o", F.col("v"), "t").count() == 0
 
 
+def test_ordered_sums_are_spread_whatever_the_ids(spark):
+    """Sparse random 64-bit ids and one group with most rows: no task holds more than twice the mean."""
+    ids = spark.range(200_000).select(F.xxhash64("id").alias("o"), F.when(F.col("id") % 10 == 0, "small").otherwise("large").alias("g"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    dealt = O.ranged(ids.repartition(16), ["g", "o"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    sizes = [r["count"] for r in dealt.groupBy("__part").count().collect()]
+    assert len(sizes) == 24 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    got = O.running_total(ids, ["g"], "o", F.lit(1), "n").where("g = 'large'").agg(F.min("n"), F.max("n"), F.countDistinct("n")).first()
+    assert tuple(got) == (0, 179_999, 180_000)
+
+
+def test_ordered_sums_with_ties_nulls_and_no_groups(spark):
+    rows = [(None, 1), (None, 2), (5, 3), (5, 3), (5, 3), (7, None)]
+    df = spark.createDataFrame(rows, "o bigint, v int").withColumn("part", F.lit("clash"))
+    got = sorted(r["t"] for r in O.running_total(df, [], "o", F.col("v"), "t").collect())
+    assert got[-4:] == [3, 6, 9, 12] and got[0] == 0 and got[1] in (1, 2)
+
+
+def test_moving_average_is_the_recursion(spark):
+    random.seed(5)
+    rows = [(random.choice("ab"), i, random.choice([None, random.random() * 9])) for i in random.sample(range(10**6), 400)]
+    df = spark.createDataFrame(rows, "g string, o bigint, v double")
+    got = {r["g"]: r["ema"] for r in O.moving_average(df, ["g"], "o", "v", 0.98, "ema").collect()}
+    for g in "ab":
+        a = None
+        for _, _, v in sorted((r for r in rows if r[0] == g and r[2] is not None), key=lambda r: r[1]):
+            a = v if a is None else a * 0.98 + v * 0.02
+        assert got[g] == pytest.approx(a, rel=1e-9)
+    assert O.moving_average(df.limit(0), ["g"], "o", "v", 0.98, "ema").count() == 0
+
+
 def test_budget_keeps_the_crossing_row(spark):
     df = spark.createDataFrame([("s", i, 60) for i in range(3)], "g string, o bigint, v int")
     assert [r["o"] for r in O.within_budget(df, ["g"], "o", F.col("v"), F.lit(100)).orderBy("o").collect()] == [0, 1]
@@ -114,40 +148,54 @@ def test_two_keys(spark):
     assert got == {1: None, 2: "exact", 3: None, 4: "fuzzy", 5: "exact", 6: None, 7: "exact"}
 
 
-def brute_greedy(rows):
-    kept, owner = {}, {}
-    for i, g, buckets in sorted(rows):
-        hits = sorted(k for k in kept if kept[k][0] == g and any(a == b for a, b in zip(kept[k][1], buckets)))
-        if hits:
-            owner[i] = hits[0]
-        else:
-            kept[i], owner[i] = (g, buckets), i
-    return {i: (i in kept, owner[i]) for i in owner}
+def sets_of(spark, rows):
+    return spark.createDataFrame([(i, g, D.shingles([t], True)[0].as_py()) for i, g, t in rows], "id bigint, grp string, hashes array<bigint>")
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_greedy_insertion_is_sequential_insertion(spark, seed):
-    random.seed(seed)
-    rows = [(i, random.choice("xy"), [random.randrange(12) for _ in range(3)]) for i in range(60)]
-    got = {r["id"]: (r["kept"], r["class_id"]) for r in D.greedy(spark.createDataFrame(rows, "id bigint, grp string, buckets array<bigint>")).collect()}
-    assert got == brute_greedy(rows)
-
+def brute_near(rows):
+    """Sequential insertion by the shingles as words."""
+    def shingles(t):
+        w = (t or "").split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
 
-def test_greedy_chain_and_empty(spark):
-    rows = [(1, "", [1, 0]), (2, "", [1, 5]), (3, "", [9, 5])]
-    df = spark.createDataFrame(rows, "id bigint, grp string, buckets array<bigint>")
-    assert {r["id"]: r["kept"] for r in D.greedy(df).collect()} == {1: True, 2: False, 3: True}
-    assert D.greedy(df.limit(0)).count() == 0
+    kept, links = [], set()
+    for i, g, t in sorted(rows, key=lambda r: r[0]):
+        a = shingles(t)
+        near = [k for k, kg, b in kept if kg == g and 5 * len(a & b) >= 4 * len(a | b)]
+        links |= {(k, i) for k in near}
+        if not near:
+            kept.append((i, g, a))
+    return {i for i, _, _ in kept}, links
 
 
-def test_near_copies_meet_and_others_do_not(spark):
-    random.seed(3)
-    words = [f"kata{i}" for i in range(400)]
-    a, b = random.sample(words, 300), random.sample(words, 300)
-    near = a[:150] + ["lain"] + a[151:]
-    df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(near)), (3, " ".join(b)), (4, "pendek saja"), (5, "lain pendek"), (6, None), (7, "")], "doc_id bigint, text string")
-    got = {r["id"]: r["class_id"] for r in D.greedy(D.signatures(df, "doc_id", F.col("text"))).collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6}
+@pytest.mark.parametrize("seed", range(5))
+def test_near_copies_are_sequential_insertion(spark, seed):
+    """Copies of copies with words changed, so that similarities lie on both sides of 0.8 and chains arise; shared beginnings that are no copies."""
+    random.seed(seed)
+    words = [f"kata{i}" for i in range(300)]
+    rows, texts = [], [random.sample(words, random.choice([3, 5, 12, 60, 120])) for _ in range(6)]
+    for i in range(90):
+        t = list(random.choice(texts))
+        for _ in range(random.choice([0, 1, 1, 2, 3])):
+            t[random.randrange(len(t))] = random.choice(words)
+        if random.random() < 0.2:
+            t = texts[0][:20] + random.sample(words, 40)
+        texts.append(t)
+        rows.append((i, random.choice("xxy"), " ".join(t)))
+    kept, links = D.near_copies(sets_of(spark, rows))
+    wanted, pairs = brute_near(rows)
+    got = {r["id"]: r["kept"] for r in kept.collect()}
+    assert len(got) == 90 and {i for i in got if got[i]} == wanted
+    assert {(r["first"], r["id"]) for r in links.collect()} == pairs
+
+
+def test_near_copies_of_odd_texts(spark):
+    rows = [(1, "g", ""), (2, "g", None), (3, "g", "satu dua"), (4, "g", "satu  dua"), (5, "h", "satu dua"), (6, None, "satu dua")]
+    df = spark.createDataFrame([(i, g, t) for i, g, t in rows], "id bigint, grp string, t string").select("id", "grp", D.shingle_sets(True)(F.col("t")).alias("hashes"))
+    kept = {r["id"]: r["kept"] for r in D.near_copies(df.where("hashes is not null"))[0].collect()}
+    assert kept == {1: True, 3: True, 4: False, 5: True, 6: True}
+    empty = D.near_copies(df.limit(0))
+    assert empty[0].count() == empty[1].count() == 0
 
 
 def test_contamination_needs_thirteen_words(spark):
@@ -156,6 +204,9 @@ def test_contamination_needs_thirteen_words(spark):
     docs = spark.createDataFrame([(1, " ".join(item.split()[:12])), (2, "awal " + " ".join(item.split()[3:16])), (3, None), (4, "")], "doc_id bigint, text string")
     assert [r[0] for r in K.contaminated(docs, items).collect()] == [2]
     assert K.contaminated(docs, items.limit(0)).count() == 0
+    # beyond the bound of the broadcast: the bitmap and the join
+    marked = K.leaked(docs, items, "doc_id", F.col("text"), "hit", most_grams=2)
+    assert {r["doc_id"]: r["hit"] for r in marked.collect()} == {1: False, 2: True, 3: False, 4: False}
 
 
 def test_copy_of_a_contaminated_text_is_a_copy(spark):
@@ -164,20 +215,21 @@ def test_copy_of_a_contaminated_text_is_a_copy(spark):
     docs = spark.createDataFrame([(1, text, "s "), (2, text, "S"), (3, None, "s"), (4, "http://a.example", "s"), (5, text, "unknown"), (6, "pendek", "s")], "doc_id bigint, text string, source string").withColumn("bucket", F.lit("clash"))
     reg = spark.createDataFrame([("s", "b", "id", None, None, None, "text"), ("S ", "b", "id", None, None, None, "text")], "name string, bucket string, language string, lid_threshold double, min_words int, max_words int, text_field string")
     items = spark.createDataFrame([(1, " ".join(words[5:20]))], "item_id bigint, text string")
-    got = {r["doc_id"]: r["reason"] for r in K.staged(docs, reg, items).collect()}
+    lexicons = {"id": ["kataaa", "yang"], "en": ["the"]}
+    got = {r["doc_id"]: r["reason"] for r in K.staged(docs, reg, items, lexicons).collect()}
     assert got == {1: "decontam", 2: "exact", 3: "length", 4: "length", 6: "gopher"}
-    assert K.funnel(K.staged(docs.limit(0), reg, items)).count() == 0
+    assert K.funnel(K.staged(docs.limit(0), reg, items, lexicons)).count() == 0
 
 
 def test_full_funnel_reasons(spark):
     words = [f"kata{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
     a, near, other = " ".join(words[:300]), " ".join(words[:150] + ["lain"] + words[151:300]), " ".join(reversed(words[100:]))
-    docs = spark.createDataFrame([(1, a, "s"), (2, near, "s"), (3, near, "t"), (4, a, "t"), (5, other, "t"), (6, "the of and " + other, "u"), (7, None, "s"), (8, "yang dan yang " + other, "u")], "doc_id bigint, text string, source string")
+    docs = spark.createDataFrame([(1, a, "s"), (2, near, "s"), (3, near, "t"), (4, a, "t"), (5, other, "t"), (6, "the of and " + other, "u"), (7, None, "s"), (8, "yang dan yang " + other, "u"), (9, "yang the " + other, "u")], "doc_id bigint, text string, source string")
     reg = spark.createDataFrame([("s", "b", "", None, 5, None, "text"), ("t", "b", None, None, 5, None, "text"), ("u", "b", "id", None, 5, None, "text")], "name string, bucket string, language string, lid_threshold double, min_words int, max_words int, text_field string")
     items = spark.createDataFrame([(1, " ".join(list(reversed(words[100:]))[20:40]))], "item_id bigint, text string")
-    stages = K.staged_fully(docs, reg, items, {"id": ["yang", "dan"], "en": ["the", "of", "and"]})
-    assert {r["doc_id"]: r["reason"] for r in stages.collect()} == {1: None, 2: "near", 3: "exact", 4: "exact", 5: "decontam", 6: "lid", 7: "length", 8: "decontam"}
-    assert K.funnel(stages, K.ALL_REASONS).count() == 3
+    stages = K.staged(docs, reg, items, {"id": ["yang", "dan"], "en": ["the", "of", "and"]})
+    assert {r["doc_id"]: r["reason"] for r in stages.collect()} == {1: None, 2: "near", 3: "exact", 4: "exact", 5: "decontam", 6: "lid", 7: "length", 8: "decontam", 9: "lid"}
+    assert K.funnel(stages).count() == 3
 
 
 def test_bucket_targets_of_the_published_plan(spark):
@@ -231,11 +283,52 @@ def test_rebalance_and_spoiled_pairs(spark):
 
 
 def test_arithmetic_is_right(spark):
-    import re
+    rows = A.arithmetic(spark, 50).collect()
+    assert len(rows) == 200 and len({r["kind"] for r in rows}) == 4
+    for r in rows:
+        left, right = r["output"].split(" = ")
+        assert eval(left.replace("x", "*")) == int(right.split()[0]) and r["instruction"].strip()
+
+
+def test_decoding_and_batches(spark):
+    df = spark.createDataFrame([(1, [5, 8, 9]), (2, []), (3, None), (4, [8, 0, 2, 77]), (5, [9])], "doc_id bigint, ids array<int>")
+    words = spark.createDataFrame([(8, "delapan"), (8, "abc"), (9, "sembilan"), (0, "pad"), (5, "lima"), (None, "x")], "token int, word string")
+    got = {r["doc_id"]: r["text"] for r in P.decoded(df, "doc_id", "ids", words, (0, 2)).collect()}
+    assert got == {1: "lima abc sembilan", 2: "", 3: "", 4: "abc", 5: "sembilan"}
+    made = {r["doc_id"]: (r["batch"], list(r["ids"]), r["attended"]) for r in P.batches(df.where("ids is not null"), "doc_id", "ids", 2, 0).collect()}
+    assert made == {1: (0, [5, 8, 9], 3), 2: (0, [0, 0, 0], 0), 4: (1, [8, 0, 2, 77], 4), 5: (1, [9, 0, 0, 0], 1)}
+
+
+def test_shards_are_named_and_sized(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "x" * 40, "a" if i < 8 else "b") for i in range(10)] + [(10, None, "b")], "doc_id bigint, text string, source string")
+    sinks.write_shards(rows, str(tmp_path / "out"), "doc_id", ["source"], 100, "p2-")
+    names = {str(p.parent.relative_to(tmp_path / "out")): 1 for p in (tmp_path / "out").rglob("*.parquet")}
+    assert sorted(names) == ["source=a/shard=p2-shard-00000", "source=a/shard=p2-shard-00001", "source=a/shard=p2-shard-00002", "source=b/shard=p2-shard-00000"]
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 11
+
+
+def test_cycles_go_on_after_a_failure(spark, tmp_path):
+    names = spark.createDataFrame([("a",), ("b",), ("c",), (None,), ("a",)], "name string")
+    work = lambda batch, cycle: batch.withColumn("x", F.lit(cycle))
+
+    def broken(batch, cycle):
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        ST.run_cycles(spark, str(tmp_path / "c"), names, broken, 2, 1)
+    got = ST.run_cycles(spark, str(tmp_path / "c"), names, work, 2, 1)
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 1), ("b", 1, 1)]
+    got = ST.run_cycles(spark, str(tmp_path / "c"), names, work, 2, 5)
+    assert sorted(map(tuple, got.collect())) == [("a", 1, 1), ("b", 1, 1), ("c", 2, 1)]
+
+
+def test_bounds_of_broadcasts_are_rows_and_bytes(spark):
+    from lontar.plans import runtime
 
-    for r in A.arithmetic(spark, 50).where("kind in ('sum', 'price')").collect():
-        left, right = r["output"].replace("Total = ", "").replace("Rp", "").replace(",", "").split(" = ")
-        assert eval(left.replace("×", "*")) == int(right) and re.search(r"\?$", r["instruction"])
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "id int, t string")
+    hinted = lambda made: made is not df
+    assert hinted(runtime.broadcast_small(df)) and not hinted(runtime.broadcast_small(df, most_rows=49)) and not hinted(runtime.broadcast_small(df, most_bytes=1000))
+    assert runtime.estimated_bytes(df) > 0 and hinted(runtime.broadcast_small(df.limit(0)))
 
 
 def test_inferred_columns(spark):
@@ -251,6 +344,8 @@ def test_payloads():
     assert readers.parse_payload('x ```json\n{"items": [{"instruction": "i", "response": "r"}]}\n``` y') == [pair]
     assert readers.parse_payload('ini [{"a": {"instruction": "i", "response": "r"}}] itu') == [pair]
     assert readers.parse_payload('{"data": {"instruction": "i", "response": "r"}}') == [pair]
+    # a fence inside the payload ends it
+    assert readers.parse_payload('```json\n[{"instruction": "i", "response": "```py```"}]\n```') == []
     assert readers.parse_payload("bukan json") == [] and readers.parse_payload(None) == []
 
 
@@ -261,7 +356,7 @@ def test_pages():
 
 def test_files(spark, tmp_path):
     (tmp_path / "a.py").write_text("x = 1\nDATASET = [{'instruction': 'i', 'response': 'r'}]\n")
-    assert readers.python_literal(spark, str(tmp_path / "a.py")).first()["response"] == "r"
+    assert [tuple(r) for r in readers.python_literal(spark, str(tmp_path / "a.py")).collect()] == [("i", "r")]
     (tmp_path / "rows.json").write_text('[{"q": "i", "a": "r"}, {"q": "", "a": "r"}]')
     assert readers.question_array(spark, str(tmp_path / "rows.json"), "k", "s").count() == 1
     folder = tmp_path / "corpus"
