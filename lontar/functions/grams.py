@@ -59,7 +59,13 @@ def gram_hits(n: int, sought):
     @F.arrow_udf(BooleanType())
     def hits(text: pa.Array) -> pa.Array:
         known = sought.value
-        return pa.array([bool(t and len(known)) and bool(np.isin(rolling(t.split(), n).view(np.int64), known, assume_unique=False).any()) for t in text.to_pylist()], pa.bool_())
+        if not len(known):
+            return pa.array(np.zeros(len(text), bool))
+        parts = [rolling(t.split(), n).view(np.int64) if t else np.zeros(0, np.int64) for t in text.to_pylist()]
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        found = known[np.minimum(np.searchsorted(known, flat), len(known) - 1)] == flat
+        row = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        return pa.array(np.bincount(row[found], minlength=len(parts)) > 0)
 
     return hits
 

@@ -6,10 +6,14 @@ additions decides.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from lontar.functions import text as T
 
@@ -38,23 +42,42 @@ def whole_word(alternatives: str) -> str:
     return rf"(?i)(^|[^{T.WORDLIKE}])({alternatives})($|[^{T.WORDLIKE}])"
 
 
-def gopher_reason(text: Column, tokens: Column, min_words: Column, max_words: Column) -> Column:
-    """The first heuristic that a text fails, or null: words, mean_word_length, letters, ellipses, bullets, top_word, repeats.
-
-    ``tokens`` should be a column made in an earlier projection, as it is used often.
-    The costly measures come last and are evaluated only where the cheap ones pass.
+_REPEATED = re.compile(r"([^\n])\1{9,}")
+_NO_ASCII_LETTER = bytes(c for c in range(128) if not chr(c).isalpha())
+
+
+def first_failure(text: str, low: int, high: int) -> tuple[str | None, int]:
+    """The first heuristic that a text fails, or None, and its number of words; the dear measures come last.  The empty text fails by ``length``."""
+    if not text:
+        return "length", 0
+    words = text.split()
+    n = len(words)
+    if n < low or n > high:
+        return "words", n
+    if n and not 3 <= sum(map(len, words)) / n <= 10:
+        return "mean_word_length", n
+    letters = len(text.encode().translate(None, _NO_ASCII_LETTER)) if text.isascii() else sum(map(str.isalpha, text))
+    if letters / max(len(text), 1) < 0.6:
+        return "letters", n
+    lines, ends = text.splitlines(), text.count("\n") + 1
+    if "..." in text and sum(s.rstrip().endswith("...") for s in lines) / ends > 0.3:
+        return "ellipses", n
+    if sum(s.lstrip().startswith(("-", "*", "•")) for s in lines) / ends > 0.9:
+        return "bullets", n
+    if n >= 20 and max(Counter(words).values()) / n > 0.3:
+        return "top_word", n
+    return ("repeats" if _REPEATED.search(text) else None), n
+
+
+@F.arrow_udf(StructType([StructField("reason", StringType()), StructField("n_words", IntegerType())]))
+def gopher(text: pa.Array, min_words: pa.Array, max_words: pa.Array) -> pa.Array:
+    """The first heuristic that a text fails (length, words, mean_word_length, letters, ellipses, bullets, top_word, repeats) or null, and its number of words.
+
+    One pass over the text in Arrow batches: as Column expressions the measures over words and lines are
+    interpreted element by element and take about ten times as long.  Null texts are empty ones.
     """
-    n = F.size(tokens)
-    mean = F.length(F.array_join(tokens, "")) / F.nullif(n, F.lit(0))
-    return (
-        F.when((n < min_words) | (n > max_words), "words")
-        .when((mean < 3) | (mean > 10), "mean_word_length")
-        .when(T.letter_share(text) < F.lit(0.6), "letters")
-        .when(text.contains("...") & (T.ellipsis_lines(text) / T.newline_count(text) > F.lit(0.3)), "ellipses")
-        .when(T.bullet_lines(text) / T.newline_count(text) > F.lit(0.9), "bullets")
-        .when((n >= 20) & (T.top_count(tokens) / n > F.lit(0.3)), "top_word")
-        .when(T.repeats(text, 10), "repeats")
-    )
+    made = [first_failure(t or "", low, high) for t, low, high in zip(text.to_pylist(), min_words.to_pylist(), max_words.to_pylist())]
+    return pa.StructArray.from_arrays([pa.array([r for r, _ in made], pa.string()), pa.array([n for _, n in made], pa.int32())], names=["reason", "n_words"])
 
 
 def lexicon_hits(text: Column, lexicon: list[str]) -> Column:

@@ -45,17 +45,17 @@ def sourced(documents: DataFrame, specs: DataFrame) -> DataFrame:
 
 
 def filtered(rows: DataFrame) -> DataFrame:
-    """Adds the scrubbed text, its words, exact key and estimated tokens, and the first ``reason`` to drop it: length, gopher or null.
+    """Adds the scrubbed text, its exact key and estimated tokens, and the first ``reason`` to drop it: length, gopher or null.
 
-    Text and words are made in projections of their own, before the expressions that
-    read them many times.
+    The text is scrubbed in a projection of its own, before the expressions that read it.
     """
-    split = rows.withColumn("text", T.scrub(F.col("text"))).withColumn("words", T.words(F.col("text")))
-    gopher = R.gopher_reason(F.col("text"), F.col("words"), F.col("min_words"), F.col("max_words"))
-    marked = split.withColumn("gopher", F.when(F.length("text") > 0, gopher))
-    reason = F.when(F.length("text") == 0, "length").when(F.col("gopher").isNotNull(), "gopher")
-    tokens = F.greatest(F.lit(1), F.floor(F.size("words") * F.lit(0.75)).cast("int"))
-    return marked.withColumn("reason", reason).withColumn("key", F.sha2("text", 256)).withColumn("tokens", tokens)
+    ship(rows.sparkSession)
+    judged = rows.withColumn("text", T.scrub(F.col("text"))).withColumn("verdict", R.gopher(F.col("text"), F.col("min_words"), F.col("max_words")))
+    # all by the verdict alone, so that no filter on them is rewritten into one on the text and scrubs it again
+    verdict = F.col("verdict.reason")
+    tokens = F.greatest(F.lit(1), F.floor(F.col("verdict.n_words") * F.lit(0.75)).cast("int"))
+    made = judged.withColumn("gopher", F.when(verdict != "length", verdict)).withColumn("reason", F.when(verdict == "length", "length").when(verdict.isNotNull(), "gopher"))
+    return made.withColumn("key", F.sha2("text", 256)).withColumn("tokens", tokens).drop("verdict")
 
 
 def test_grams(items: DataFrame, n: int = NGRAM) -> DataFrame:

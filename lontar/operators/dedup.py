@@ -14,7 +14,7 @@ from lontar.plans.runtime import cut, ship
 
 SHINGLE_WORDS = 5
 #: Texts (about so many) and shingles at most by which shingles are ordered.
-ORDER_SAMPLE, ORDER_SHINGLES = 20_000, 500_000
+ORDER_SAMPLE, ORDER_SHINGLES = 5_000, 500_000
 
 
 def exact(df: DataFrame, key: Column, order: list[str]) -> DataFrame:

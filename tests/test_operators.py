@@ -41,8 +41,18 @@ def test_blanks_lines_and_letters_follow_python(spark):
 
 
 def reason(spark, text, low=50, high=100_000):
-    df = frame(spark, [text]).withColumn("w", T.words(F.col("text")))
-    return df.select(R.gopher_reason(F.col("text"), F.col("w"), F.lit(low), F.lit(high))).first()[0]
+    return frame(spark, [text]).select(R.gopher(F.col("text"), F.lit(low), F.lit(high)).alias("g")).select("g.reason").first()[0]
+
+
+def test_heuristics_agree_with_their_columns(spark):
+    """The one pass against the Column functions of the single measures."""
+    from lontar.functions.rules import first_failure
+
+    texts = [t for t in ODD if t] + ["½ dua²", "a...\u2028b...\n", "• x\n- y", "ä" * 60 + " b"]
+    df = frame(spark, texts).select("text", T.word_count(F.col("text")).alias("n"), T.letter_share(F.col("text")).alias("a"), (T.ellipsis_lines(F.col("text")) / T.newline_count(F.col("text"))).alias("e"), (T.bullet_lines(F.col("text")) / T.newline_count(F.col("text"))).alias("b"), T.mean_word_length(F.col("text")).alias("m"), T.top_count(T.words(F.col("text"))).alias("t"), T.repeats(F.col("text"), 10).alias("r"))
+    for r in df.collect():
+        wanted = "mean_word_length" if r["m"] is not None and not 3 <= r["m"] <= 10 else "letters" if r["a"] < 0.6 else "ellipses" if r["e"] > 0.3 else "bullets" if r["b"] > 0.9 else "top_word" if r["n"] >= 20 and r["t"] / r["n"] > 0.3 else "repeats" if r["r"] else None
+        assert first_failure(r["text"], 0, 10**6) == (wanted, r["n"])
 
 
 def test_gopher_boundaries(spark):
