@@ -1024,14 +1024,14 @@ chosen("u_split", "sft_pool", "pair_id", lambda: F.col("category") == "kebencana
 # ---------------------------------------------------------------- generators
 
 PICK = lambda xs, n: f"({S.arr(xs)})[({n} % {len(xs)} + 1)::INT]"
-PARA = f"""WITH b AS (SELECT pair_id, {IN} AS instruction, {OUT} AS output, row_number() OVER (ORDER BY length({OUT}) DESC, pair_id) - 1 AS rank FROM sft_pool ORDER BY length({OUT}) DESC, pair_id LIMIT 300),
- c AS (SELECT *, greatest(1, 2000 // (SELECT count(*) FROM b)) AS each FROM b), e AS (SELECT *, unnest(range(0, each)) AS copy FROM c)
- SELECT pair_id, copy, {PICK(A.PREFIXES, S.md5_int("pair_id::VARCHAR", "copy::VARCHAR", "'a'"))} || ' ' || {TOPIC.replace(IN, 'instruction')} || {PICK(A.SUFFIXES, S.md5_int("pair_id::VARCHAR", "copy::VARCHAR", "'b'"))} AS instruction, output FROM e WHERE rank * each + copy < 2000"""
+PARA = f"""WITH b AS (SELECT pair_id, {IN} AS instruction, {OUT} AS output, row_number() OVER (ORDER BY length({OUT}) DESC, pair_id) - 1 AS rank FROM sft_pool ORDER BY length({OUT}) DESC, pair_id LIMIT 15000),
+ c AS (SELECT *, greatest(1, 200000 // (SELECT count(*) FROM b)) AS each FROM b), e AS (SELECT *, unnest(range(0, each)) AS copy FROM c)
+ SELECT pair_id, copy, {PICK(A.PREFIXES, S.md5_int("pair_id::VARCHAR", "copy::VARCHAR", "'a'"))} || ' ' || {TOPIC.replace(IN, 'instruction')} || {PICK(A.SUFFIXES, S.md5_int("pair_id::VARCHAR", "copy::VARCHAR", "'b'"))} AS instruction, output FROM e WHERE rank * each + copy < 200000"""
 
 
 @query("g_paraphrase", PARA)
 def g_paraphrase(s, d):
-    return A.paraphrases(table(s, d, "sft_pool"), "pair_id", 2_000, best=300)
+    return A.paraphrases(table(s, d, "sft_pool"), "pair_id", 200_000)
 
 
 def _math_sql(loops: int, seed: int = 7) -> str:

@@ -105,7 +105,8 @@ def tokens(x: str) -> str:
 
 def ngrams(x: str, n: int, short: bool = False) -> str:
     """Of a column of words; ``short`` keeps texts of fewer words as one gram."""
-    runs = f"list_transform(range(1, len({x}) - {n} + 2), lambda i: array_to_string({x}[i:i + {n - 1}], ' '))"
+    shifted = ", ".join([x, *(f"{x}[{k}:]" for k in range(2, n + 1))])
+    runs = f"list_transform(list_zip({shifted})[1:len({x}) - {n - 1}], lambda t: concat_ws(' ', {', '.join(f't[{k}]' for k in range(1, n + 1))}))"
     less = f"WHEN len({x}) > 0 THEN [array_to_string({x}, ' ')]" if short else ""
     return f"CASE WHEN len({x}) >= {n} THEN {runs} {less} ELSE []::VARCHAR[] END"
 
