@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lontar.llm.arrow import batch, map_batches
 from lontar.llm.boosting import Boosted
-from lontar.llm.quality import kinds_of, known_words, train_kinds
+from lontar.llm.quality import described, drawn, kinds_of, known_words, train_kinds
 from lontar.llm.segments import Segment, Weak, long_languages, main_language, segment_batch, sharpness, softmax, weak_runs
 from lontar.llm.spectrum import SpectrumModel
 from lontar.plans.runtime import spread
@@ -129,7 +129,7 @@ def wrong_labels(documents: DataFrame, samples: DataFrame, labels: DataFrame) ->
     """
     model = LanguageModel.fit(samples)
     common = known_words(samples)
-    kinds: Boosted | None = train_kinds(documents, labels, common)
+    kinds: Boosted | None = train_kinds(described(drawn(documents, labels), common), labels)
     rows = documents.select("doc_id", "text", "lang")
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch | None:

@@ -8,25 +8,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lontar.llm.arrow import batch, map_batches
-from lontar.llm.boosting import Boosted
-from lontar.llm.textstats import COMMON, NAMES, common_words, matrix
-from lontar.plans.runtime import spread
+from lontar.llm.boosting import Boosted, JobRows, Rows, grid_keys
+from lontar.llm.textstats import COMMON, NAMES, language_words, matrix
+from lontar.plans.runtime import broadcast_small, cut, spread
 
-#: Language samples from which common words are learnt at most.
-COMMON_SAMPLE = 2_000
+#: A word is common in a language if it stands in at least this share of the language's samples.
+COMMON_SHARE = 0.1
 KINDS = ("prose", "list", "table", "junk", "code")
-#: Documents (about so many, by a hash of the id) that the weak rules label for training.
-WEAK_SAMPLE = 5_000
-#: Hand-labelled documents used at most (by a hash of the id), for calibration alone.
-HAND_SAMPLE = 12_000
+#: Weakly labelled documents up to which the trees grow on the driver, from a byte a column; beyond, by a job a level. All count in either case.
+DRIVER_ROWS = 200_000
+#: Where the kind only filters other findings: documents (about so many, by a hash of the id) and hand-labelled ones of which it is learnt.
+WEAK_SAMPLE, HAND_SAMPLE = 5_000, 12_000
 
 
 def known_words(samples: DataFrame | None) -> frozenset[str]:
-    """Common words, learnt from at most ``COMMON_SAMPLE`` language samples (by a hash of the id); the base without samples."""
+    """The base and the words common in any language, counted over all language samples; the base without samples."""
     if samples is None:
         return COMMON
-    drawn = samples.where("language is not null and text is not null").orderBy(F.xxhash64("sample_id"), "sample_id").limit(COMMON_SAMPLE)
-    return common_words([tuple(r) for r in drawn.select("language", "text").collect()])
+    rows = samples.where("language is not null and text is not null").select("language", "text")
+
+    def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = language_words(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+        if not found:
+            return None
+        return batch(language=pa.array([x for x, _ in found]), word=pa.array([w for _, w in found]), n=pa.array(list(found.values()), pa.int64()))
+
+    counted = map_batches(spread(rows), work, "language string, word string, n bigint").groupBy("language", "word").agg(F.sum("n").alias("n"))
+    totals = broadcast_small(rows.groupBy("language").agg(F.count("*").alias("texts")))
+    common = counted.join(totals, "language").where(F.col("n") >= F.greatest(F.lit(3.0), F.lit(COMMON_SHARE) * F.col("texts")))
+    return COMMON | {w for (w,) in common.select("word").distinct().collect()}
 
 
 def text_statistics(documents: DataFrame, samples: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,72 +101,128 @@ def weak_kinds(x: np.ndarray) -> np.ndarray:
     return y
 
 
-def train_kinds(documents: DataFrame, labels: DataFrame, common: frozenset[str] = COMMON, weak_sample: int = WEAK_SAMPLE, hand_sample: int = HAND_SAMPLE) -> Boosted | None:
+def described(documents: DataFrame, common: frozenset[str] = COMMON) -> DataFrame:
+    """``doc_id`` and ``x``, the statistics as bytes, of every document, written down once."""
+    rows = documents.select("doc_id", "text")
+
+    def work(b: pa.RecordBatch) -> pa.RecordBatch:
+        return batch(doc_id=b.column(0), x=pa.array([x.tobytes() for x in matrix(b.column(1).to_pylist(), common)], pa.binary()))
+
+    return cut(map_batches(spread(rows), work, f"doc_id {rows.schema[0].dataType.simpleString()}, x binary"))
+
+
+def unpacked(x: pa.Array, width: int = len(NAMES)) -> np.ndarray:
+    return np.frombuffer(b"".join(x.to_pylist())).reshape(-1, width)
+
+
+def hand_kinds(labels: DataFrame) -> DataFrame:
+    """``doc_id`` and ``kind``: of contradicting labels of a document the most frequent, of ties the first in the alphabet."""
+    votes = labels.where(F.col("doc_id").isNotNull() & F.col("kind").isin(*KINDS)).groupBy("doc_id", "kind").count()
+    order = Window.partitionBy("doc_id").orderBy(F.desc("count"), "kind")
+    return votes.withColumn("r", F.row_number().over(order)).where("r = 1").select("doc_id", "kind")
+
+
+def drawn(documents: DataFrame, labels: DataFrame, weak_sample: int = WEAK_SAMPLE, hand_sample: int = HAND_SAMPLE) -> DataFrame:
+    """``doc_id`` and ``text`` of a bounded draw of documents by a hash of the id, and of hand-labelled ones."""
+    share = max(1, documents.count() // max(1, weak_sample))
+    h = F.xxhash64("doc_id", F.lit("kinds"))
+    hand = hand_kinds(labels).orderBy(h, "doc_id").limit(hand_sample)
+    return documents.select("doc_id", "text").join(F.broadcast(hand), "doc_id", "left").where(F.col("kind").isNotNull() | (F.pmod(h, F.lit(share)) == 0)).select("doc_id", "text")
+
+
+def train_kinds(rows: DataFrame, labels: DataFrame) -> Boosted | None:
     """Boosted trees on statistics of weakly labelled documents, calibrated on the hand-labelled ones, which are held out from training.
 
-    Both samples are bounded by their parameters and drawn by a hash of the id.
+    All ``rows`` (of ``described``) that the weak rules label train, and all hand labels calibrate; bins are quantiles of all training rows.
     Labels without an id or kind are dropped; of contradicting labels of a document
     the most frequent counts, of ties the first in the alphabet.  Where the weak rules know fewer than two kinds, the hand
     labels train as well.  Returns None where nothing can be learnt from (no documents).
     """
-    total = documents.count()
-    share = max(1, total // max(1, weak_sample))
-    h = F.xxhash64("doc_id", F.lit("kinds"))
-    votes = labels.where(F.col("doc_id").isNotNull() & F.col("kind").isin(*KINDS)).groupBy("doc_id", "kind").count()
-    order = Window.partitionBy("doc_id").orderBy(F.desc("count"), "kind")
-    hand = votes.withColumn("r", F.row_number().over(order)).where("r = 1").select("doc_id", "kind").orderBy(h, "doc_id").limit(hand_sample)
-    drawn = documents.select("doc_id", "text").join(F.broadcast(hand), "doc_id", "left").where(F.col("kind").isNotNull() | (F.pmod(h, F.lit(share)) == 0))
+    taught = rows.join(broadcast_small(cut(hand_kinds(labels))), "doc_id", "left").select("kind", "x")
+
+    def answers(b: pa.RecordBatch, hand_too: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Statistics, kinds to train on and kinds by hand, -1 where there is none."""
+        x = unpacked(b.column(1))
+        y = np.array([KINDS.index(k) if k else -1 for k in b.column(0).to_pylist()])
+        blank = x[:, 0] == 0
+        hand = np.where(blank, -1, y)
+        weak = np.where((hand >= 0) | blank, -1, weak_kinds(x))
+        return x, np.where(hand >= 0, hand, weak) if hand_too else weak, hand
+
+    def tally(hand_too: bool) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Training rows by kind, and by cell of each column."""
+
+        def work(b: pa.RecordBatch) -> pa.RecordBatch:
+            x, y, _ = answers(b, hand_too)
+            x, y = x[y >= 0], y[y >= 0]
+            counted = [np.unique(k, return_counts=True) for k in (y, *grid_keys(x).T)]
+            column = np.repeat(np.arange(len(counted)), [len(k) for k, _ in counted])
+            return batch(column=pa.array(column, pa.int32()), key=pa.array(np.concatenate([k for k, _ in counted]), pa.int32()), n=pa.array(np.concatenate([n for _, n in counted]), pa.int64()))
+
+        got = map_batches(taught, work, "column int, key int, n bigint").groupBy("column", "key").agg(F.sum("n").alias("n")).toArrow()
+        column, key, n = (got[c].to_numpy() for c in ("column", "key", "n"))
+        of = [(key[column == i], n[column == i]) for i in range(1 + len(NAMES))]
+        return np.bincount(*of[0], len(KINDS)).astype(float), of[1:]
+
+    hand_too = False
+    kinds, cells = tally(hand_too)
+    if (kinds > 0).sum() < 2:
+        hand_too = True
+        kinds, cells = tally(hand_too)
+    if not kinds.sum():
+        return None
+    model = Boosted().cuts(cells)
 
-    def work(b: pa.RecordBatch) -> pa.RecordBatch:
-        x = matrix(b.column(1).to_pylist(), common)
-        return batch(doc_id=b.column(0), kind=b.column(2), x=pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float64())))
+    def bins(b: pa.RecordBatch) -> pa.RecordBatch:
+        x, y, _ = answers(b, hand_too)
+        return batch(y=pa.array(y[y >= 0], pa.int32()), b=pa.array([r.tobytes() for r in model.binned(x[y >= 0])], pa.binary()))
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = map_batches(drawn.select("doc_id", "text", "kind"), work, f"doc_id {kind}, kind string, x array<double>").toArrow()
-    if not rows.num_rows:
-        return None
-    x = np.array(rows["x"].to_pylist(), np.float64).reshape(-1, len(NAMES))
-    at = np.argsort(np.array([str(i) for i in rows["doc_id"].to_pylist()]), kind="stable")
-    x, kinds = x[at], np.array(rows["kind"].to_pylist(), object)[at]
-    y = np.array([KINDS.index(k) if k else -1 for k in kinds])
-    blank = x[:, 0] == 0
-    by_hand = (y >= 0) & ~blank
-    weak = np.where(by_hand | blank, -1, weak_kinds(x))
-    if len(set(weak[weak >= 0])) < 2:
-        weak[by_hand] = y[by_hand]
-    train = weak >= 0
-    if not train.any():
-        return None
-    model = Boosted().fit(x[train], weak[train], len(KINDS))
-    return model.calibrate(x[by_hand], y[by_hand]) if by_hand.sum() >= 20 else model
+    binned = map_batches(taught, bins, "y int, b binary")
+    if kinds.sum() <= DRIVER_ROWS:
+        # in the order of their contents, so that sums don't depend on the files
+        got = binned.toArrow().sort_by([("b", "ascending"), ("y", "ascending")])
+        model.grow(Rows(np.frombuffer(b"".join(got["b"].to_pylist()), np.uint8).reshape(-1, len(NAMES)), got["y"].to_numpy(), len(KINDS)))
+    else:
+        model.grow(JobRows(cut(binned), kinds, len(NAMES)))
 
+    def scores(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        x, _, hand = answers(b, hand_too)
+        at = hand >= 0
+        return batch(y=pa.array(hand[at], pa.int32()), raw=pa.array([r.tobytes() for r in model.raw(x[at])], pa.binary())) if at.any() else None
 
-def kinds_of(texts: list[str | None], model: Boosted, common: frozenset[str] = COMMON) -> tuple[np.ndarray, np.ndarray]:
-    """Kind numbers (-1 for blank texts) and their calibrated probabilities."""
-    x = matrix(texts, common)
+    by_hand = map_batches(taught.where("kind is not null"), scores, "y int, raw binary").toArrow().sort_by([("raw", "ascending"), ("y", "ascending")])
+    return model.calibrate_raw(unpacked(by_hand["raw"], len(KINDS)), by_hand["y"].to_numpy()) if by_hand.num_rows >= 20 else model
+
+
+def judged(x: np.ndarray, model: Boosted) -> tuple[np.ndarray, np.ndarray]:
+    """Kind numbers (-1 for blank texts) and their calibrated probabilities, by statistics."""
     p = model.probabilities(x)
     kind = p.argmax(1) if len(p) else np.zeros(0, np.int64)
     return np.where(x[:, 0] == 0, -1, kind), p.max(1) if len(p) else np.zeros(0)
 
 
+def kinds_of(texts: list[str | None], model: Boosted, common: frozenset[str] = COMMON) -> tuple[np.ndarray, np.ndarray]:
+    """Kind numbers (-1 for blank texts) and their calibrated probabilities."""
+    return judged(matrix(texts, common), model)
+
+
 def document_kinds(documents: DataFrame, labels: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """``doc_id``, ``kind`` and ``probability`` of every document.
 
     Null, empty and blank texts have a null kind and probability.  Where nothing
     can be learnt from, all kinds are null.
     """
-    common = known_words(samples)
-    model = train_kinds(documents, labels, common)
-    rows = documents.select("doc_id", "text")
+    rows = described(documents, known_words(samples))
+    model = train_kinds(rows, labels)
     schema = f"doc_id {rows.schema[0].dataType.simpleString()}, kind string, probability double"
     if model is None:
         return rows.select("doc_id", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("probability"))
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
-        kind, p = kinds_of(b.column(1).to_pylist(), model, common)
+        kind, p = judged(unpacked(b.column(1)), model)
         return batch(doc_id=b.column(0), kind=pa.array([KINDS[k] if k >= 0 else None for k in kind], pa.string()), probability=pa.array(np.round(p, 6), mask=kind < 0))
 
-    return map_batches(spread(rows), work, schema)
+    return map_batches(rows, work, schema)
 
 
 def structural(documents: DataFrame, labels: DataFrame, samples: DataFrame | None = None) -> DataFrame:

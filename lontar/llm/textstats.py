@@ -16,18 +16,14 @@ COMMON = frozenset(
     yang dan di ke dari untuk pada dengan adalah itu ini tidak akan oleh karena juga atau dalam bisa ada sudah belum harus saya kami kita mereka anda
     """.split()
 )
-#: A word is common in a language if it stands in at least this share of the language's samples.
-COMMON_SHARE = 0.1
 
 
-def common_words(samples: list[tuple[str, str]]) -> frozenset[str]:
-    """The base and the words that are common in any language of (language, text) samples."""
-    seen: dict[str, Counter] = {}
-    total: Counter = Counter()
+def language_words(samples: list[tuple[str, str]]) -> Counter:
+    """In how many of (language, text) samples each word stands: keys (language, word)."""
+    found: Counter = Counter()
     for language, text in samples:
-        total[language] += 1
-        seen.setdefault(language, Counter()).update(set(_WORD.findall(text.lower())))
-    return COMMON | {w for k, c in seen.items() for w, n in c.items() if n >= max(3, COMMON_SHARE * total[k]) and not w.isdigit()}
+        found.update((language, w) for w in set(_WORD.findall(text.lower())) if not w.isdigit())
+    return found
 
 
 NAMES = (

@@ -362,6 +362,43 @@ def test_boosting_learns_and_calibrates():
     assert model.probabilities(x[:0]).shape == (0, 3)
 
 
+def test_common_words_count_all_samples(spark):
+    samples = [(3 * k + i, f"l{k}", f"Word{k} {i} saat") for k in range(1_000) for i in range(3)]
+    samples += [(9_000 + i, "xx", "often seldom" if i < 5 else "often") for i in range(60)] + [(9_100, None, "nothing"), (9_101, "xx", None)]
+    known = quality.known_words(spark.createDataFrame(samples, "sample_id long, language string, text string"))
+    assert known == textstats.COMMON | {f"word{k}" for k in range(1_000)} | {"saat", "often"}
+
+
+def many_kinds(spark, n):
+    rng = random.Random(5)
+    words = sorted(textstats.COMMON) + [a + b for a in ("ka", "mi", "so", "tu") for b in ("lan", "pur", "dor", "vet", "ta")]
+    say = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    prose = lambda: " ".join(say(rng.randint(6, 14)).capitalize() + "." for _ in range(5))
+    texts = ["\n".join(f"- {say(3)}" for _ in range(8)) if i % 7 == 0 else prose() for i in range(n)]
+    return texts, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def test_kinds_are_learnt_from_all_documents(spark):
+    texts, docs = many_kinds(spark, 10_500)
+    labels = spark.createDataFrame([(7 * i, "list", "a") for i in range(30)], "doc_id long, kind string, rater string")
+    model = quality.train_kinds(quality.described(docs), labels)
+    weak = quality.weak_kinds(textstats.matrix([t for i, t in enumerate(texts) if i % 7 or i >= 210]))
+    counts = np.bincount(weak[weak >= 0], minlength=len(quality.KINDS))
+    assert counts.sum() > 10_000 and (counts > 0).sum() >= 2
+    assert np.allclose(np.exp(model.prior)[counts > 0], (counts / counts.sum())[counts > 0])
+
+
+def test_trees_grow_alike_in_memory_and_by_jobs(spark, data, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.described(docs)
+    monkeypatch.setattr(quality, "Boosted", lambda: boosting.Boosted(rounds=3))
+    here = quality.train_kinds(rows, labels)
+    monkeypatch.setattr(quality, "DRIVER_ROWS", 0)
+    there = quality.train_kinds(rows, labels)
+    assert (here.feature == there.feature).all() and (here.cut == there.cut).all()
+    assert np.allclose(here.value, there.value) and np.allclose(here.shift, there.shift)
+
+
 def test_kinds_of_held_out_labels(spark):
     folder = "/root/testdata/sf0.1"
     try:
