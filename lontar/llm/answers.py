@@ -3,43 +3,51 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lontar.llm.arrow import batch, map_batches
-from lontar.llm.pairs import Judge, language_votes, request_words, voters
-from lontar.plans.runtime import spread
-
-#: Language samples used at most (by a hash of the id) to learn which words vote for a language.
-VOTE_SAMPLE = 20_000
-#: Pairs of a pool (about so many, by a hash of the id) whose questions teach the words of questions.
-REQUEST_SAMPLE = 10_000
-#: Such a word's share of its rate over all languages; lower than the samples', as some answers are in a wrong language.
+from lontar.llm.pairs import Judge, request_words, sample_words, voters
+from lontar.plans.runtime import cut, spread
+
+#: Texts of a language in which a word stands at least to vote for it, and its least share of the word's rate over all languages.
+LEAST, PURITY = 3, 0.9
+#: The same share for words of questions; lower than the samples', as some answers are in a wrong language.
 REQUEST_PURITY = 0.8
 
 
-def question_votes(rows: DataFrame, lexicon: dict[str, str], sample: int = REQUEST_SAMPLE) -> dict[str, str]:
-    """Words of questions that vote for a language, learnt from the languages of the answers of a bounded sample.
+def learnt(rows: DataFrame, count: Callable[[list[tuple]], Counter], purity: float = PURITY) -> dict[str, str]:
+    """Words that vote for a language, learnt from all ``rows`` of two columns by what ``count`` finds in them.
 
-    Counted on the workers, by word and language; ``rows`` has id, question and answer.
+    ``count`` gives numbers by (word, language), where '' as a word stands for all texts of the language.
+    Words are counted and decided on the workers; only those that vote come to the driver.
     """
-    share = max(1, rows.count() // max(1, sample))
-    drawn = rows.where(F.pmod(F.xxhash64(rows.columns[0], F.lit("requests")), F.lit(share)) == 0).select(*rows.columns[1:])
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = request_words(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())), lexicon)
+        found = count(list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
         if not found:
             return None
         return batch(word=pa.array([w for w, _ in found]), language=pa.array([x for _, x in found]), n=pa.array(list(found.values()), pa.int64()))
 
-    counted = map_batches(drawn, work, "word string, language string, n bigint").groupBy("word", "language").agg(F.sum("n").alias("n"))
-    seen: dict[str, Counter] = {}
-    for word, language, n in counted.collect():
-        seen.setdefault(word, Counter())[language] = n
-    texts = seen.pop("", None)
-    return voters(seen, texts, purity=REQUEST_PURITY)
+    counted = cut(map_batches(spread(rows), work, "word string, language string, n bigint").groupBy("word", "language").agg(F.sum("n").alias("n")))
+    texts = Counter({r["language"]: r["n"] for r in counted.where("word = ''").collect()}) or None
+    words = counted.where("word <> ''").groupBy("word").agg(F.array_sort(F.collect_list(F.struct("language", "n"))).alias("seen"), F.max("n").alias("most"))
+
+    def decide(b: pa.RecordBatch) -> pa.RecordBatch:
+        seen = {w: Counter({x["language"]: x["n"] for x in found}) for w, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+        found = voters(seen, texts, LEAST, purity)
+        return batch(word=pa.array(list(found), pa.string()), language=pa.array(list(found.values()), pa.string()))
+
+    voting = map_batches(words.where(F.col("most") >= LEAST).select("word", "seen"), decide, "word string, language string")
+    return {r["word"]: r["language"] for r in voting.collect()}
+
+
+def question_votes(rows: DataFrame, lexicon: dict[str, str]) -> dict[str, str]:
+    """Words of questions that vote for a language, learnt from the languages of the answers of all ``rows`` (id, question, answer)."""
+    return learnt(rows.select(*rows.columns[1:]), lambda pairs: request_words(pairs, lexicon), REQUEST_PURITY)
 
 
 def defective_answers(pool: DataFrame, name: str, question: str, fields: tuple[str, ...], samples: DataFrame) -> DataFrame:
@@ -49,8 +57,7 @@ def defective_answers(pool: DataFrame, name: str, question: str, fields: tuple[s
     Repeated rows give repeated results, other columns are ignored, an empty pool gives
     none.  Without language samples no answer is in another language.
     """
-    drawn = samples.where("language is not null and text is not null").orderBy(F.xxhash64("sample_id"), "sample_id").limit(VOTE_SAMPLE)
-    lexicon = language_votes([tuple(r) for r in drawn.select("language", "text").collect()])
+    lexicon = learnt(samples.where("language is not null and text is not null").select("language", "text"), sample_words)
     rows = pool.select("pair_id", question, *fields)
     asked = question_votes(rows.select("pair_id", question, fields[0]), lexicon) | lexicon if lexicon else {}
     judges: list[Judge] = []

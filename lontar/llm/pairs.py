@@ -93,17 +93,22 @@ def voters(seen: dict[str, Counter], texts: Counter | None = None, least: int =
     return lexicon
 
 
-def language_votes(samples: list[tuple[str, str]]) -> dict[str, str]:
-    """Words that vote for a language group: common in its samples and nearly absent from the others'.
+def sample_words(samples: list[tuple[str, str]]) -> Counter:
+    """In how many (language, text) samples of a language group each word stands: keys (word, group).
 
     Indonesian and Malay are one group (``id``), as they aren't held against each other.
     """
-    group = lambda x: "id" if x == "ms" else x
-    seen: dict[str, Counter] = {}
+    found: Counter = Counter()
     for language, text in samples:
-        for w in set(plain_words(text)):
-            if not w.isdigit():
-                seen.setdefault(w, Counter())[group(language)] += 1
+        found.update((w, "id" if language == "ms" else language) for w in set(plain_words(text)) if not w.isdigit())
+    return found
+
+
+def language_votes(samples: list[tuple[str, str]]) -> dict[str, str]:
+    """Words that vote for a language group: common in its samples and nearly absent from the others'."""
+    seen: dict[str, Counter] = {}
+    for (w, language), n in sample_words(samples).items():
+        seen.setdefault(w, Counter())[language] = n
     return voters(seen)
 
 

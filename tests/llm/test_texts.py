@@ -272,6 +272,20 @@ def test_pair_query_edges(spark):
     assert answers.defective_answers(pool.limit(0), "p", "instruction", ("output",), samples.limit(0)).count() == 0
 
 
+def test_question_words_of_all_pairs_vote(spark):
+    answer = {"en": "the and", "id": "dan yang"}
+    pairs = [(i, f"Query{i // 3}", answer["en" if i // 3 % 2 else "id"]) for i in range(24_000)]
+    votes = answers.question_votes(spark.createDataFrame(pairs, "pair_id long, question string, answer string"), {w: x for x, a in answer.items() for w in a.split()})
+    assert votes == {f"query{k}": "en" if k % 2 else "id" for k in range(8_000)}
+
+
+def test_words_of_all_samples_vote(spark, data):
+    samples = spark.read.parquet(f"{data}/lang_samples.parquet").select("language", "text")
+    assert answers.learnt(samples, P.sample_words) == P.language_votes([tuple(r) for r in samples.collect()])
+    many = spark.createDataFrame([("en" if i // 3 % 2 else "ms", f"word{i // 3}") for i in range(24_000)], "language string, text string")
+    assert answers.learnt(many, P.sample_words) == {f"word{k}": "en" if k % 2 else "id" for k in range(8_000)}
+
+
 # ------------------------------------------------------------------ languages
 
 
