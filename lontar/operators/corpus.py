@@ -112,11 +112,12 @@ def staged(documents: DataFrame, registry_table: DataFrame, items: DataFrame, le
     wrong = asked & ~F.coalesce((F.col("lid.language") == expected) & (F.col("lid.probability") >= F.col("lid_threshold")), F.lit(False))
     marked = judged.withColumn("reason", F.coalesce("reason", F.when(wrong, "lid"))).withColumn("passed", F.when(F.col("reason").isNull(), F.col("text")))
     hit = leaked(marked, items, "doc_id", F.col("passed"), "leak")
-    small = cut(hit.select("doc_id", "source", "bucket", "tokens", "key", "reason", "leak", shingle_sets(False)(F.col("passed")).alias("hashes")))
+    written = cut(hit.select("doc_id", "source", "bucket", "tokens", "key", "reason", "leak", shingle_sets(False)(F.col("passed")).alias("hashes")))
+    small = cut(written.drop("hashes"))
     winners = cut(first_wins(small.where("reason is null"), ["key"], ["source", "doc_id"]).select("doc_id"))
-    heads = cut(small.join(winners, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("source").alias("grp"), "hashes"))
-    near = near_copies(heads)[0].where("not kept").select(F.col("id").alias("__near"))
-    joined = small.drop("hashes").join(winners.select(F.col("doc_id").alias("__win")), F.col("doc_id") == F.col("__win"), "left").join(near, F.col("doc_id") == F.col("__near"), "left")
+    sets = written.select(F.col("doc_id").alias("id"), F.col("source").alias("grp"), "hashes")
+    near = near_copies(sets, winners.select(F.col("doc_id").alias("id")))[0].where("not kept").select(F.col("id").alias("__near"))
+    joined = small.join(winners.select(F.col("doc_id").alias("__win")), F.col("doc_id") == F.col("__win"), "left").join(near, F.col("doc_id") == F.col("__near"), "left")
     later = F.when(F.col("__win").isNull(), "exact").when(F.col("__near").isNotNull(), "near").when(F.col("leak"), "decontam")
     return joined.select("doc_id", "source", "bucket", "tokens", F.coalesce("reason", later).alias("reason"))
 

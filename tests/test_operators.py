@@ -208,6 +208,71 @@ def test_near_copies_of_odd_texts(spark):
     assert empty[0].count() == empty[1].count() == 0
 
 
+def near_rows(seed, n=90):
+    """Copies of copies, so that similarities lie on both sides of 0.8; shared beginnings and ends that are no copies."""
+    rng = random.Random(seed)
+    words = [f"kata{i}" for i in range(300)]
+    rows, texts = [], [rng.sample(words, rng.choice([3, 5, 12, 60, 120])) for _ in range(4)]
+    for i in range(n):
+        t = list(rng.choice(texts))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        if rng.random() < 0.2:
+            t = texts[0][:20] + rng.sample(words, 40)
+        texts.append(t)
+        rows.append((i, rng.choice(["x", "x", "y"]), " ".join(t)))
+    return rows
+
+
+def same_as_brute(spark, rows, **most):
+    kept, links = D.near_copies(sets_of(spark, rows), **most)
+    wanted, pairs = brute_near(rows)
+    got = {r["id"]: r["kept"] for r in kept.collect()}
+    assert len(got) == len(rows) and {i for i in got if got[i]} == wanted
+    assert sorted((r["first"], r["id"]) for r in links.collect()) == sorted(pairs)
+
+
+@pytest.mark.parametrize("most", [{"each": 0}, {"each": 1}, {"each": 1000}, {"most_cells": 1 << 16}])
+def test_near_copies_by_rounds_or_pairs(spark, monkeypatch, most):
+    """Rounds before the pairs, pairs alone, and counts of a part of the texts say the same."""
+    monkeypatch.setattr(D, "CELL_BLOCK", 64)
+    if "most_cells" in most:
+        most = {"most_cells": 64}
+    same_as_brute(spark, near_rows(7), **most)
+
+
+def test_near_copies_count_only_among_some(spark):
+    rows = near_rows(3)
+    some = [r for r in rows if r[0] % 3]
+    kept, links = D.near_copies(sets_of(spark, rows), spark.createDataFrame([(r[0],) for r in some], "id bigint"))
+    wanted, pairs = brute_near(some)
+    assert {r["id"]: r["kept"] for r in kept.collect()} == {r[0]: r[0] in wanted for r in some}
+    assert {(r["first"], r["id"]) for r in links.collect()} == pairs
+
+
+@pytest.mark.parametrize("most", [0, 10, 1000])
+def test_insertion_of_chains(spark, most):
+    """A chain of similar rows in one task and by rounds: every other one is dropped."""
+    edges = [(i, i + 1) for i in range(11)] + [(20, 22), (20, 21), (21, 22)]
+    got = D.insertion(spark.createDataFrame(edges, "first bigint, id bigint"), most)
+    assert sorted(r["id"] for r in got.collect()) == [1, 3, 5, 7, 9, 11, 21, 22]
+
+
+def test_near_copies_take_few_jobs_however_many_rows_share_a_shingle(spark):
+    """Texts with a common beginning and an own end share frequent shingles without being similar; they needed a round of several jobs each."""
+    rng = random.Random(1)
+    start = [f"awal{i}" for i in range(60)]
+    rows = [(i, "g", " ".join(start + [f"akhir{rng.randrange(10**6)}" for _ in range(9)])) for i in range(60)]
+    tag = "near-copies"
+    spark.sparkContext.setJobGroup(tag, tag)
+    try:
+        same_as_brute(spark, rows)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag))
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert jobs < 120
+
+
 def test_contamination_needs_thirteen_words(spark):
     item = " ".join(f"w{i}" for i in range(20))
     items = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id bigint, text string")
