@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from lontar.functions import text as T
 from lontar.functions.rules import lexicon_hits, stopword_share
@@ -219,17 +219,27 @@ def stopword_scores(text: Column, lexicons: dict[str, list[str]]) -> Column:
     """``language`` with the most words of its lexicon among the first 2,000 characters (of equal ones the first), its share of all hits as ``probability``; null without any.
 
     The probe of 2,000 characters is that of the reference behaviour.
+    The words are counted in one pass over Arrow batches: as Column expressions they are
+    interpreted word by word, for each lexicon and each use of its count again.
     """
-    w = T.words(F.lower(F.substring(text, 1, 2000)))
-
-    def hits(lexicon: list[str]) -> Column:
-        return F.size(F.filter(w, lambda x: x.isin(lexicon)))
-
-    scores = [hits(lexicon) for _, lexicon in sorted(lexicons.items())]
-    structs = F.array(*(F.struct(n.alias("n"), F.lit(-i).alias("o"), F.lit(code).alias("l")) for i, (n, code) in enumerate(zip(scores, sorted(lexicons)))))
-    best = F.array_max(structs)
-    total = F.aggregate(structs, F.lit(0), lambda a, x: a + x["n"])
-    return F.when(best["n"] > 0, F.struct(best["l"].alias("language"), (best["n"] / total).alias("probability")))
+    codes, of = sorted(lexicons), {}
+    for i, code in enumerate(codes):
+        for w in set(lexicons[code]):
+            of.setdefault(w, []).append(i)
+
+    @F.arrow_udf(StructType([StructField("language", StringType()), StructField("probability", DoubleType())]))
+    def scores(probe: pa.Array) -> pa.Array:
+        out = []
+        for t in probe.to_pylist():
+            hits = [0] * len(codes)
+            for w in filter(of.__contains__, t[:2000].lower().split() if t else ()):
+                for i in of[w]:
+                    hits[i] += 1
+            most = max(hits, default=0)
+            out.append({"language": codes[hits.index(most)], "probability": most / sum(hits)} if most else None)
+        return pa.array(out, pa.struct([("language", pa.string()), ("probability", pa.float64())]))
+
+    return scores(text)
 
 
 def stopword_language(text: Column, lexicons: dict[str, list[str]]) -> Column:

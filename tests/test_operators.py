@@ -1,6 +1,7 @@
 """Operators against plain Python models and on hand-made edges."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -273,6 +274,30 @@ def test_near_copies_take_few_jobs_however_many_rows_share_a_shingle(spark):
     assert jobs < 120
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_measures_of_characters(seed):
+    """Letters and runs counted over bytes are those counted over characters."""
+    rng = random.Random(seed)
+    for _ in range(300):
+        t = "".join(rng.choice("aé\n𝒳.\x85中٣") * rng.choice([1, 1, 2, 8, 9, 10, 11]) for _ in range(rng.randrange(8)))
+        assert R.letter_count(t) == sum(map(str.isalpha, t))
+        assert R.repeated(t) == bool(re.search(r"([^\n])\1{9,}", t))
+
+
+def test_language_is_scored_once_a_text(spark):
+    """In Python's pass, not by expressions for each lexicon and each use; ties go to the first language."""
+    df = spark.createDataFrame([(1, "yang dan the kata"), (2, "the dan"), (3, "kata"), (4, None), (5, "x " * 1000 + "the"), (6, "The THE yang")], "i bigint, t string")
+    made = df.select("i", readers.stopword_scores(F.col("t"), {"id": ["yang", "dan"], "en": ["the"]}).alias("s"))
+    assert "filter(" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["i"]: r["s"] and (r["s"]["language"], round(r["s"]["probability"], 6)) for r in made.collect()} == {1: ("id", 0.666667), 2: ("en", 0.5), 3: None, 4: None, 5: None, 6: ("en", 0.666667)}
+
+
+def test_strip_takes_all_blanks(spark):
+    ends = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+    df = spark.createDataFrame([(ends + "a" + ends + "b" + ends,), (ends,), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.strip(F.col("t"))).collect()] == ["a" + ends + "b", "", "", None]
+
+
 def test_contamination_needs_thirteen_words(spark):
     item = " ".join(f"w{i}" for i in range(20))
     items = spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id bigint, text string")
